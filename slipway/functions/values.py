@@ -37,35 +37,24 @@ def parse_number(s: Column) -> Column:
 
 
 def number_text(d: Column) -> Column:
-    s = F.regexp_replace(d.cast("string"), "^-", "")
-    mantissa, exp10 = F.split_part(s, F.lit("E"), F.lit(1)), F.split_part(s, F.lit("E"), F.lit(2))
-    whole, frac = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
-    digits = F.regexp_replace(F.regexp_replace(F.concat(whole, frac), "^0+", ""), "0+$", "")
-    leading_zeros = F.length(frac) - F.length(F.regexp_replace(frac, "^0+", ""))
-    exponent = (
-        F.when(exp10 != "", exp10.try_cast("int"))
-        .when(whole != "0", F.length(whole) - 1)
-        .otherwise(-leading_zeros - 1)
-    )
-    exp_digits = F.abs(exponent).cast("string")
-    scientific = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(F.length(digits) > 1, F.concat(F.lit("."), digits.substr(F.lit(2), F.length(digits)))).otherwise(""),
-        F.lit("e"),
-        F.when(exponent < 0, "-").otherwise("+"),
-        F.when(F.length(exp_digits) < 2, F.lpad(exp_digits, 2, "0")).otherwise(exp_digits),
-    )
-    fixed = F.when(
-        exp10 != "", F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    ).otherwise(F.regexp_replace(s, r"\.0$", ""))
-    sign = F.when(d.cast("string").startswith("-"), "-").otherwise("")
+    """Shortest-digits text of a double, derived from the JVM's text form by one rewrite per magnitude."""
+    s, size = d.cast("string"), F.abs(d)
+
+    def rewrite(text: Column, *steps: tuple[str, str]) -> Column:
+        for pattern, replacement in steps:
+            text = F.regexp_replace(text, pattern, replacement)
+        return text
+
+    strip = ((r"0+$", ""), (r"\.$", ""))
     return (
         F.when(F.isnan(d), F.lit("NaN"))
-        .when(d == float("inf"), F.lit("+Inf"))
-        .when(d == float("-inf"), F.lit("-Inf"))
-        .when(d == 0, F.concat(sign, F.lit("0")))
-        .when((exponent < -4) | (exponent >= 6), F.concat(sign, scientific))
-        .otherwise(F.concat(sign, fixed))
+        .when(size == float("inf"), F.when(d > 0, "+Inf").otherwise("-Inf"))
+        .when((size < 1e6) & ((size >= 1e-3) | (size == 0)), rewrite(s, (r"\.0$", "")))
+        .when((size >= 1e6) & (size < 1e7), F.concat(
+            rewrite(s, (r"^(-?\d)(\d{6})\.(\d+)$", "$1.$2$3"), *strip), F.lit("e+06")))
+        .when((size >= 1e-4) & (size < 1e-3), rewrite(s, (r"(\d)\.(\d*)E-4$", "0.000$1$2"), strip[0]))
+        .otherwise(rewrite(s, (r"\.0E", "E"), (r"E(\d)$", "e+0$1"), (r"E(\d+)$", "e+$1"), (r"E-(\d)$", "e-0$1"),
+                           (r"E-", "e-")))
     )
 
 
@@ -78,36 +67,30 @@ def is_number(v: Column) -> Column:
     return kind(v).rlike(NUMERIC_KINDS)
 
 
-def text(v: Column) -> Column:
+def text(v: Column, k: Column | None = None) -> Column:
     """String content of a VARIANT leaf, NULL for any other type."""
-    return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.when((kind(v) if k is None else k) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def number(v: Column) -> Column:
+def number(v: Column, k: Column | None = None) -> Column:
     """Double of a number or a numeric string; NULL for booleans, nulls and everything else."""
-    return F.when(is_number(v), F.try_variant_get(v, "$", "double")).otherwise(parse_number(text(v)))
+    k = kind(v) if k is None else k
+    return F.when(k.rlike(NUMERIC_KINDS), F.try_variant_get(v, "$", "double")).otherwise(
+        F.when(k == "STRING", parse_number(F.try_variant_get(v, "$", "string"))))
 
 
-def printed(v: Column) -> Column:
+def printed(v: Column, k: Column | None = None) -> Column:
     """Text form used by equality checks and messages."""
-    k = kind(v)
+    k = kind(v) if k is None else k
     return (
         F.when(k == "VOID", F.lit("<nil>"))
         .when(k == "STRING", F.try_variant_get(v, "$", "string"))
-        .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("string"))
+        .when(k == "BOOLEAN", F.try_variant_get(v, "$", "string"))
         .when(k.rlike(NUMERIC_KINDS), number_text(F.try_variant_get(v, "$", "double")))
         .otherwise(F.to_json(v))
     )
 
 
-def same_printed(a: Column, b: Column) -> Column:
-    """``printed(a) == printed(b)``, comparing as doubles when both are numbers."""
-    both = is_number(a) & is_number(b)
-    return F.when(both, F.try_variant_get(a, "$", "double") == F.try_variant_get(b, "$", "double")).otherwise(
-        printed(a) == printed(b)
-    )
-
-
 def field(data: Column, name: Column) -> Column:
     return F.try_element_at(data, F.coalesce(name, F.lit("")))
 

@@ -11,55 +11,79 @@ from slipway.schema import RUN_KEY
 NUMERIC_CHECKS = ["gte", "lte", "gt", "lt"]
 
 
-def verdict(check: Column, field: Column, value: Column, data: Column, now: Column, *, age_gt: bool = False) -> Column:
-    """Struct (passed, reason_code, reason) of one rule on one sensor's fields; ``data`` is NULL when missing.
+def evaluate(matched: DataFrame, *, now: Column, rule: Column | str = "rule", age_gt: bool = False,
+             reasons: bool = False) -> DataFrame:
+    """Add ``passed`` and ``reason_code`` (and message text in ``reason``) of each row's rule on its ``data``.
 
-    Order of tests: exists, sensor present, field present, then the check itself. ``age_gt`` is unknown unless
-    switched on.
+    Order of tests: exists, sensor present, field present, then the check itself. ``data`` is NULL when the
+    sensor is missing; ``age_gt`` is unknown unless switched on. Values are decoded in steps, each one column, so
+    that no decoding is repeated inside the verdict; messages are built for failed rows only.
     """
-    name = F.coalesce(field, F.lit(""))
-    actual = V.field(data, name)
-    a, t = V.number(actual), V.number(value)
-    compare = (
-        F.when(check == "gte", a >= t).when(check == "lte", a <= t).when(check == "gt", a > t).otherwise(a < t)
-    )
-    seen_text, age_text = V.text(actual), V.text(value)
-    seen, limit = V.rfc3339(seen_text), V.duration_micros(age_text)
-    age = F.unix_micros(now) - F.unix_micros(seen)
-    ages = check.isin("age_lt", "age_gt") if age_gt else check == "age_lt"
-    age_ok = F.when(check == "age_gt", age > limit).otherwise(age < limit)
-    quoted_field = F.concat(F.lit("field "), V.quoted(name))
-
-    def fail(code: str, *text: Column | str) -> Column:
-        parts = [F.lit(p) if isinstance(p, str) else p for p in text]
-        return F.struct(F.lit(False).alias("passed"), F.lit(code).alias("reason_code"),
-                        F.concat(*parts).alias("reason"))
-
-    ok = F.struct(F.lit(True).alias("passed"), F.lit(None).cast("string").alias("reason_code"),
-                  F.lit(None).cast("string").alias("reason"))
-    numeric = check.isin(*NUMERIC_CHECKS)
-    return (
-        F.when(data.isNull(), fail("missing_sensor", "sensor key does not exist"))
-        .when(check == "exists", ok)
-        .when(~V.has_field(data, name), fail("missing_field", quoted_field, " not found in sensor data"))
-        .when((check == "equals") & V.same_printed(actual, value), ok)
-        .when(check == "equals", fail("not_equal", "expected ", V.printed(value), ", got ", V.printed(actual)))
-        .when(numeric & a.isNull(),
-              fail("field_not_numeric", quoted_field, " value ", V.printed(actual), " is not numeric"))
-        .when(numeric & t.isNull(), fail("value_not_numeric", "rule value ", V.printed(value), " is not numeric"))
-        .when(numeric & F.when(F.isnan(a) | F.isnan(t), F.lit(False)).otherwise(compare), ok)
-        .when(numeric, fail("compare_false", V.number_text(a), " ", check, " ", V.number_text(t), " is false"))
-        .when(ages & seen_text.isNull(), fail("not_timestamp_text", quoted_field, " value is not a string timestamp"))
-        .when(ages & seen.isNull(), fail("bad_timestamp", quoted_field, " value ", V.quoted(seen_text),
-                                         " is not a valid RFC3339 timestamp"))
-        .when(ages & age_text.isNull(),
-              fail("value_not_duration", "rule value ", V.printed(value), " is not a duration string"))
-        .when(ages & limit.isNull(),
-              fail("bad_duration", "rule value ", V.quoted(age_text), " is not a valid duration"))
-        .when(ages & age_ok, ok)
-        .when(ages, fail("too_old", "age ", V.duration_text(age), " exceeds threshold ", V.duration_text(limit)))
-        .otherwise(fail("unknown_operator", "unknown operator ", V.quoted(check)))
+    r = F.col(rule) if isinstance(rule, str) else rule
+    check, name = r["check"], F.coalesce(r["field"], F.lit(""))
+    c = F.col
+    steps = matched.withColumns({
+        "_check": check, "_name": name, "_v": r["value"], "_a": V.field(c("data"), name),
+        "_has": V.has_field(c("data"), name)})
+    steps = steps.withColumns({"_ka": V.kind(c("_a")), "_kv": V.kind(c("_v"))})
+    numeric = c("_check").isin(*NUMERIC_CHECKS)
+    ages = c("_check").isin("age_lt", "age_gt") if age_gt else c("_check") == "age_lt"
+    steps = steps.withColumns({
+        "_na": F.when(numeric, V.number(c("_a"), c("_ka"))), "_nv": F.when(numeric, V.number(c("_v"), c("_kv"))),
+        "_seen": F.when(ages & (c("_ka") == "STRING"), V.rfc3339(F.try_variant_get("_a", "$", "string"))),
+        "_limit": F.when(ages & (c("_kv") == "STRING"), V.duration_micros(F.try_variant_get("_v", "$", "string"))),
+    })
+    a, t, k = c("_na"), c("_nv"), c("_check")
+    compare = (k.isin("gt", "gte") & (a > t)) | (k.isin("lt", "lte") & (a < t)) | (k.isin("gte", "lte") & (a == t))
+    compare = compare & ~F.isnan(a) & ~F.isnan(t)
+    both_numbers = c("_ka").rlike(V.NUMERIC_KINDS) & c("_kv").rlike(V.NUMERIC_KINDS)
+    equal = F.when(both_numbers, F.try_variant_get("_a", "$", "double") == F.try_variant_get("_v", "$", "double")) \
+        .otherwise(V.printed(c("_a"), c("_ka")) == V.printed(c("_v"), c("_kv")))
+    age = F.unix_micros(now) - F.unix_micros("_seen")
+    age_ok = F.when(k == "age_gt", age > c("_limit")).otherwise(age < c("_limit"))
+    code = (
+        F.when(c("data").isNull(), "missing_sensor")
+        .when(k == "exists", None)
+        .when(~c("_has"), "missing_field")
+        .when(k == "equals", F.when(~equal, "not_equal"))
+        .when(numeric, F.when(a.isNull(), "field_not_numeric").when(t.isNull(), "value_not_numeric")
+              .when(~compare, "compare_false"))
+        .when(ages, F.when(c("_ka") != "STRING", "not_timestamp_text").when(c("_seen").isNull(), "bad_timestamp")
+              .when(c("_kv") != "STRING", "value_not_duration").when(c("_limit").isNull(), "bad_duration")
+              .when(~age_ok, "too_old"))
+        .otherwise("unknown_operator")
     )
+    out = steps.withColumn("reason_code", code)
+    out = out.withColumn("passed", c("reason_code").isNull())
+    if reasons:
+        out = out.withColumn("reason", _reason_text(age))
+    return out.drop("_check", "_name", "_v", "_a", "_has", "_ka", "_kv", "_na", "_nv", "_seen", "_limit")
+
+
+def _reason_text(age: Column) -> Column:
+    c, lit = F.col, F.lit
+    actual, wanted = V.printed(c("_a"), c("_ka")), V.printed(c("_v"), c("_kv"))
+    field = F.concat(lit("field "), V.quoted(c("_name")))
+    messages = {
+        "missing_sensor": lit("sensor key does not exist"),
+        "missing_field": F.concat(field, lit(" not found in sensor data")),
+        "not_equal": F.concat(lit("expected "), wanted, lit(", got "), actual),
+        "field_not_numeric": F.concat(field, lit(" value "), actual, lit(" is not numeric")),
+        "value_not_numeric": F.concat(lit("rule value "), wanted, lit(" is not numeric")),
+        "compare_false": F.concat(V.number_text(c("_na")), lit(" "), c("_check"), lit(" "),
+                                  V.number_text(c("_nv")), lit(" is false")),
+        "not_timestamp_text": F.concat(field, lit(" value is not a string timestamp")),
+        "bad_timestamp": F.concat(field, lit(" value "), V.quoted(actual), lit(" is not a valid RFC3339 timestamp")),
+        "value_not_duration": F.concat(lit("rule value "), wanted, lit(" is not a duration string")),
+        "bad_duration": F.concat(lit("rule value "), V.quoted(wanted), lit(" is not a valid Go duration")),
+        "too_old": F.concat(lit("age "), V.duration_text(age), lit(" exceeds threshold "),
+                            V.duration_text(c("_limit"))),
+        "unknown_operator": F.concat(lit("unknown operator "), V.quoted(c("_check"))),
+    }
+    out = lit(None).cast("string")
+    for code, text in messages.items():
+        out = F.when(c("reason_code") == code, text).otherwise(out)
+    return out
 
 
 def explode_rules(df: DataFrame, rules: Column, *, outer: bool = False) -> DataFrame:
@@ -75,13 +99,6 @@ def match_sensors(rules: DataFrame, sensors: DataFrame) -> DataFrame:
     return rules.withColumn("_key", F.col("rule.key")).join(s, ["pipeline_id", "_key"], "left").drop("_key")
 
 
-def evaluate(matched: DataFrame, *, now: Column, age_gt: bool = False) -> DataFrame:
-    """Add (passed, reason_code, reason) to matched rules."""
-    r = F.col("rule")
-    v = verdict(r["check"], r["field"], r["value"], F.col("data"), now, age_gt=age_gt)
-    return matched.withColumn("_v", v).select("*", "_v.*").drop("_v")
-
-
 def combine(results: DataFrame, keys: list[str], mode: str = "mode") -> DataFrame:
     """Verdict per group: ANY (any case) needs one pass, every other mode needs all; no rules: ALL passes."""
     counted = results.groupBy(*keys, mode).agg(
@@ -91,32 +108,33 @@ def combine(results: DataFrame, keys: list[str], mode: str = "mode") -> DataFram
         "passed", F.when(any_mode, F.col("n_passed") > 0).otherwise(F.col("n_passed") == F.col("n_rules")))
 
 
-def readiness(runs: DataFrame, configs: DataFrame, sensors: DataFrame, *, now: Column) -> DataFrame:
+def readiness(runs: DataFrame, configs: DataFrame, sensors: DataFrame, *, now: Column,
+              reasons: bool = False) -> DataFrame:
     """Readiness of every run (RUN_KEY): passed, counts and ordered per-rule results; NULL config is an error row.
 
     Rules see per-period sensors of the run's execution date.
     """
     c = configs.select("pipeline_id", F.col("cfg.validation.trigger").alias("mode"),
                        F.col("cfg.validation.rules").alias("rules"))
-    with_cfg = runs.select(*RUN_KEY).join(c.withColumn("_has", F.lit(True)), "pipeline_id", "left")
-    rules = with_cfg.select(*RUN_KEY, "mode", "_has", F.posexplode_outer("rules").alias("pos", "rule"))
+    with_cfg = runs.select(*RUN_KEY).join(c.withColumn("_known", F.lit(True)), "pipeline_id", "left")
+    rules = with_cfg.select(*RUN_KEY, "mode", "_known", F.posexplode_outer("rules").alias("pos", "rule"))
     wanted = rules.filter(F.col("pos").isNotNull()).select(
         "pipeline_id", "exec_date", F.col("rule.key").alias("key")).distinct()
     answers = remap_periods(wanted, sensors)
     matched = rules.withColumn("key", F.col("rule.key")).join(answers, ["pipeline_id", "exec_date", "key"], "left")
-    results = evaluate(matched, now=now)
+    results = evaluate(matched, now=now, reasons=reasons)
     any_mode = F.upper(F.coalesce("mode", F.lit(""))) == "ANY"
-    grouped = results.groupBy(*RUN_KEY, "mode", "_has").agg(
+    grouped = results.groupBy(*RUN_KEY, "mode", "_known").agg(
         F.count_if(F.col("passed") & F.col("pos").isNotNull()).alias("n_passed"), F.count("pos").alias("n_rules"),
         F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(
-            "pos", F.col("rule.key").alias("key"), "passed", "reason_code", "reason")))).alias("results"),
+            "pos", F.col("rule.key").alias("key"), "passed", "reason_code", *(["reason"] if reasons else []))))).alias("results"),
     )
     passed = F.when(any_mode, F.col("n_passed") > 0).otherwise(F.col("n_passed") == F.col("n_rules"))
     return grouped.select(
         *RUN_KEY, "mode", "n_passed", "n_rules",
-        F.when(F.col("_has").isNull(), "error").when(passed, "passed").otherwise("not_ready").alias("status"),
-        F.when(F.col("_has").isNull(), F.lit("no config")).alias("error"), "results",
-        F.when(F.col("_has") & passed, F.lit("VALIDATION_PASSED")).alias("event_type"),
+        F.when(F.col("_known").isNull(), "error").when(passed, "passed").otherwise("not_ready").alias("status"),
+        F.when(F.col("_known").isNull(), F.lit("no config")).alias("error"), "results",
+        F.when(F.col("_known") & passed, F.lit("VALIDATION_PASSED")).alias("event_type"),
     )
 
 
@@ -130,9 +148,7 @@ def trigger_hits(sensor_log: DataFrame, configs: DataFrame, *, now: Column | Non
     t = configs.filter(F.col("cfg.schedule.trigger").isNotNull())
     j = sensor_log.join(t, "pipeline_id").filter(
         F.col("sensor_key").startswith(F.coalesce(F.col("cfg.schedule.trigger.key"), F.lit(""))))
-    trig = F.col("cfg")["schedule"]["trigger"]
-    v = verdict(trig["check"], trig["field"], trig["value"], F.col("data"), at)
-    return j.filter(v["passed"])
+    return evaluate(j, rule=F.col("cfg")["schedule"]["trigger"], now=at).filter("passed").drop("passed", "reason_code")
 
 
 def config_errors(configs: DataFrame) -> DataFrame:

@@ -12,14 +12,14 @@ VIEWS: dict[str, str] = {
         SELECT 'p' || user_id AS pipeline_id, user_id AS u,
           CASE user_id % 4 WHEN 2 THEN event_type || '#' || strftime(ts, '%Y-%m-%d')
             WHEN 3 THEN event_type || '#' || strftime(ts, '%Y%m%d') ELSE event_type END AS sensor_key,
-          event_type, ts, epoch_ms(ts) AS ts_ms, event_id AS seq, value,
+          event_type, ts, (epoch_us(ts) // 1000) AS ts_ms, event_id AS seq, value,
           CASE WHEN event_id % 2 = 0 THEN 'ready' ELSE 'pending' END AS status,
           CASE WHEN user_id % 3 = 0 THEN strftime(ts, '%Y%m%d') ELSE strftime(ts, '%Y-%m-%d') END AS date_s,
           CASE WHEN user_id % 6 = 1 THEN strftime(ts, '%H') END AS hour_s,
           strftime(ts, '%Y-%m-%d') || CASE WHEN user_id % 6 = 1 THEN strftime(ts, 'T%H') ELSE '' END AS exec_date,
-          CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN epoch_ms(ts) // 1000 ELSE epoch_ms(ts) END AS upd_raw,
-          CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN (epoch_ms(ts) // 1000) * 1000
-            ELSE epoch_ms(ts) END AS upd_ms,
+          CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN (epoch_us(ts) // 1000) // 1000 ELSE (epoch_us(ts) // 1000) END AS upd_raw,
+          CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN ((epoch_us(ts) // 1000) // 1000) * 1000
+            ELSE (epoch_us(ts) // 1000) END AS upd_ms,
           date_trunc('second', ts) AS seen_at,
           CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
         FROM events""",
@@ -83,7 +83,7 @@ VIEWS: dict[str, str] = {
         SELECT pipeline_id, p, CASE WHEN p % 2 = 0 THEN 'cron' ELSE 'stream' END AS schedule_id,
           day_s || CASE WHEN p % 6 = 1 THEN 'T' || lpad(CAST(off_ms // 3600000 AS VARCHAR), 2, '0') ELSE '' END
             AS exec_date,
-          epoch_ms(day) AS day_ms, epoch_ms(day) + off_ms AS event_ms, o_orderkey AS seq, o_orderkey,
+          (epoch_us(day) // 1000) AS day_ms, (epoch_us(day) // 1000) + off_ms AS event_ms, o_orderkey AS seq, o_orderkey,
           CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'fail' ELSE 'timeout' END AS event,
           CASE WHEN o_orderstatus = 'O' THEN 'job failed with status ' ||
             CASE WHEN o_orderpriority = '1-URGENT' THEN '404' ELSE '503' END END AS error,
@@ -144,7 +144,7 @@ VIEWS: dict[str, str] = {
             WHEN chk = 'equals' THEN CASE WHEN s.status <> 'ready' THEN 'not_equal' END
             WHEN chk = 'gte' THEN CASE WHEN NOT s.value >= num THEN 'compare_false' END
             WHEN chk = 'lt' THEN CASE WHEN NOT s.value < num THEN 'compare_false' END
-            WHEN chk = 'age_lt' THEN CASE WHEN NOT epoch_ms({NOW}) - epoch_ms(s.seen_at) < 86400000 THEN 'too_old' END
+            WHEN chk = 'age_lt' THEN CASE WHEN NOT (epoch_us({NOW}) // 1000) - (epoch_us(s.seen_at) // 1000) < 86400000 THEN 'too_old' END
             ELSE 'unknown_operator' END AS reason_code
         FROM rules r LEFT JOIN sens s ON s.pipeline_id = r.pipeline_id AND s.sensor_key = r.key""",
     # Sensor rows that meet their pipeline's trigger condition.

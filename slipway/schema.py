@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 RULE = "STRUCT<key: STRING, check: STRING, field: STRING, value: VARIANT>"
 
 # The pipeline configuration document.
@@ -24,14 +22,9 @@ CONFIG_DDL = f"""
     postRun STRUCT<rules: ARRAY<{RULE}>, sensorTimeout: STRING, driftThreshold: DOUBLE, driftField: STRING>,
     dryRun BOOLEAN
 """
-CONFIG = T.StructType.fromDDL(CONFIG_DDL)
+CONFIG_STRUCT = f"STRUCT<{CONFIG_DDL}>"
 
-# One row of the key/value control table; ``data`` is JSON text as delivered by the change stream.
-CONTROL = T.StructType.fromDDL(
-    "pk STRING, sk STRING, seq BIGINT, ts TIMESTAMP, config STRING, data STRING, status STRING, reason STRING,"
-    " event STRING, error STRING, ttl BIGINT"
-)
-CALENDAR = T.StructType.fromDDL("name STRING, days ARRAY<STRING>, dates ARRAY<STRING>")
+CALENDAR_DDL = "name STRING, days ARRAY<STRING>, dates ARRAY<STRING>"
 
 RUN_KEY = ["pipeline_id", "schedule_id", "exec_date"]
 

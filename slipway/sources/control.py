@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slipway.functions.ordered import DAY_MS, earliest_by, latest_by, running_before
 from slipway.functions.values import non_null_text
-from slipway.schema import CALENDAR, CONFIG, LOCK_SECONDS, RUN_KEY
+from slipway.schema import CALENDAR_DDL, CONFIG_DDL, LOCK_SECONDS, RUN_KEY
 
 JOB_TTL_SECONDS = 30 * 86_400
 
@@ -15,26 +15,26 @@ JOB_TTL_SECONDS = 30 * 86_400
 
 def scan_configs(control: DataFrame) -> DataFrame:
     """CONFIG rows parsed to ``cfg``; a row that does not parse has NULL ``cfg`` and an ``error``."""
-    rows = control.filter(F.col("sk") == "CONFIG").select(
+    rows = control.filter((F.col("kind") == "config") & (F.col("sk") == "CONFIG")).select(
         F.regexp_replace("pk", "^PIPELINE#", "").alias("pipeline_id"), "config")
-    parsed = rows.withColumn("cfg", F.from_json("config", CONFIG, {"mode": "PERMISSIVE"}))
+    parsed = rows.withColumn("cfg", F.from_json("config", CONFIG_DDL, {"mode": "PERMISSIVE"}))
     bad = F.col("config").isNull() | F.col("cfg").isNull() | F.col("cfg.pipeline").isNull()
     return parsed.select(
         "pipeline_id", F.when(~bad, F.col("cfg")).alias("cfg"), F.when(bad, "unparseable config").alias("error"))
 
 
-def load_config_files(spark: SparkSession, path: str) -> DataFrame:
-    """Configs from a directory of JSON documents; documents without ``pipeline.id`` are rejected with an error."""
-    docs = spark.read.schema(CONFIG).option("multiLine", True).json(path)
+def load_config_files(spark: SparkSession, path: str, *, one_per_file: bool = False) -> DataFrame:
+    """Configs from a directory of JSON documents (one per line, or one per file); documents without ``pipeline.id`` are rejected with an error."""
+    docs = spark.read.schema(CONFIG_DDL).option("multiLine", one_per_file).json(path)
     ok = non_null_text(F.col("pipeline.id"))
     return docs.select(
         F.col("pipeline.id").alias("pipeline_id"), F.struct(*docs.columns).alias("cfg"),
         F.when(~ok, "missing pipeline.id").alias("error"))
 
 
-def load_calendars(spark: SparkSession, path: str) -> DataFrame:
+def load_calendars(spark: SparkSession, path: str, *, one_per_file: bool = False) -> DataFrame:
     """Named calendars; a calendar without a name is dropped to ``error``."""
-    docs = spark.read.schema(CALENDAR).option("multiLine", True).json(path)
+    docs = spark.read.schema(CALENDAR_DDL).option("multiLine", one_per_file).json(path)
     return docs.withColumn("error", F.when(~non_null_text(F.col("name")), "missing name"))
 
 
@@ -46,7 +46,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def all_sensors(control: DataFrame) -> DataFrame:
     """SENSOR rows with their bare key (prefix filter reaches the scan)."""
-    return control.filter(F.col("sk").startswith("SENSOR#")).select(
+    return control.filter((F.col("kind") == "sensor") & F.col("sk").startswith("SENSOR#")).select(
         F.regexp_replace("pk", "^PIPELINE#", "").alias("pipeline_id"),
         F.regexp_replace("sk", "^SENSOR#", "").alias("sensor_key"), "ts", "seq", "data")
 
@@ -57,7 +57,8 @@ def lookup(requests: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_triggers(control: DataFrame) -> DataFrame:
-    return control.filter(F.col("sk").startswith("TRIGGER#") & (F.col("status") == "RUNNING"))
+    return control.filter(
+        (F.col("kind") == "trigger") & F.col("sk").startswith("TRIGGER#") & (F.col("status") == "RUNNING"))
 
 
 def has_trigger_for_date(dates: DataFrame, triggers: DataFrame) -> DataFrame:
@@ -74,9 +75,6 @@ def has_trigger_for_date(dates: DataFrame, triggers: DataFrame) -> DataFrame:
     return dates.join(t, RUN_KEY, "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-ROUTES = {"SENSOR#": "sensor", "CONFIG": "config", "JOB#": "job", "RERUN_REQUEST#": "rerun_request"}
-
-
 def route_changes(changes: DataFrame) -> DataFrame:
     """Add ``route`` from the sort key; rows without keys get ``error`` and never stop the batch."""
     sk = F.col("sk")
@@ -191,25 +189,31 @@ def dead_letters(rejects: DataFrame) -> DataFrame:
 
 def control_table(configs: DataFrame, sensor_log: DataFrame, triggers: DataFrame, requests: DataFrame,
                   job_log: DataFrame) -> DataFrame:
-    """The key/value form of the typed tables, as a change stream would deliver it."""
+    """The key/value form of the typed tables, as a change stream would deliver it.
+
+    ``kind`` repeats the key prefix as a low-cardinality column: store the table partitioned by it and every
+    prefix scan prunes to its own files.
+    """
     def key(*parts: str | Column) -> Column:
         return F.concat_ws("#", *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
     pk = F.concat(F.lit("PIPELINE#"), F.col("pipeline_id")).alias("pk")
     c = F.col
-    rows = [
-        configs.select(pk, F.lit("CONFIG").alias("sk"), F.to_json("cfg").alias("config")),
-        sensor_log.select(pk, key("SENSOR", c("sensor_key")).alias("sk"), "seq", "ts", F.to_json("data").alias("data")),
-        triggers.select(pk, key("TRIGGER", c("schedule_id"), c("exec_date")).alias("sk"), "status",
-                        c("ttl_epoch").alias("ttl")),
-        requests.select(pk, key("RERUN_REQUEST", c("schedule_id"), c("exec_date")).alias("sk"), "seq", "reason",
-                        F.timestamp_millis("requested_ms").alias("ts")),
-        job_log.select(pk, key("JOB", c("schedule_id"), c("exec_date"), c("event_ms").cast("string")).alias("sk"),
-                       "seq", "event", "error", F.timestamp_millis("event_ms").alias("ts")),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
+    rows = {
+        "config": configs.select(pk, F.lit("CONFIG").alias("sk"), F.to_json("cfg").alias("config")),
+        "sensor": sensor_log.select(pk, key("SENSOR", c("sensor_key")).alias("sk"), "seq", "ts",
+                                    F.to_json("data").alias("data")),
+        "trigger": triggers.select(pk, key("TRIGGER", c("schedule_id"), c("exec_date")).alias("sk"), "status",
+                                   c("ttl_epoch").alias("ttl")),
+        "rerun_request": requests.select(
+            pk, key("RERUN_REQUEST", c("schedule_id"), c("exec_date")).alias("sk"), "seq", "reason",
+            F.timestamp_millis("requested_ms").alias("ts")),
+        "job": job_log.select(
+            pk, key("JOB", c("schedule_id"), c("exec_date"), c("event_ms").cast("string")).alias("sk"),
+            "seq", "event", "error", F.timestamp_millis("event_ms").alias("ts")),
+    }
+    tagged = [df.withColumn("kind", F.lit(k)) for k, df in rows.items()]
+    out = tagged[0]
+    for r in tagged[1:]:
         out = out.unionByName(r, allowMissingColumns=True)
     return out
-
-

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slipway.functions import zones as Z
-from slipway.schema import CONFIG, LOCK_SECONDS
+from slipway.schema import LOCK_SECONDS
 
 NOW_TEXT = "2024-01-30 21:30:00"
 JOB_TYPES = [
@@ -168,7 +168,7 @@ def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(u % 9 != 4, post_run).alias("postRun"),
         (u % 7 == 0).alias("dryRun"),
     )
-    return users.select(F.concat(F.lit("p"), u.cast("string")).alias("pipeline_id"), cfg.cast(CONFIG).alias("cfg"))
+    return users.select(F.concat(F.lit("p"), u.cast("string")).alias("pipeline_id"), cfg.alias("cfg"))
 
 
 def _orders_runs(orders: DataFrame) -> DataFrame:
