@@ -289,7 +289,7 @@ def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 89 == 7, F.concat(F.lit("24/01/30 FATAL Main - "), F.col("line")))
         .otherwise(F.col("line"))
     )
-    analysis = F.concat(F.lit('{"Event":"AnalysisJobFailed","Failure Reason":"'),
+    analysis = F.concat(F.lit('{"Event":"GlueExceptionAnalysisJobFailed","Failure Reason":"'),
                         F.regexp_replace(F.substring("line", 1, 20), '"', ""), F.lit('"}'))
     rca = n % 211 == 11
     return d.select(
