@@ -30,7 +30,15 @@ def to_local(ts: Column, zone: Column) -> Column:
 
 
 def to_utc(local: Column, zone: Column) -> Column:
-    return F.to_utc_timestamp(local, zone)
+    """Local wall time to UTC, with the reference's choice inside daylight-saving folds and gaps.
+
+    The offset used is the one in force at (local - offset in force at local read as UTC).
+    """
+    def offset(at_micros: Column) -> Column:
+        return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(at_micros), zone)) - at_micros
+
+    us = F.unix_micros(local)
+    return F.timestamp_micros(us - offset(us - offset(us)))
 
 
 def plus_seconds(ts: Column, seconds: Column | float) -> Column:

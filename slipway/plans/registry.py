@@ -7,26 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slipway.plans import views
-from slipway.session import prepare
+from slipway.session import prepare, work_dir
 from slipway.sources import control as S, fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+STORED = ("sensor_log", "sensors", "configs", "job_log", "triggers", "reruns", "rerun_requests")
+_paths: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
-    """The control-plane views of one data directory."""
+    """The control-plane tables of one data directory.
+
+    Derived tables are written once per session into the shared folder and read back, as a deployment would keep
+    them; queries then scan stored tables with column pruning and filter pushdown.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.now = X.now()
 
-    def __getattr__(self, name: str) -> DataFrame:
+    def _derive(self, name: str) -> DataFrame:
+        if name == "sensors":
+            return S.latest_sensors(self.sensor_log)
         return getattr(X, name)(self.spark, self.sf_dir)
 
-    @property
-    def sensors(self) -> DataFrame:
-        return S.latest_sensors(self.sensor_log)
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in STORED:
+            return getattr(X, name)(self.spark, self.sf_dir)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _paths:
+            path = work_dir(self.spark, name)
+            self._derive(name).write.parquet(path)
+            _paths[key] = path
+        return self.spark.read.parquet(_paths[key])
+
+    def store_all(self) -> None:
+        for name in STORED:
+            getattr(self, name)
 
     @property
     def control(self) -> DataFrame:

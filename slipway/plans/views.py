@@ -17,9 +17,12 @@ VIEWS: dict[str, str] = {
           CASE WHEN user_id % 3 = 0 THEN strftime(ts, '%Y%m%d') ELSE strftime(ts, '%Y-%m-%d') END AS date_s,
           CASE WHEN user_id % 6 = 1 THEN strftime(ts, '%H') END AS hour_s,
           strftime(ts, '%Y-%m-%d') || CASE WHEN user_id % 6 = 1 THEN strftime(ts, 'T%H') ELSE '' END AS exec_date,
-          CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN (epoch_us(ts) // 1000) // 1000 ELSE (epoch_us(ts) // 1000) END AS upd_raw,
-          CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN ((epoch_us(ts) // 1000) // 1000) * 1000
-            ELSE (epoch_us(ts) // 1000) END AS upd_ms,
+          CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0
+            THEN ((epoch_us(ts) // 1000 - CASE WHEN user_id % 4 = 0 THEN 5184000000 ELSE 0 END) // 1000)
+            ELSE epoch_us(ts) // 1000 - CASE WHEN user_id % 4 = 0 THEN 5184000000 ELSE 0 END END AS upd_raw,
+          CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0
+            THEN ((epoch_us(ts) // 1000 - CASE WHEN user_id % 4 = 0 THEN 5184000000 ELSE 0 END) // 1000) * 1000
+            ELSE epoch_us(ts) // 1000 - CASE WHEN user_id % 4 = 0 THEN 5184000000 ELSE 0 END END AS upd_ms,
           date_trunc('second', ts) AS seen_at,
           CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
         FROM events""",
@@ -147,6 +150,28 @@ VIEWS: dict[str, str] = {
             WHEN chk = 'age_lt' THEN CASE WHEN NOT (epoch_us({NOW}) // 1000) - (epoch_us(s.seen_at) // 1000) < 86400000 THEN 'too_old' END
             ELSE 'unknown_operator' END AS reason_code
         FROM rules r LEFT JOIN sens s ON s.pipeline_id = r.pipeline_id AND s.sensor_key = r.key""",
+    # Run state per run from the latest job event, with the planned deadline clock at the start of its day.
+    "arrivals": """
+        SELECT pipeline_id, schedule_id, exec_date, ts_ms AS arrival_ms, seq FROM hits QUALIFY row_number() OVER (
+          PARTITION BY pipeline_id, schedule_id, exec_date ORDER BY ts_ms, seq) = 1""",
+    "marks": "SELECT DISTINCT pipeline_id, exec_date FROM reqs WHERE reason = ''",
+    "finished": """
+        SELECT pipeline_id, schedule_id, exec_date FROM trig WHERE status <> 'RUNNING'
+        UNION SELECT pipeline_id, schedule_id, exec_date FROM latest""",
+    "fresh": "SELECT pipeline_id, max(upd_ms) AS max_upd FROM sens GROUP BY pipeline_id",
+    "bl": """
+        SELECT l.pipeline_id, l.schedule_id, l.exec_date, l.event_ms AS captured_ms, 'purchase' AS rule_key,
+          s.ts_ms AS sensor_ms, s.seq AS sensor_seq, s.value AS base_value
+        FROM latest l JOIN cfg c USING (pipeline_id) JOIN slog s ON s.pipeline_id = l.pipeline_id
+          AND s.event_type = 'purchase' AND s.ts_ms <= l.event_ms AND s.sensor_key IN ('purchase',
+            'purchase#' || l.exec_date, 'purchase#' || replace(l.exec_date, '-', ''))
+        WHERE l.event = 'success' AND c.has_post
+        QUALIFY row_number() OVER (PARTITION BY l.pipeline_id, l.schedule_id, l.exec_date ORDER BY
+          CASE WHEN s.sensor_key = 'purchase' THEN 2 WHEN contains(s.sensor_key, '-') THEN 0 ELSE 1 END,
+          s.ts_ms DESC, s.seq DESC) = 1""",
+    "postm": """
+        SELECT s.*, c.schedule_id, c.drift_threshold, c.excl_weekends, c.excl_dates, c.dry_run FROM slog s
+        JOIN okcfg c USING (pipeline_id) WHERE c.has_post AND c.has_trigger AND s.event_type = 'purchase'""",
     # Sensor rows that meet their pipeline's trigger condition.
     "hits": """
         SELECT s.*, c.schedule_id, c.tz, c.excl_weekends, c.excl_dates, c.dry_run, c.max_s, c.exp_s
@@ -169,8 +194,9 @@ def local(ts: str, tz: str) -> str:
 
 
 def utc(local_ts: str, tz: str) -> str:
-    """Naive local time to naive UTC."""
-    return f"timezone('UTC', timezone({tz}, {local_ts}))"
+    """Naive local time to naive UTC: the offset in force at (local - offset at local read as UTC)."""
+    first = f"({local_ts} - ({local(local_ts, tz)} - {local_ts}))"
+    return f"({local_ts} - ({local(first, tz)} - {first}))"
 
 
 def expand(sql: str, extra: dict[str, str] | None = None) -> str:

@@ -41,7 +41,7 @@ def _rule(key: str, check: str, field: str, value: Column) -> Column:
 
 def sensor_data(e: DataFrame) -> Column:
     u, i, ts = F.col("user_id"), F.col("event_id"), F.col("ts").cast("timestamp")
-    ms = F.unix_millis(ts)
+    ms = F.unix_millis(ts) - F.when(u % 4 == 0, 60 * 86_400_000).otherwise(0)
     updated = (
         F.when(i % 7 == 0, ms.cast("string").cast("variant"))
         .when(i % 5 == 0, F.floor(ms / 1000).cast("bigint").cast("variant"))
