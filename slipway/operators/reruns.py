@@ -1,24 +1,28 @@
 """Rerun, retry and late-data decisions.
 
-Requests of one run compete for budgets in time order. The order effects reduce to three running counts, so the
-decisions need no per-run loop:
+Requests of one run compete for budgets in time order. The order effects reduce to bounded facts about the run,
+so no per-run loop and no sort of a whole run is needed:
 
-* a request is stopped by the circuit breaker only when the latest job event is an unchanged success and no
-  earlier request already wrote an event after that success;
-* a request is within budget while fewer than ``budget - prior`` earlier requests of its class passed the breaker.
+* a request is stopped by the circuit breaker only when the latest job event is an unchanged success and the
+  request is the first one to write an event after it: a minimum per (run, job event);
+* the accepted requests of a class are the first ``budget - prior`` that pass the breaker. Valid budgets are at most
+  5 (retries at most 10), so they are a top-k per group, which Spark limits before the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from slipway.functions import values as V, zones as Z
-from slipway.functions.ordered import DAY_MS, HOUR_MS, as_of, earliest_by, running_before
+from slipway.functions.ordered import DAY_MS, as_of, earliest_by
+from slipway.operators.rules import valid_configs
 from slipway.operators.sla import latest_job_events
 from slipway.schema import RUN_KEY
+from slipway.session import staged
 
 DRIFT_REASONS = ["data-drift", "late-data"]
 RETRY_REASON = "job-fail-retry"
+MAX_RERUN_BUDGET, MAX_RETRIES = 5, 10  # bounds a valid config keeps
 
 
 def sensor_update_summary(sensors: DataFrame) -> DataFrame:
@@ -52,12 +56,13 @@ def rerun_class(reason: Column) -> Column:
     return F.when(reason.isin(*DRIFT_REASONS), "drift").otherwise(reason)
 
 
-def _prepared(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_log: DataFrame, sensors: DataFrame
-              ) -> DataFrame:
+def _prepared(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_log: DataFrame, sensors: DataFrame, *,
+              observe: bool) -> DataFrame:
     """Requests with class, budget, prior counts, the job event as of the request, and freshness."""
     c = F.col("cfg")
     reason = F.coalesce(F.nullif(F.col("reason"), F.lit("")), F.lit("manual"))
-    q = requests.withColumn("reason", reason).join(configs, "pipeline_id").select(
+    q = requests.withColumn("reason", reason).join(valid_configs(configs), "pipeline_id").filter(
+        F.coalesce(c["dryRun"], F.lit(False)) == observe).select(
         *RUN_KEY, "requested_ms", "seq", "reason", rerun_class(F.col("reason")).alias("class"),
         Z.excluded_date(c, F.col("exec_date")).alias("excluded"),
         F.when(rerun_class(F.col("reason")) == "drift", F.coalesce(c["job"]["maxDriftReruns"], F.lit(1)))
@@ -76,28 +81,35 @@ def _prepared(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_lo
 
 
 def rerun_decisions(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_log: DataFrame,
-                    triggers: DataFrame, sensors: DataFrame, *, bucket_ms: int = HOUR_MS) -> DataFrame:
+                    triggers: DataFrame, sensors: DataFrame) -> DataFrame:
     """One decision per request: excluded, rejected (limit or breaker), infra_failure (no lock row) or accepted.
 
-    ``configs`` are the valid, non-observation ones. ``attempt`` numbers accepted reruns after all earlier ones.
+    Only valid, non-observation configs decide; others give no row. ``seq`` must be unique within a run.
+    ``attempt`` numbers accepted reruns after all earlier ones. The prepared requests are written once, since three
+    steps read them.
     """
-    order = ["reason", "seq"]
-    q = _prepared(requests, configs, reruns, job_log, sensors).join(
+    q = _prepared(requests, configs, reruns, job_log, sensors, observe=False).join(
         triggers.select(*RUN_KEY, F.lit(True).alias("_lock")), RUN_KEY, "left")
-    no_room = F.col("prior") >= F.col("budget")
     q = q.withColumns({
         "has_lock": F.coalesce("_lock", F.lit(False)),
-        "_job_ms": F.coalesce("job.event_ms", F.lit(-1)),
-        "_excl": F.col("excluded"),
-    }).drop("_lock")
-    writes = F.col("has_lock") | no_room | F.col("unchanged_success")
-    q = running_before(q, [*RUN_KEY, "_job_ms"], "requested_ms", order, {"_writes": writes}, bucket_ms=bucket_ms)
-    q = q.withColumn("breaker", F.col("unchanged_success") & (F.col("_writes") == 0))
-    q = running_before(q, [*RUN_KEY, "class"], "requested_ms", order, {"_passes": ~F.col("breaker")},
-                       bucket_ms=bucket_ms)
-    used = F.when(F.col("has_lock"), F.least(F.col("_passes"), F.greatest(F.col("budget") - F.col("prior"), F.lit(0)))) \
-        .otherwise(F.lit(0))
-    over = (F.col("prior") + used) >= F.col("budget")
+        "job_ms": F.coalesce("job.event_ms", F.lit(-1)),
+        "room": F.greatest(F.col("budget") - F.col("prior"), F.lit(0)),
+        "at": F.struct("requested_ms", "reason", "seq"),
+    }).drop("_lock", "job")
+    q = staged(q, "rerun-requests")
+    writes = F.col("has_lock") | (F.col("room") == 0) | F.col("unchanged_success")
+    first = q.filter(writes).groupBy(*RUN_KEY, "job_ms").agg(F.min("at").alias("_first"))
+    q = q.join(first, [*RUN_KEY, "job_ms"], "left").withColumn(
+        "breaker", F.col("unchanged_success") & (F.col("at") == F.col("_first")))
+    by_class = W.partitionBy(*RUN_KEY, "class").orderBy("at")
+    top = q.filter(~F.col("breaker") & F.col("has_lock") & ~F.col("excluded") & (F.col("room") > 0)).withColumn(
+        "_rank", F.row_number().over(by_class)).filter(F.col("_rank") <= MAX_RERUN_BUDGET)
+    accepted = top.filter(F.col("_rank") <= F.col("room")).groupBy(*RUN_KEY).agg(
+        F.sort_array(F.collect_list(F.struct("at", "class"))).alias("_acc"))
+    q = q.join(accepted, RUN_KEY, "left")
+    same_class = F.filter("_acc", lambda x: x["class"] == F.col("class"))
+    used = F.coalesce(F.size(F.filter(same_class, lambda x: x["at"] < F.col("at"))), F.lit(0))
+    over = (F.col("prior") >= F.col("budget")) | F.when(F.col("has_lock"), used >= F.col("room")).otherwise(F.lit(False))
     decision = (
         F.when(F.col("excluded"), "excluded").when(over, "rejected").when(F.col("breaker"), "rejected")
         .when(~F.col("has_lock"), "infra_failure").otherwise("accepted"))
@@ -105,23 +117,20 @@ def rerun_decisions(requests: DataFrame, configs: DataFrame, reruns: DataFrame,
     why = (
         F.when(F.col("excluded"), "excluded by calendar").when(over, label)
         .when(F.col("breaker"), "previous run succeeded and no sensor data has changed"))
-    q = q.withColumns({"decision": decision, "reject_reason": why})
-    q = running_before(q, RUN_KEY, "requested_ms", order, {"_acc": F.col("decision") == "accepted"},
-                       bucket_ms=bucket_ms)
-    events = {"excluded": "PIPELINE_EXCLUDED", "rejected": "RERUN_REJECTED", "infra_failure": "INFRA_FAILURE",
-              "accepted": "RERUN_ACCEPTED"}
-    event = F.lit(None).cast("string")
-    for k, v in events.items():
-        event = F.when(F.col("decision") == k, v).otherwise(event)
-    return q.select(
+    earlier = F.coalesce(F.size(F.filter("_acc", lambda x: x["at"] < F.col("at"))), F.lit(0))
+    d = F.col("decision")
+    event = (
+        F.when(d == "excluded", "PIPELINE_EXCLUDED").when(d == "rejected", "RERUN_REJECTED")
+        .when(d == "infra_failure", "INFRA_FAILURE").otherwise("RERUN_ACCEPTED"))
+    return q.withColumns({"decision": decision, "reject_reason": why}).select(
         *RUN_KEY, "requested_ms", "seq", "reason", "budget", "decision", "reject_reason", event.alias("event_type"),
-        F.when(F.col("decision") == "accepted", F.col("prior_all") + F.col("_acc")).alias("attempt"))
+        F.when(d == "accepted", F.col("prior_all") + earlier).alias("attempt"))
 
 
 def observed_rerun_decisions(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_log: DataFrame,
                              sensors: DataFrame) -> DataFrame:
     """What observation-only pipelines would decide; nothing is written, so requests do not affect each other."""
-    q = _prepared(requests, configs, reruns, job_log, sensors)
+    q = _prepared(requests, configs, reruns, job_log, sensors, observe=True)
     over = F.col("prior") >= F.col("budget")
     rejected = F.col("excluded") | over | F.col("unchanged_success")
     return q.select(
@@ -142,11 +151,12 @@ def route_job_events(job_log: DataFrame) -> DataFrame:
         "event_type": F.when(e == "success", F.lit("JOB_COMPLETED"))})
 
 
-def _retry_inputs(job_log: DataFrame, configs: DataFrame, reruns: DataFrame) -> DataFrame:
+def _retry_inputs(job_log: DataFrame, configs: DataFrame, reruns: DataFrame, *, observe: bool) -> DataFrame:
     c = F.col("cfg")["job"]
     failures = job_log.filter(F.col("event").isin("fail", "timeout"))
     permanent = F.coalesce(F.col("category") == "PERMANENT", F.lit(False))
-    q = failures.join(configs, "pipeline_id").select(
+    cfg = valid_configs(configs).filter(F.coalesce("cfg.dryRun", F.lit(False)) == observe)
+    q = failures.join(cfg, "pipeline_id").select(
         *RUN_KEY, "event_ms", "seq", "event", "category",
         Z.excluded_date(F.col("cfg"), F.col("exec_date")).alias("excluded"),
         F.coalesce(c["maxRetries"], F.lit(0)).cast("bigint").alias("_retries"),
@@ -157,23 +167,33 @@ def _retry_inputs(job_log: DataFrame, configs: DataFrame, reruns: DataFrame) ->
         "max_retries": F.when(F.col("_permanent"), F.col("_code")).otherwise(F.col("_retries"))})
 
 
-def retry_decisions(job_log: DataFrame, configs: DataFrame, reruns: DataFrame, triggers: DataFrame, *,
-                    bucket_ms: int = HOUR_MS) -> DataFrame:
+def retry_decisions(job_log: DataFrame, configs: DataFrame, reruns: DataFrame, triggers: DataFrame) -> DataFrame:
     """One decision per failure: exhausted, excluded, retry, or retry_without_lock (budget used, nothing started).
 
     A run has two limits (by failure category). Until the smaller one is reached every failure is retried; after
-    that only failures with the larger limit are, until it is reached too.
+    that only failures with the larger limit are, until it is reached too. Both lists are bounded top-k per run.
     """
-    q = _retry_inputs(job_log, configs, reruns)
-    low, high = F.least("_retries", "_code"), F.greatest("_retries", "_code")
-    q = q.withColumns({"_low": low, "_high": high}).withColumn("_free", F.greatest(F.col("_low") - F.col("prior"), F.lit(0)))
-    q = running_before(q, RUN_KEY, "event_ms", ["seq"], {"_rank": F.lit(1)}, bucket_ms=bucket_ms)
-    large = (F.col("max_retries") == F.col("_high")) & (F.col("_rank") >= F.col("_free"))
-    q = running_before(q, RUN_KEY, "event_ms", ["seq"], {"_large": large}, bucket_ms=bucket_ms)
-    at_low = F.col("prior") + F.col("_free")
-    count = F.when(F.col("_rank") < F.col("_free"), F.col("prior") + F.col("_rank")).otherwise(
-        F.least(at_low + F.col("_large"), F.greatest(F.col("_high"), at_low)))
-    count = F.when(F.col("excluded"), F.col("prior")).otherwise(count)
+    q = _retry_inputs(job_log, configs, reruns, observe=False)
+    q = q.withColumns({"_low": F.least("_retries", "_code"), "_high": F.greatest("_retries", "_code"),
+                       "at": F.struct("event_ms", "seq")})
+    q = q.withColumn("_free", F.greatest(F.col("_low") - F.col("prior"), F.lit(0)).cast("int"))
+    w = W.partitionBy(*RUN_KEY).orderBy("at")
+
+    def first_of(rows: DataFrame, k: int, out: str) -> DataFrame:
+        top = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+        return top.groupBy(*RUN_KEY).agg(F.sort_array(F.collect_list("at")).alias(out))
+
+    spare = q.filter(~F.col("excluded") & (F.col("prior") < F.col("_high")))
+    any_kind = first_of(spare, MAX_RETRIES, "_any")
+    large = first_of(spare.filter(F.col("max_retries") == F.col("_high")), 2 * MAX_RETRIES, "_large")
+    q = q.join(any_kind, RUN_KEY, "left").join(large, RUN_KEY, "left")
+    none = F.array().cast("array<struct<event_ms:bigint,seq:bigint>>")
+    free = F.slice(F.coalesce("_any", none), F.lit(1), F.col("_free"))
+    extra = F.greatest(F.col("_high") - F.col("prior") - F.size(free), F.lit(0)).cast("int")
+    later = F.slice(F.array_except(F.coalesce("_large", none), free), F.lit(1), extra)
+    q = q.withColumn("_retried", F.concat(free, later))
+    before = F.size(F.filter("_retried", lambda x: x < F.col("at")))
+    count = F.when(F.col("excluded"), F.col("prior")).otherwise(F.col("prior") + before)
     q = q.withColumn("rerun_count", count).join(
         triggers.select(*RUN_KEY, F.lit(True).alias("_lock")), RUN_KEY, "left")
     decision = (
@@ -188,7 +208,7 @@ def retry_decisions(job_log: DataFrame, configs: DataFrame, reruns: DataFrame, t
 
 def observed_retry_decisions(job_log: DataFrame, configs: DataFrame, reruns: DataFrame) -> DataFrame:
     """What observation-only pipelines would decide on each failure."""
-    q = _retry_inputs(job_log, configs, reruns)
+    q = _retry_inputs(job_log, configs, reruns, observe=True)
     spent = (F.col("prior") >= F.col("max_retries")) | F.col("excluded")
     return q.select(
         *RUN_KEY, "event_ms", "seq", F.col("prior").alias("retries"), "max_retries",

@@ -278,7 +278,7 @@ N4_SQL = f"""
 
 @query("n4_rerun_decision", N4_SQL, {"reqx": REQX})
 def n4(t: Tables):
-    return N.rerun_decisions(t.rerun_requests, valid(t), t.reruns, t.job_log, t.triggers, t.sensors).select(
+    return N.rerun_decisions(t.rerun_requests, t.configs, t.reruns, t.job_log, t.triggers, t.sensors).select(
         *RUN_KEY, "requested_ms", "seq", "reason", "decision", "reject_reason", "attempt")
 
 
@@ -304,7 +304,7 @@ N5_SQL = f"""
 
 @query("n5_retry_decision", N5_SQL, {"failx": FAILX})
 def n5(t: Tables):
-    return N.retry_decisions(t.job_log, valid(t), t.reruns, t.triggers).select(
+    return N.retry_decisions(t.job_log, t.configs, t.reruns, t.triggers).select(
         *RUN_KEY, "event_ms", "seq", "max_retries", "rerun_count", "decision")
 
 

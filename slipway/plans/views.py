@@ -110,7 +110,7 @@ VIEWS: dict[str, str] = {
     "lruns": """
         SELECT j.pipeline_id, j.schedule_id, j.exec_date, l_returnflag, l_linenumber,
           day_ms + (l_orderkey * 104729 + l_partkey * 7919 + l_suppkey * 31) % 86400000 AS at_ms,
-          l_orderkey * 10 + l_linenumber AS seq
+          (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey % 1000 * 1000 + l_suppkey % 1000 AS seq
         FROM lineitem JOIN jlog j ON l_orderkey = j.o_orderkey""",
     "reruns": """
         SELECT pipeline_id, schedule_id, exec_date, at_ms AS triggered_ms, seq,

@@ -226,7 +226,8 @@ def _line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _orders_runs(li.join(o, li.l_orderkey == o.o_orderkey))
     offset = (F.col("l_orderkey") * 104729 + F.col("l_partkey") * 7919 + F.col("l_suppkey") * 31) % 86_400_000
     return j.withColumn("at_ms", F.col("day_ms") + offset).withColumn(
-        "seq", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+        "seq", (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000
+        + F.col("l_partkey") % 1000 * 1000 + F.col("l_suppkey") % 1000)
 
 
 def reruns(spark: SparkSession, sf_dir: str) -> DataFrame:
