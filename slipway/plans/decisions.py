@@ -54,8 +54,8 @@ def hits(t: Tables):
     return R.excluded_hits(R.trigger_hits(t.sensor_log, R.valid_configs(t.configs)))
 
 
-def valid(t: Tables, dry: bool = False):
-    return R.valid_configs(t.configs).filter(F.coalesce("cfg.dryRun", F.lit(False)) == dry)
+def arrivals(t: Tables):
+    return t.stored("arrivals", lambda: L.first_arrivals(hits(t)))
 
 
 def markers(t: Tables):
@@ -92,8 +92,8 @@ def l2(t: Tables):
         ELSE CAST(epoch(breach) AS BIGINT) END AS breach_s
     FROM ({deadline_sql(RUN_SLA, "at_ts")}) d LEFT JOIN arrivals a USING ({KEYS})""")
 def l3(t: Tables):
-    arrivals = L.first_arrivals(hits(t)).select(*RUN_KEY, "arrival_at")
-    d = L.deadlines(L.sla_runs(latest_runs(t), t.configs).join(arrivals, RUN_KEY, "left"), now=F.col("at"))
+    first = arrivals(t).select(*RUN_KEY, "arrival_at")
+    d = L.deadlines(L.sla_runs(latest_runs(t), t.configs).join(first, RUN_KEY, "left"), now=F.col("at"))
     return d.select(*RUN_KEY, "deadline_kind", secs(F.col("breach_at")).alias("breach_s"))
 
 
@@ -180,7 +180,7 @@ L9_SQL = f"""
 
 @query("l9_relative_breach", L9_SQL)
 def l9(t: Tables):
-    return L.relative_breaches(t.configs, L.first_arrivals(hits(t)), t.triggers, t.job_log, markers(t), now=t.now).select(
+    return L.relative_breaches(t.configs, arrivals(t), t.triggers, t.job_log, markers(t), now=t.now).select(
         *RUN_KEY, secs(F.col("breach_at")).alias("breach_s"))
 
 
@@ -195,7 +195,7 @@ ARRIVAL_SLA = """
       CAST(epoch_us(breach) // 1000 - epoch_us(at_ts) // 1000 - exp_s * 1000 AS BIGINT) AS margin_ms
     FROM ({deadline_sql(ARRIVAL_SLA, "at_ts")})""")
 def l10(t: Tables):
-    runs = L.sla_runs(L.first_arrivals(hits(t)), t.configs)
+    runs = L.sla_runs(arrivals(t), t.configs)
     return L.project(runs, at=F.timestamp_millis("arrival_ms")).select(
         *RUN_KEY, "sla_status", F.round(F.col("margin_s") * 1000).cast("bigint").alias("margin_ms"))
 
@@ -334,11 +334,15 @@ def n7(t: Tables):
 
 # ---- drift -----------------------------------------------------------------------------------------------
 
-def baselines(t: Tables):
+def captured(t: Tables):
     done = L.latest_job_events(t.job_log).filter(F.col("event") == "success")
     return D.capture_baselines(done, t.configs, t.sensor_log)
 
 
+def baselines(t: Tables):
+    return t.stored("baselines", lambda: captured(t))
+
+
 def matched(t: Tables):
     return D.match_post_rules(t.sensor_log, R.valid_configs(t.configs))
 
@@ -347,7 +351,7 @@ def matched(t: Tables):
     SELECT {KEYS}, rule_key, captured_ms, sensor_ms, sensor_seq, CAST(round(base_value * 100) AS BIGINT) AS cents
     FROM bl""")
 def d1(t: Tables):
-    return baselines(t).select(*RUN_KEY, "rule_key", "captured_ms", "sensor_ms", "sensor_seq",
+    return captured(t).select(*RUN_KEY, "rule_key", "captured_ms", "sensor_ms", "sensor_seq",
                                cents(V.number(V.field(F.col("baseline"), F.lit("count")))).alias("cents"))
 
 

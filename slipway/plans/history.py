@@ -9,7 +9,7 @@ from slipway.functions.ordered import earliest_by
 from slipway.operators import accounting as Q, events as E, observe as O, reruns as N, rules as R, runs as J
 from slipway.operators import sla as L, watchdog as W
 from slipway.plans.decisions import (
-    D8_SQL, FAILX, KEYS, L9_SQL, PLAN, REQX, baselines, deadline_sql, hits, live_hits, markers)
+    D8_SQL, FAILX, KEYS, L9_SQL, PLAN, REQX, arrivals, baselines, deadline_sql, hits, live_hits, markers)
 from slipway.plans.base import LAST_FIRE
 from slipway.plans.registry import Tables, cents, query, secs
 from slipway.plans.views import NOW, excluded, local, utc
@@ -115,7 +115,8 @@ STARTS = f"""
 
 
 def starts(t: Tables):
-    return earliest_by(live_hits(t), RUN_KEY, ["ts_ms", "seq"], []).select(*RUN_KEY, F.col("ts_ms").alias("start_ms"))
+    return t.stored("run_starts", lambda: earliest_by(live_hits(t), RUN_KEY, ["ts_ms", "seq"], []).select(
+        *RUN_KEY, F.col("ts_ms").alias("start_ms")))
 
 
 def ticks_sql(source: str) -> str:
@@ -234,13 +235,18 @@ MARKS = f"""
 OBSERVED = {"dry": DRY, "ticked": ticks_sql("SELECT * FROM dry"), "omarks": MARKS}
 
 
+def first_observed(t: Tables):
+    return O.would_trigger(t.stored("dry_hits", lambda: dry_hits(t).select(*RUN_KEY, "ts_ms", "seq")), t.configs,
+                           t.sensor_log)
+
+
 def dry_markers(t: Tables):
-    return O.would_trigger(dry_hits(t), t.configs, t.sensor_log)
+    return t.stored("dry_markers", lambda: first_observed(t))
 
 
 @query("o1_would_trigger", f"SELECT {KEYS}, triggered_ms, seq, n_rules FROM omarks", OBSERVED)
 def o1(t: Tables):
-    return dry_markers(t).select(*RUN_KEY, "triggered_ms", "seq", F.col("n_rules").cast("bigint").alias("n_rules"))
+    return first_observed(t).select(*RUN_KEY, "triggered_ms", "seq", F.col("n_rules").cast("bigint").alias("n_rules"))
 
 
 @query("o2_late_data", f"""
@@ -314,11 +320,11 @@ LIVE = f"NOT c.dry_run AND NOT {excluded(local(NOW, 'c.tz'))}"
 NO_TRIGGER_TODAY = """NOT EXISTS (SELECT 1 FROM trig t WHERE t.pipeline_id = c.pipeline_id
     AND t.schedule_id = c.schedule_id AND starts_with(t.exec_date, '2024-01-30'))"""
 STARTED = f"coalesce({local(NOW, 'c.tz')} >= CAST('2024-01-30 ' || c.sched_time || ':00' AS TIMESTAMP), TRUE)"
-W2_SQL = f"""
+W2_ALL = f"""
     SELECT c.pipeline_id, c.schedule_id, '2024-01-30' AS exec_date, c.cron FROM cfg c JOIN lf USING (pipeline_id)
-    WHERE c.cron IS NOT NULL AND {LIVE} AND {STARTED} AND {NO_TRIGGER_TODAY}
+    WHERE c.cron IS NOT NULL AND {LIVE} AND {STARTED} AND {NO_TRIGGER_TODAY}"""
+W2_SQL = f"""{W2_ALL}
       AND coalesce(timezone('UTC', timezone(lf.tz, fire_local)) >= TIMESTAMP '2024-01-30 05:00:00', TRUE)"""
-W2_ALL = W2_SQL[:W2_SQL.index("AND coalesce(timezone")]
 
 
 @query("w2_missed_cron", W2_SQL, {"lf": LAST_FIRE})
@@ -382,7 +388,7 @@ def _findings(t: Tables):
     for check in ("missed_inclusion", "post_run_missing", "relative_breach"):
         part = m.withColumn("check", F.lit(check))
         marks = part if marks is None else marks.unionByName(part)
-    return W.all_findings(t.configs, t.sensors, t.triggers, t.job_log, baselines(t), L.first_arrivals(hits(t)), marks,
+    return W.all_findings(t.configs, t.sensors, t.triggers, t.job_log, baselines(t), arrivals(t), marks,
                           now=t.now)
 
 

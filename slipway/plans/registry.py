@@ -37,10 +37,14 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in STORED:
             return getattr(X, name)(self.spark, self.sf_dir)
+        return self.stored(name, lambda: self._derive(name))
+
+    def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table the engine itself keeps (run starts, baselines, markers): written on first use, then read."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _paths:
             path = work_dir(self.spark, name)
-            self._derive(name).write.parquet(path)
+            make().write.parquet(path)
             _paths[key] = path
         return self.spark.read.parquet(_paths[key])
 
