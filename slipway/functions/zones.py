@@ -11,14 +11,19 @@ from slipway.functions import values as V
 
 
 @functools.cache
-def zone_names() -> tuple[str, ...]:
+def plain_zone_names() -> tuple[str, ...]:
+    """Zone names without a region prefix (UTC, EST5EDT, ...)."""
     not_zones = {"Factory", "localtime", "posixrules"}
-    return tuple(sorted(zoneinfo.available_timezones() - not_zones))
+    return tuple(sorted(n for n in zoneinfo.available_timezones() - not_zones if "/" not in n))
 
 
 def is_zone(tz: Column) -> Column:
-    """A known zone name. Conversion functions fail on unknown names, so every use is guarded by this."""
-    return F.coalesce(tz.isin(*zone_names()), F.lit(False))
+    """A known zone name. Conversion functions fail on unknown names, so every use is guarded by this.
+
+    Region names are tried in a timestamp text, which gives NULL for unknown ones without listing them.
+    """
+    region = tz.contains("/") & F.concat(F.lit("2020-01-01 00:00:00 "), tz).try_cast("timestamp").isNotNull()
+    return F.coalesce(tz.isin(*plain_zone_names()) | region, F.lit(False))
 
 
 def zone_or_utc(tz: Column) -> Column:
@@ -34,11 +39,9 @@ def to_utc(local: Column, zone: Column) -> Column:
 
     The offset used is the one in force at (local - offset in force at local read as UTC).
     """
-    def offset(at_micros: Column) -> Column:
-        return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(at_micros), zone)) - at_micros
-
     us = F.unix_micros(local)
-    return F.timestamp_micros(us - offset(us - offset(us)))
+    guess = us + us - F.unix_micros(F.from_utc_timestamp(local, zone))
+    return F.timestamp_micros(us + guess - F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(guess), zone)))
 
 
 def plus_seconds(ts: Column, seconds: Column | float) -> Column:

@@ -41,7 +41,7 @@ def absolute_deadline(df: DataFrame, *, now: Column, date: str = "exec_date", de
     past = c("_due") < c("_now")
     roll = F.when(minute_form, F.when(hourly & hour_no.isNotNull() & (hour_no >= 0), HOUR).when(past, HOUR)).when(past, DAY)
     error = F.when(c("_exp").isNull(), "bad_duration").when(~tz_ok, "bad_timezone").when(
-        c("_due").isNull(), "bad_deadline")
+        ~(minute_form | clock_form), "bad_deadline")
     out = steps.withColumns({
         "deadline_error": error,
         "breach_at": F.when(error.isNull(), Z.plus_seconds(c("_due"), F.coalesce(roll, F.lit(0)))),
@@ -99,7 +99,7 @@ def timer_rows(with_deadlines: DataFrame) -> DataFrame:
                  F.col("warning_at").alias("fire_at"), F.col("breach_at").alias("breach_at")),
         F.struct(F.lit("breach").alias("suffix"), F.lit("SLA_BREACH").alias("alert_type"),
                  F.col("breach_at").alias("fire_at"), F.lit(None).cast("timestamp").alias("breach_at")))
-    rows = with_deadlines.filter(F.col("breach_at").isNotNull()).select(*RUN_KEY, F.explode(timers).alias("t"))
+    rows = with_deadlines.filter(F.col("deadline_error").isNull()).select(*RUN_KEY, F.explode(timers).alias("t"))
     return rows.select(*RUN_KEY, F.concat_ws("-", *RUN_KEY, F.lit("sla"), F.col("t.suffix")).alias("name"), "t.*")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from slipway.plans import views
 from slipway.session import prepare, work_dir
@@ -15,7 +16,7 @@ SQL: dict[str, str] = {}
 
 
 STORED = ("sensor_log", "sensors", "configs", "job_log", "triggers", "reruns", "rerun_requests")
-_paths: dict[tuple[str, str, str], str] = {}
+_paths: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 class Tables:
@@ -44,9 +45,14 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _paths:
             path = work_dir(self.spark, name)
-            make().write.parquet(path)
-            _paths[key] = path
-        return self.spark.read.parquet(_paths[key])
+            df = make()
+            cores = self.spark.sparkContext.defaultParallelism
+            if len(df.inputFiles()) < cores:  # too few files to keep every core busy on later scans
+                df = df.repartition(cores)
+            df.write.parquet(path)
+            _paths[key] = (path, df.schema)
+        path, schema = _paths[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     def store_all(self) -> None:
         for name in STORED:

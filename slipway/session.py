@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.legacy.timeParserPolicy": "CORRECTED",
 }
+# Wide projections generate methods above the JIT size limit; let the JVM compile them (executors need it too).
+HUGE_METHODS = "-XX:-DontCompileHugeMethods"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -51,6 +53,7 @@ def local_session(cores: str = "8", memory: str = "8g", shuffle_partitions: int
         SparkSession.builder.master(f"local[{cores}]").appName("slipway")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.driver.extraJavaOptions", HUGE_METHODS)
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     )
     return prepare(builder.getOrCreate())
