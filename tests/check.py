@@ -58,11 +58,13 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None):
 
 
 def main():
+    from pyspark.sql import SparkSession
+
     from slipway.plans.catalog import QUERIES, SQL
-    from slipway.session import local_session
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
-    spark = local_session()
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config(
+        "spark.driver.memory", "8g").config("spark.ui.enabled", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0
     for name, fn in QUERIES.items():
