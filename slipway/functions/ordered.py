@@ -110,3 +110,14 @@ def as_of(
     return local.join(carried, [*keys, "_b"], "left").select(
         *keys, "_probe.*", F.coalesce("_here", "_carry").alias(out)
     )
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``withColumns`` whose expressions are evaluated exactly once per row.
+
+    Filters on ordinary projections are pushed below them by copying the expression, which multiplies long
+    expressions; a one-element ``inline`` keeps the computed values as plain columns. Filters on other columns still
+    pass through to the scan.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*[e.alias(n) for n, e in columns.items()]))))

@@ -61,13 +61,12 @@ def last_cron_fire(cron: Column, zone: Column, now: Column) -> Column:
     minute = F.when(minute_s.rlike(number), minute_s.try_cast("int"))
     hour = F.when(hour_s.rlike(number), hour_s.try_cast("int"))
     here = Z.to_local(now, zone)
-    hourly = Z.to_utc(Z.plus_seconds(F.date_trunc("hour", here), minute * 60), zone)
-    daily = Z.to_utc(Z.plus_seconds(F.date_trunc("day", here), hour * 3600 + minute * 60), zone)
-
-    def back(t: Column, seconds: int) -> Column:
-        return F.when(t > now, Z.plus_seconds(t, -seconds)).otherwise(t)
-
-    return F.when(F.size(f) >= 5, F.when(hour_s == "*", back(hourly, 3600)).otherwise(back(daily, 86_400)))
+    hourly = hour_s == "*"
+    start = F.when(hourly, F.date_trunc("hour", here)).otherwise(F.date_trunc("day", here))
+    offset = F.when(hourly, minute * 60).otherwise(hour * 3600 + minute * 60)
+    fire = Z.to_utc(Z.plus_seconds(start, offset), zone)
+    back = F.when(fire > now, F.when(hourly, -3600).otherwise(-86_400)).otherwise(0)
+    return F.when(F.size(f) >= 5, Z.plus_seconds(fire, back))
 
 
 def last_cron_fires(configs: DataFrame, *, now: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slipway.functions import values as V, zones as Z
-from slipway.functions.ordered import HOUR_MS, as_of
+from slipway.functions.ordered import HOUR_MS, as_of, once
 from slipway.operators.clean import remap_periods
 from slipway.operators.rules import evaluate
 from slipway.operators.sla import latest_job_events
@@ -43,8 +43,8 @@ def drift_columns(df: DataFrame, *, previous: str = "baseline", current: str = "
                   threshold: str = "drift_threshold") -> DataFrame:
     """Add previous and current values, ``delta`` and ``drifted`` (absolute change above the threshold)."""
     name = F.coalesce(F.nullif(F.col(field), F.lit("")), F.lit(DEFAULT_FIELD))
-    out = df.withColumns({"previous_count": V.number(V.field(F.col(previous), name)),
-                          "current_count": V.number(V.field(F.col(current), name))})
+    out = once(df, {"previous_count": V.number(V.field(F.col(previous), name)),
+                    "current_count": V.number(V.field(F.col(current), name))})
     out = out.withColumn("delta", F.col("current_count") - F.col("previous_count"))
     above = F.abs("delta") > F.coalesce(F.col(threshold), F.lit(0.0))
     return out.withColumn("drifted", F.coalesce(above & ~F.isnan("delta"), F.lit(False)))
@@ -61,7 +61,7 @@ def match_post_rules(sensor_log: DataFrame, configs: DataFrame, *, observe: bool
     j = sensor_log.join(cfg, "pipeline_id").filter(
         ~F.col("sensor_key").startswith(F.coalesce(c["schedule"]["trigger"]["key"], F.lit(""))))
     first = F.get(F.filter(c["postRun"]["rules"], lambda r: F.col("sensor_key").startswith(r["key"])), F.lit(0))
-    return j.withColumns({
+    return once(j, {
         "rule_key": first["key"], "schedule_id": Z.schedule_id(c),
         "exec_date": Z.execution_date(F.col("data"), F.col("ts")),
         "drift_field": c["postRun"]["driftField"], "drift_threshold": c["postRun"]["driftThreshold"],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slipway.functions import values as V, zones as Z
+from slipway.functions.ordered import once
 from slipway.operators.clean import remap_periods
 from slipway.schema import RUN_KEY
 
@@ -53,7 +54,7 @@ def evaluate(matched: DataFrame, *, now: Column, rule: Column | str = "rule", ag
               .when(~age_ok, "too_old"))
         .otherwise("unknown_operator")
     )
-    out = steps.withColumn("reason_code", code)
+    out = once(steps, {"reason_code": code})
     out = out.withColumn("passed", c("reason_code").isNull())
     if reasons:
         out = out.withColumn("reason", _reason_text(age))
@@ -194,7 +195,7 @@ def config_errors(configs: DataFrame) -> DataFrame:
                    F.lit("dryRun requires schedule.trigger (sensor-driven evaluation)")),
         ),
     )
-    return configs.withColumn("errors", F.array_compact(checks))
+    return once(configs, {"errors": F.array_compact(checks)})
 
 
 def valid_configs(configs: DataFrame) -> DataFrame:
@@ -204,6 +205,6 @@ def valid_configs(configs: DataFrame) -> DataFrame:
 def excluded_hits(hits: DataFrame, *, now: Column | None = None) -> DataFrame:
     """Split marker for trigger hits: ``excluded`` by the wall clock, plus schedule id and execution date."""
     at = F.col("ts") if now is None else now
-    return hits.withColumns({
+    return once(hits, {
         "excluded": Z.excluded_at(F.col("cfg"), at), "schedule_id": Z.schedule_id(F.col("cfg")),
         "exec_date": Z.execution_date(F.col("data"), at)})

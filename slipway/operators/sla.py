@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slipway.functions import values as V, zones as Z
-from slipway.functions.ordered import earliest_by, latest_by
+from slipway.functions.ordered import earliest_by, latest_by, once
 from slipway.schema import FINISHED, RUN_KEY, TERMINAL_EVENTS
 
 HOUR, DAY = 3600, 86_400
@@ -37,16 +37,19 @@ def absolute_deadline(df: DataFrame, *, now: Column, date: str = "exec_date", de
     hours = F.regexp_extract(dl, r"^(\d+):", 1).try_cast("int")
     local = F.when(minute_form, Z.plus_seconds(base, minutes * 60)).when(
         clock_form, Z.plus_seconds(F.date_trunc("day", base), hours * HOUR + minutes * 60))
-    steps = steps.withColumn("_due", Z.to_utc(local, c("_zone")))
+    steps = once(steps, {"_local": local, "_hourly": hourly & hour_no.isNotNull() & (hour_no >= 0), "_by_minute": minute_form,
+                         "_good": tz_ok})
+    steps = once(steps, {"_due": Z.to_utc(c("_local"), c("_zone"))})
     past = c("_due") < c("_now")
-    roll = F.when(minute_form, F.when(hourly & hour_no.isNotNull() & (hour_no >= 0), HOUR).when(past, HOUR)).when(past, DAY)
-    error = F.when(c("_exp").isNull(), "bad_duration").when(~tz_ok, "bad_timezone").when(
-        ~(minute_form | clock_form), "bad_deadline")
+    roll = F.when(c("_by_minute"), F.when(c("_hourly") | past, HOUR)).when(past, DAY)
+    error = F.when(c("_exp").isNull(), "bad_duration").when(~c("_good"), "bad_timezone").when(
+        c("_local").isNull(), "bad_deadline")
     out = steps.withColumns({
         "deadline_error": error,
         "breach_at": F.when(error.isNull(), Z.plus_seconds(c("_due"), F.coalesce(roll, F.lit(0)))),
     }).withColumn("warning_at", Z.plus_seconds(c("breach_at"), -c("_exp")))
-    return out.drop("_zone", "_now", "_exp", "_day", "_hour", "_lnow", "_due")
+    return out.drop("_zone", "_now", "_exp", "_day", "_hour", "_lnow", "_due", "_local", "_hourly",
+                    "_by_minute", "_good")
 
 
 def relative_deadline(df: DataFrame, *, arrival: str = "arrival_at", max_duration: str = "max_duration",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slipway.functions import values as V, zones as Z
-from slipway.functions.ordered import earliest_by
+from slipway.functions.ordered import earliest_by, once
 from slipway.operators import calendars as C, drift as D, sla as L
 from slipway.operators.rules import evaluate
 from slipway.schema import RUN_KEY
@@ -14,8 +14,10 @@ from slipway.sources.control import has_trigger_for_date
 
 def _live(configs: DataFrame, now: Column | None = None) -> DataFrame:
     c = F.col("cfg")
-    keep = ~F.coalesce(c["dryRun"], F.lit(False))
-    return configs.filter(keep if now is None else keep & ~Z.excluded_at(c, now))
+    live = configs.filter(~F.coalesce(c["dryRun"], F.lit(False)))
+    if now is None:
+        return live
+    return once(live, {"_excluded": Z.excluded_at(c, now)}).filter(~F.col("_excluded")).drop("_excluded")
 
 
 def stale_runs(triggers: DataFrame, configs: DataFrame, *, now: Column) -> DataFrame:
@@ -40,9 +42,11 @@ def missed_schedules(configs: DataFrame, triggers: DataFrame, *, now: Column, de
     """Cron pipelines without a run today. Repeats every tick unless ``markers`` of alerted dates are given."""
     c = F.col("cfg")["schedule"]
     zone = Z.zone_or_utc(c["timezone"])
-    p = _live(configs, now).filter(Z.non_empty(c["cron"]) & _started(Z.day_text(now), c["time"], zone, now))
+    p = once(_live(configs, now).filter(Z.non_empty(c["cron"])), {"_zone": zone})
+    p = once(p, {"_on": _started(Z.day_text(now), c["time"], F.col("_zone"), now)}).filter("_on")
     if deployed_at is not None:
-        p = p.filter(F.coalesce(C.last_cron_fire(c["cron"], zone, now) >= deployed_at, F.lit(True)))
+        p = once(p, {"_fire": C.last_cron_fire(c["cron"], F.col("_zone"), now)}).filter(
+            F.coalesce(F.col("_fire") >= deployed_at, F.lit(True)))
     p = p.select("pipeline_id", Z.schedule_id(F.col("cfg")).alias("schedule_id"), Z.day_text(now).alias("exec_date"),
                  c["cron"].alias("cron"), c["time"].alias("expected_time"))
     out = has_trigger_for_date(p, triggers).filter(~F.col("found")).drop("found")

@@ -145,8 +145,11 @@ def job_log_rows(events: DataFrame) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("append")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    """Append parquet. A partitioned layout is rebalanced first: few files per folder, hot folders split."""
+    if partition_by:
+        df.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("append").parquet(path)
 
 
 def event_rows(events: DataFrame, *, now: Column, ttl_days: int = 90) -> DataFrame:
