@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slipway.llm import decontaminate, exact, mixing, toxicity
+from slipway.llm import decontaminate, exact, jaccard, mixing, toxicity
 from slipway.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,9 @@ FROM c WHERE whole + (CASE WHEN upto <= part THEN 1 ELSE 0 END) > 0"""
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens, drawn to the mixture's weights."""
     return mixing.mix(load(spark, sf_dir, "documents"), domain(), MIXTURE)
+
+
+@query("op6_ngram_jaccard")
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by shingle similarity of 0.8 or more."""
+    return jaccard.jaccard_groups(load(spark, sf_dir, "documents")).toDF("doc_id", "n_shingles", "component_id")
