@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slipway.llm import decontaminate, exact, jaccard, mixing, suffixes, toxicity
+from slipway.llm import chat, decontaminate, exact, jaccard, mixing, suffixes, toxicity
 from slipway.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,43 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _escaped_sql(c: str) -> str:
+    out = f"replace({c}, '\\', '\\\\')"
+    for x in chat.INSTRUCT.controls:
+        out = f"replace({out}, '{x}', '{x[0]}\\{x[1:]}')"
+    return out
+
+
+def _turn_chars_sql() -> str:
+    known = " ".join(f"WHEN '{r}' THEN {len(a) + len(b)}" for r, (a, b, _) in chat.INSTRUCT.roles.items())
+    other = f"{sum(map(len, chat.INSTRUCT.other))} + length({_escaped_sql('role')})"
+    return f"length({_escaped_sql('text')}) + CASE role {known} ELSE {other} END"
+
+
+_TEST_CHAT = "</s>[INST] ok [/INST]"
+
+
+@query("op5_chat_format", f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_TEST_CHAT}' UNION ALL SELECT -7, 1, 'assistant', '{_TEST_CHAT}'),
+g AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum({_turn_chars_sql()})::BIGINT AS formatted_chars FROM t GROUP BY 1)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars FROM g""")
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that consists of control strings, read back from their formatted text."""
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_TEST_CHAT).alias("text"))
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat.format_chats(turns).withColumn("turns", chat.read_back(F.col("formatted"))).withColumn(
+        "loss_text", chat.loss_text(F.col("segments")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
