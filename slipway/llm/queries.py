@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slipway.llm import chat, decontaminate, exact, jaccard, mixing, suffixes, toxicity
+from slipway.llm import chat, decontaminate, exact, jaccard, mixing, pii, suffixes, toxicity
 from slipway.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,16 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.personal_data(load(spark, sf_dir, "documents")).withColumn(
+        "known", F.filter("pii", lambda s: s["base"]))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("known", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(F.col("known")), 256).alias("base_sha256"),
+                        pii.listed(F.col("pii")).alias("spans"))
