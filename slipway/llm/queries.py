@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slipway.llm import chat, decontaminate, exact, jaccard, mixing, pii, suffixes, toxicity
+from slipway.llm import chat, decontaminate, exact, jaccard, mixing, pii, suffixes, templates, toxicity
 from slipway.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +148,14 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op4_line_templates")
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs across documents."""
+    found = templates.dropped_lines(load(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", F.size("dropped").cast("long").alias("n_dropped"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _escaped_sql(c: str) -> str:
     out = f"replace({c}, '\\', '\\\\')"
     for x in chat.INSTRUCT.controls:
