@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slipway.llm import chat, decontaminate, exact, jaccard, mixing, pii, suffixes, templates, toxicity
+from slipway.llm import chat, decontaminate, exact, jaccard, mixing, passages, pii, suffixes, templates, toxicity
 from slipway.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(F.col("known")), 256).alias("base_sha256"),
                         pii.listed(F.col("pii")).alias("spans"))
+
+
+@query("op7_near_passages")
+def op7_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that an earlier document nearly holds."""
+    docs = load(spark, sf_dir, "documents")
+    found = passages.near_passages(docs)
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return docs.select("doc_id", F.xxhash64("text").alias("row")).join(
+        found.withColumnRenamed("id", "doc_id"), ["doc_id", "row"], "left").select(
+        "doc_id", F.coalesce(words, F.lit(0)).alias("n_words_repeated"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce(listed, F.lit("")).alias("spans"))
