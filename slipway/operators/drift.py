@@ -75,14 +75,17 @@ def route_post_run(matched: DataFrame, triggers: DataFrame) -> DataFrame:
         "route", F.when(s == "RUNNING", "inflight").when(s == "COMPLETED", "completed").otherwise("ignore"))
 
 
-def _with_baseline(routed: DataFrame, baselines: DataFrame, how: str) -> DataFrame:
+def with_baseline(routed: DataFrame, baselines: DataFrame, how: str) -> DataFrame:
+    """Drift of every sensor write against the baseline captured before it; ``left`` keeps writes without one."""
     b = baselines.select(*RUN_KEY, "rule_key", "captured_ms", "baseline")
-    return drift_columns(routed.join(b, [*RUN_KEY, "rule_key"], how))
+    later = routed.join(b, [*RUN_KEY, "rule_key"], how).filter(
+        F.col("captured_ms").isNull() | (F.col("ts_ms") > F.col("captured_ms")))
+    return drift_columns(later)
 
 
 def inflight_drift(routed: DataFrame, baselines: DataFrame) -> DataFrame:
     """Informational drift of running runs that still have a baseline."""
-    d = _with_baseline(routed.filter(F.col("route") == "inflight"), baselines, "inner").filter("drifted")
+    d = with_baseline(routed.filter(F.col("route") == "inflight"), baselines, "inner").filter("drifted")
     return d.withColumn("event_type", F.lit("POST_RUN_DRIFT_INFLIGHT"))
 
 
@@ -91,8 +94,7 @@ def completed_drift(routed: DataFrame, baselines: DataFrame) -> DataFrame:
 
     The follow-up is a rerun request, or PIPELINE_EXCLUDED when the execution date is excluded.
     """
-    d = _with_baseline(routed.filter(F.col("route") == "completed"), baselines, "left").filter(
-        F.col("captured_ms").isNull() | (F.col("ts_ms") > F.col("captured_ms")))
+    d = with_baseline(routed.filter(F.col("route") == "completed"), baselines, "left")
     excluded = Z.excluded_date(F.col("cfg"), F.col("exec_date"))
     return d.withColumns({
         "event_type": F.when(F.col("drifted"), F.lit("POST_RUN_DRIFT")),

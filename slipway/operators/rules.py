@@ -208,3 +208,8 @@ def excluded_hits(hits: DataFrame, *, now: Column | None = None) -> DataFrame:
     return once(hits, {
         "excluded": Z.excluded_at(F.col("cfg"), at), "schedule_id": Z.schedule_id(F.col("cfg")),
         "exec_date": Z.execution_date(F.col("data"), at)})
+
+
+def live_only(hits: DataFrame) -> DataFrame:
+    """Hits that may start a run: neither excluded by the calendar nor of an observation-only pipeline."""
+    return hits.filter(~F.col("excluded") & ~F.coalesce("cfg.dryRun", F.lit(False)))

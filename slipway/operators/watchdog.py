@@ -9,7 +9,7 @@ from slipway.functions.ordered import earliest_by, once
 from slipway.operators import calendars as C, drift as D, sla as L
 from slipway.operators.rules import evaluate
 from slipway.schema import RUN_KEY
-from slipway.sources.control import has_trigger_for_date
+from slipway.sources.control import apply_transitions, has_trigger_for_date
 
 
 def _live(configs: DataFrame, now: Column | None = None) -> DataFrame:
@@ -113,31 +113,55 @@ def expired_windows(configs: DataFrame, triggers: DataFrame, job_log: DataFrame,
             "new_status": F.lit("FAILED_FINAL"), "event_type": F.lit("SENSOR_DEADLINE_EXPIRED")})
 
 
+#: Run status that a finding leaves behind.
+CHANGES = {"stale": "FAILED_FINAL", "recovered": "RUNNING", "window_expired": "FAILED_FINAL"}
+
+
+def apply_findings(triggers: DataFrame, findings: DataFrame) -> DataFrame:
+    """Trigger snapshot after findings (check, run key): stale and expired runs have failed, recovered ones run.
+
+    A run that was recovered and later failed has failed. New rows have no ttl.
+    """
+    to = F.lit(None).cast("string")
+    for check, status in CHANGES.items():
+        to = F.when(F.col("check") == check, status).otherwise(to)
+    moves = findings.withColumn("_to", to).filter(F.col("_to").isNotNull()).groupBy(*RUN_KEY).agg(
+        F.min("_to").alias("status"))  # FAILED_FINAL sorts before RUNNING
+    return apply_transitions(triggers, moves.select(*RUN_KEY, F.lit("set").alias("action"), "status",
+                                                    F.lit(0).cast("bigint").alias("at")))
+
+
 def all_findings(configs: DataFrame, sensors: DataFrame, triggers: DataFrame, job_log: DataFrame, baselines: DataFrame,
                  arrivals: DataFrame, markers: DataFrame, *, now: Column) -> dict[str, DataFrame]:
-    """Every check as (check, run key, event_type). Later checks see the rows earlier ones insert.
+    """Every check as (check, run key, event_type). Later checks see the rows that earlier ones change or insert.
 
     ``markers``: check, pipeline_id, exec_date already alerted.
     """
     def seen(check: str) -> DataFrame:
         return markers.filter(F.col("check") == check).select("pipeline_id", "exec_date")
 
-    recovered = recover_triggers(configs, sensors, triggers, job_log, now=now)
-    after = triggers.select(*RUN_KEY).unionByName(recovered.select(*RUN_KEY))
-    checks = {
-        "stale": stale_runs(triggers, configs, now=now),
-        "missed_schedule": missed_schedules(configs, triggers, now=now),
-        "missed_inclusion": missed_inclusions(configs, triggers, seen("missed_inclusion"), now=now),
+    def named(check: str, df: DataFrame) -> DataFrame:
+        return df.select(F.lit(check).alias("check"), *RUN_KEY, "event_type")
+
+    stale = named("stale", stale_runs(triggers, configs, now=now))
+    after = apply_findings(triggers, stale)
+    recovered = named("recovered", recover_triggers(configs, sensors, after, job_log, now=now))
+    after = apply_findings(after, recovered)
+    planned = L.plan_alerts(configs, after, job_log, now=now).withColumn("event_type", F.lit(None).cast("string"))
+    expired = named("window_expired", expired_windows(configs, after, job_log, now=now))
+    last = apply_findings(after, expired)
+    breaches = L.relative_breaches(configs, arrivals, last, job_log, seen("relative_breach"), now=now)
+    return {
+        "stale": stale,
+        "missed_schedule": named("missed_schedule", missed_schedules(configs, triggers, now=now)),
+        "missed_inclusion": named("missed_inclusion", missed_inclusions(configs, triggers, seen("missed_inclusion"), now=now)),
         "recovered": recovered,
-        "sla_plan": L.plan_alerts(configs, triggers, job_log, now=now).withColumn(
-            "event_type", F.lit(None).cast("string")),
-        "window_expired": expired_windows(configs, after, job_log, now=now),
-        "post_run_missing": D.missing_post_sensors(configs, triggers, job_log, sensors, baselines,
-                                                   seen("post_run_missing"), now=now),
-        "relative_breach": L.relative_breaches(configs, arrivals, triggers, job_log, seen("relative_breach"), now=now)
-        .withColumn("event_type", F.lit("RELATIVE_SLA_BREACH")),
+        "sla_plan": named("sla_plan", planned),
+        "window_expired": expired,
+        "post_run_missing": named("post_run_missing", D.missing_post_sensors(
+            configs, last, job_log, sensors, baselines, seen("post_run_missing"), now=now)),
+        "relative_breach": named("relative_breach", breaches.withColumn("event_type", F.lit("RELATIVE_SLA_BREACH"))),
     }
-    return {k: df.select(F.lit(k).alias("check"), *RUN_KEY, "event_type") for k, df in checks.items()}
 
 
 def union_findings(checks: dict[str, DataFrame]) -> DataFrame:

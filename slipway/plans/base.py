@@ -108,13 +108,13 @@ def s9(t: Tables):
 
 
 @query("s10_insert_if_absent", f"""
-    SELECT pipeline_id, schedule_id, exec_date, min(ts_ms) AS ts_ms, arg_min(seq, (ts_ms, seq)) AS seq FROM hits h
+    SELECT pipeline_id, schedule_id, exec_date, min(ts_ms) AS ts_ms, arg_min(seq, (ts_ms, seq)) AS seq FROM live h
     WHERE NOT EXISTS (SELECT 1 FROM trig t WHERE t.pipeline_id = h.pipeline_id AND t.schedule_id = h.schedule_id
                       AND t.exec_date = h.exec_date)
     GROUP BY ALL""")
 def s10(t: Tables):
     hits = R.excluded_hits(R.trigger_hits(t.sensor_log, R.valid_configs(t.configs)))
-    return S.insert_if_absent(hits, t.triggers, RUN_KEY, ["ts_ms", "seq"], [])
+    return S.insert_if_absent(R.live_only(hits), t.triggers, RUN_KEY, ["ts_ms", "seq"], [])
 
 
 @query("s11_transitions", f"""

@@ -50,12 +50,17 @@ def run_day():
 
 
 def hits(t: Tables):
-    """Trigger hits of valid configs that the wall clock does not exclude, with schedule id and execution date."""
+    """Trigger hits of valid configs, marked where the wall clock excludes them, with schedule id and execution date."""
     return R.excluded_hits(R.trigger_hits(t.sensor_log, R.valid_configs(t.configs)))
 
 
+def live_hits(t: Tables):
+    """Hits that may start a run: excluded and observation-only ones take no lock and record no arrival."""
+    return R.live_only(hits(t))
+
+
 def arrivals(t: Tables):
-    return t.stored("arrivals", lambda: L.first_arrivals(hits(t)))
+    return t.stored("arrivals", lambda: L.first_arrivals(live_hits(t)))
 
 
 def markers(t: Tables):
@@ -204,7 +209,7 @@ def l10(t: Tables):
     SELECT {KEYS}, arrival_ms, seq FROM arrivals a WHERE NOT EXISTS (SELECT 1 FROM trig t WHERE
       t.pipeline_id = a.pipeline_id AND t.schedule_id = a.schedule_id AND t.exec_date = a.exec_date)""")
 def l11(t: Tables):
-    return L.first_arrivals(hits(t), t.triggers).select(*RUN_KEY, "arrival_ms", "seq")
+    return L.first_arrivals(live_hits(t), t.triggers).select(*RUN_KEY, "arrival_ms", "seq")
 
 
 @query("l12_terminal_runs", f"SELECT {KEYS}, event, event_ms FROM latest")
@@ -316,10 +321,6 @@ N6_SQL = f"""
     QUALIFY row_number() OVER (PARTITION BY {KEYS} ORDER BY h.ts_ms, h.seq) = 1"""
 
 
-def live_hits(t: Tables):
-    return hits(t).filter(~F.col("excluded") & ~F.coalesce("cfg.dryRun", F.lit(False)))
-
-
 @query("n6_late_data", N6_SQL)
 def n6(t: Tables):
     return N.late_data(live_hits(t), t.triggers, t.job_log).select(*RUN_KEY, "ts_ms", "seq", "late_ms")
@@ -358,10 +359,9 @@ def d1(t: Tables):
 @query("d2_drift", f"""
     SELECT {KEYS}, seq, CAST(round(base_value * 100) AS BIGINT) AS prev_cents, CAST(round(value * 100) AS BIGINT) AS cur_cents,
       abs(value - base_value) > drift_threshold AS drifted
-    FROM postm JOIN bl USING ({KEYS}) WHERE NOT dry_run""")
+    FROM postm JOIN bl USING ({KEYS}) WHERE NOT dry_run AND ts_ms > captured_ms""")
 def d2(t: Tables):
-    j = matched(t).join(baselines(t).select(*RUN_KEY, "rule_key", "baseline"), [*RUN_KEY, "rule_key"])
-    return D.drift_columns(j).select(*RUN_KEY, "seq", cents(F.col("previous_count")).alias("prev_cents"),
+    return D.with_baseline(matched(t), baselines(t), "inner").select(*RUN_KEY, "seq", cents(F.col("previous_count")).alias("prev_cents"),
                                      cents(F.col("current_count")).alias("cur_cents"), "drifted")
 
 
@@ -381,7 +381,8 @@ def d4(t: Tables):
 @query("d5_inflight_drift", f"""
     SELECT {KEYS}, seq, CAST(round((value - base_value) * 100) AS BIGINT) AS delta_cents
     FROM postm JOIN trig USING ({KEYS}) JOIN bl USING ({KEYS})
-    WHERE NOT dry_run AND trig.status = 'RUNNING' AND abs(value - base_value) > drift_threshold""")
+    WHERE NOT dry_run AND trig.status = 'RUNNING' AND ts_ms > captured_ms
+      AND abs(value - base_value) > drift_threshold""")
 def d5(t: Tables):
     return D.inflight_drift(D.route_post_run(matched(t), t.triggers), baselines(t)).select(
         *RUN_KEY, "seq", cents(F.col("delta")).alias("delta_cents"))

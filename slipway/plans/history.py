@@ -398,13 +398,15 @@ def _findings(t: Tables):
     UNION ALL SELECT 'missed_inclusion', {KEYS}, 'IRREGULAR_SCHEDULE_MISSED' FROM ({W3_SQL})
     UNION ALL SELECT 'recovered', {KEYS}, 'TRIGGER_RECOVERED' FROM w4r
     UNION ALL SELECT 'sla_plan', {KEYS}, NULL FROM ({deadline_sql(PLAN, "now_ts", "sla_date")}) p
-      WHERE breach > now_ts AND NOT EXISTS (SELECT 1 FROM finished f WHERE f.pipeline_id = p.pipeline_id
+      WHERE breach > now_ts AND NOT EXISTS (SELECT 1 FROM staled f WHERE f.pipeline_id = p.pipeline_id
         AND f.schedule_id = p.schedule_id AND f.exec_date = p.exec_date)
     UNION ALL SELECT 'window_expired', {KEYS}, 'SENSOR_DEADLINE_EXPIRED' FROM ({W5_SQL.format(known="known")})
     UNION ALL SELECT 'post_run_missing', {KEYS}, 'POST_RUN_SENSOR_MISSING' FROM ({D8_SQL})
-    UNION ALL SELECT 'relative_breach', {KEYS}, 'RELATIVE_SLA_BREACH' FROM ({L9_SQL})""",
+    UNION ALL SELECT 'relative_breach', {KEYS}, 'RELATIVE_SLA_BREACH' FROM ({L9_SQL.replace("finished", "failed_too")})""",
        {"lf": LAST_FIRE, "w5b": W5_BASE, "w4r": W4_SQL,
-        "known": f"SELECT {KEYS} FROM trig UNION ALL SELECT {KEYS} FROM w4r"})
+        "known": f"SELECT {KEYS} FROM trig UNION ALL SELECT {KEYS} FROM w4r",
+        "staled": f"SELECT {KEYS} FROM finished UNION SELECT {KEYS} FROM ({W1_SQL})",
+        "failed_too": f"SELECT {KEYS} FROM staled UNION SELECT {KEYS} FROM ({W5_SQL.format(known='known')})"})
 def w6(t: Tables):
     return W.run_checks(_findings(t), work_dir(t.spark, "findings"))[0]
 

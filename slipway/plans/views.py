@@ -152,7 +152,7 @@ VIEWS: dict[str, str] = {
         FROM rules r LEFT JOIN sens s ON s.pipeline_id = r.pipeline_id AND s.sensor_key = r.key""",
     # Run state per run from the latest job event, with the planned deadline clock at the start of its day.
     "arrivals": """
-        SELECT pipeline_id, schedule_id, exec_date, ts_ms AS arrival_ms, seq FROM hits QUALIFY row_number() OVER (
+        SELECT pipeline_id, schedule_id, exec_date, ts_ms AS arrival_ms, seq FROM live QUALIFY row_number() OVER (
           PARTITION BY pipeline_id, schedule_id, exec_date ORDER BY ts_ms, seq) = 1""",
     "marks": "SELECT DISTINCT pipeline_id, exec_date FROM reqs WHERE reason = ''",
     "finished": """
@@ -199,6 +199,10 @@ def utc(local_ts: str, tz: str) -> str:
     return f"({local_ts} - ({local(first, tz)} - {first}))"
 
 
+# Hits that may take the lock of a run: no calendar excludes them and the pipeline is not observation-only.
+VIEWS["live"] = f"SELECT h.* FROM hits h WHERE NOT dry_run AND NOT {excluded(local('h.ts', 'h.tz'), 'h')}"
+
+
 def expand(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix the statement with the views it uses, directly or through other views."""
     known = {**VIEWS, **(extra or {})}

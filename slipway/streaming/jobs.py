@@ -106,7 +106,7 @@ def late_data_stream(sensors: DataFrame, read_configs: Callable[[], DataFrame],
                      read_job_log: Callable[[], DataFrame], late: StateTable, **options) -> None:
     """Late data after completion; a run is reported once over all micro-batches."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        hits = live_hits(batch, read_configs()).filter(~F.col("excluded") & ~F.coalesce("cfg.dryRun", F.lit(False)))
+        hits = R.live_only(live_hits(batch, read_configs()))
         found = N.late_data(hits, read_triggers(), read_job_log()).select(*RUN_KEY, "ts_ms", "seq", "late_ms")
         seen = late.read(batch.sparkSession, batch_id)
         late.write(found.join(seen.select(*RUN_KEY), RUN_KEY, "left_anti"), batch_id)
