@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
+MINUTE_MS = 60_000
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str]) -> DataFrame:

@@ -91,7 +91,8 @@ def run_plan(configs: DataFrame, *, run_timeout_seconds: int = RUN_TIMEOUT_SECON
 
     def seconds(s: Column, default: int) -> Column:
         d = V.duration_seconds(s)
-        return F.when(d > 0, F.floor(d)).otherwise(default).cast("bigint")
+        # Clocks count whole seconds; what is under one second has no usable value.
+        return F.when(d >= 1, F.floor(d)).otherwise(default).cast("bigint")
 
     window, interval = seconds(ev["window"], 3600), seconds(ev["interval"], 300)
     poll = F.when(c["job"]["jobPollWindowSeconds"] > 0, c["job"]["jobPollWindowSeconds"]).otherwise(3600)

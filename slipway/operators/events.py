@@ -94,6 +94,15 @@ def alarm_periods(metrics: DataFrame, *, width: str = "5 minutes") -> DataFrame:
                       (value >= F.col("threshold")).alias("alarm"))
 
 
+def merge_periods(parts: DataFrame) -> DataFrame:
+    """Whole alarm periods from partial ones (name, stat, threshold, period_start, value)."""
+    whole = parts.groupBy("name", "stat", "threshold", "period_start").agg(
+        F.sum("value").alias("_sum"), F.max("value").alias("_max"))
+    value = F.when(F.col("stat") == "max", F.col("_max")).otherwise(F.col("_sum"))
+    return whole.select("name", "stat", "threshold", "period_start", value.alias("value"),
+                        (value >= F.col("threshold")).alias("alarm"))
+
+
 def alarm_transitions(periods: DataFrame) -> DataFrame:
     """State changes of each alarm in period order, from OK; periods without data are not breaching.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from slipway.functions import values as V, zones as Z
-from slipway.functions.ordered import DAY_MS, as_of, earliest_by
+from slipway.functions.ordered import MINUTE_MS, as_of, earliest_by
 from slipway.operators.rules import valid_configs
 from slipway.operators.sla import latest_job_events
 from slipway.schema import RUN_KEY
@@ -52,6 +52,14 @@ def count_reruns(reruns: DataFrame, reasons: list[str] | None = None) -> DataFra
     return reruns.groupBy(*RUN_KEY).agg(F.count_if(hit).alias("n"))
 
 
+def rerun_counts(reruns: DataFrame, reasons: dict[str, list[str] | None]) -> DataFrame:
+    """Reruns per run, one count for each named reason set (None: all), in one pass."""
+    def hit(names: list[str] | None) -> Column:
+        return F.lit(True) if names is None else F.col("reason").isin(*names) if names else F.lit(False)
+
+    return reruns.groupBy(*RUN_KEY).agg(*[F.count_if(hit(names)).alias(n) for n, names in reasons.items()])
+
+
 def rerun_class(reason: Column) -> Column:
     return F.when(reason.isin(*DRIFT_REASONS), "drift").otherwise(reason)
 
@@ -70,7 +78,7 @@ def _prepared(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_lo
     prior = reruns.groupBy(*RUN_KEY, rerun_class(F.col("reason")).alias("class")).agg(F.count("*").alias("prior"))
     total = reruns.groupBy(*RUN_KEY).agg(F.count("*").alias("prior_all"))
     q = as_of(q, job_log, RUN_KEY, probe_ms="requested_ms", fact_ms="event_ms", fact_order=["seq"],
-              payload=["event", "event_ms"], out="job", bucket_ms=DAY_MS)
+              payload=["event", "event_ms"], out="job", bucket_ms=MINUTE_MS)
     q = q.join(prior, [*RUN_KEY, "class"], "left").join(total, RUN_KEY, "left").join(
         sensor_update_summary(sensors), "pipeline_id", "left")
     unchanged = (F.col("job.event") == "success") & ~_fresh(F.col("job.event_ms"))

@@ -158,15 +158,29 @@ def readiness_replay(runs: DataFrame, configs: DataFrame, sensor_log: DataFrame,
         "event_type": F.when(ok, "VALIDATION_PASSED").otherwise("VALIDATION_EXHAUSTED")})
 
 
+def _polls(runs: DataFrame, configs: DataFrame, start_ms: str) -> DataFrame:
+    plan = run_plan(configs).select("pipeline_id", "poll_interval_s", "poll_window_s")
+    return runs.select(*RUN_KEY, F.col(start_ms).alias("_start")).join(plan, "pipeline_id").withColumn(
+        "n_polls", F.greatest(F.lit(1), F.ceil(F.col("poll_window_s") / F.col("poll_interval_s"))).cast("bigint"))
+
+
+def visible_events(runs: DataFrame, configs: DataFrame, job_log: DataFrame, *, start_ms: str = "passed_ms") -> DataFrame:
+    """Job events that some poll of their run can see: the last of every (run, polling slot) inside the window."""
+    e = job_log.select(*RUN_KEY, "event_ms", "seq", "event")
+    slot = F.greatest(F.lit(1), F.ceil((F.col("event_ms") - F.col("_start")) / (F.col("poll_interval_s") * 1000)))
+    seen = _polls(runs, configs, start_ms).join(e, RUN_KEY).withColumn("poll", slot.cast("bigint")).filter(
+        F.col("poll") <= F.col("n_polls"))
+    return seen.groupBy(*RUN_KEY, "poll").agg(F.max(F.struct("event_ms", "seq", "event")).alias("e")).select(
+        *RUN_KEY, "e.event_ms", "e.seq", "e.event")
+
+
 def poll_replay(runs: DataFrame, configs: DataFrame, job_log: DataFrame, *, start_ms: str = "passed_ms") -> DataFrame:
     """First poll that sees a terminal latest event; a timeout when the window closes first.
 
     Polls happen at start + k intervals. Only the last event of each polling slot can be seen, so events are
     reduced to one per (run, slot) and no poll rows are generated.
     """
-    plan = run_plan(configs).select("pipeline_id", "poll_interval_s", "poll_window_s")
-    r = runs.select(*RUN_KEY, F.col(start_ms).alias("_start")).join(plan, "pipeline_id").withColumn(
-        "n_polls", F.greatest(F.lit(1), F.ceil(F.col("poll_window_s") / F.col("poll_interval_s"))).cast("bigint"))
+    r = _polls(runs, configs, start_ms)
     e = job_log.select(*RUN_KEY, "event_ms", F.col("seq").alias("_seq"), "event")
     slot = F.greatest(F.lit(1), F.ceil((F.col("event_ms") - F.col("_start")) / (F.col("poll_interval_s") * 1000)))
     seen = r.join(e, RUN_KEY).withColumn("poll", slot.cast("bigint")).filter(F.col("poll") <= F.col("n_polls"))

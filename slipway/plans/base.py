@@ -398,8 +398,9 @@ R9_SQL = f"""
 
 def readiness_runs(t: Tables):
     """Known runs plus every (config, sensor day)."""
-    days = t.sensor_log.select(Z.day_text(F.col("ts")).alias("exec_date")).distinct()
-    daily = t.configs.select("pipeline_id", Z.schedule_id(F.col("cfg")).alias("schedule_id")).join(days)
+    days = t.sensor_log.select(Z.day_text(F.col("ts")).alias("d")).distinct().agg(F.sort_array(F.collect_list("d")))
+    daily = t.configs.select("pipeline_id", Z.schedule_id(F.col("cfg")).alias("schedule_id"),
+                             F.explode(days.scalar()).alias("exec_date"))  # there are few days
     return t.triggers.select(*RUN_KEY).union(daily).distinct()
 
 

@@ -117,9 +117,14 @@ TIMERS = f"""
     FROM ({deadline_sql(DAILY_RUNS, "day_ts")}), (VALUES ('warning'), ('breach')) s(suffix) WHERE breach IS NOT NULL"""
 
 
+def sensor_days(t: Tables):
+    """Each day with sensor writes, one row per day for every row it is selected with; there are few days."""
+    days = t.sensor_log.select(Z.day_text(F.col("ts")).alias("d")).distinct().agg(F.sort_array(F.collect_list("d")))
+    return F.explode(days.scalar()).alias("exec_date")
+
+
 def _daily_timers(t: Tables):
-    days = t.sensor_log.select(Z.day_text(F.col("ts")).alias("exec_date")).distinct()
-    runs = t.configs.select("pipeline_id", Z.schedule_id(F.col("cfg")).alias("schedule_id")).join(days)
+    runs = t.configs.select("pipeline_id", Z.schedule_id(F.col("cfg")).alias("schedule_id"), sensor_days(t))
     return L.timer_rows(L.absolute_deadline(L.sla_runs(runs, t.configs), now=run_day()))
 
 
@@ -236,14 +241,7 @@ def n2(t: Tables):
     SELECT {KEYS}, count(*) AS n, count(*) FILTER (reason IN ('data-drift', 'late-data')) AS n_drift,
       count(*) FILTER (reason = 'job-fail-retry') AS n_retry, CAST(0 AS BIGINT) AS n_none FROM reruns GROUP BY ALL""")
 def n3(t: Tables):
-    r = t.reruns
-    parts = [N.count_reruns(r), N.count_reruns(r, N.DRIFT_REASONS).withColumnRenamed("n", "n_drift"),
-             N.count_reruns(r, [N.RETRY_REASON]).withColumnRenamed("n", "n_retry"),
-             N.count_reruns(r, []).withColumnRenamed("n", "n_none")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, RUN_KEY)
-    return out
+    return N.rerun_counts(t.reruns, {"n": None, "n_drift": N.DRIFT_REASONS, "n_retry": [N.RETRY_REASON], "n_none": []})
 
 
 REQX = f"""

@@ -11,7 +11,7 @@ from slipway.plans.base import LAST_FIRE
 from slipway.plans.decisions import D8_SQL, L9_SQL, PLAN, deadline_sql
 from slipway.plans.registry import Tables, query, secs
 from slipway.plans.views import excluded, local
-from slipway.operators import watchdog as W
+from slipway.operators import events as E, rules as R, runs as J, watchdog as W
 from slipway.schema import RUN_KEY
 from slipway.session import work_dir
 from slipway.sources import fixtures as X
@@ -26,7 +26,7 @@ def sensor_stream(t: Tables):
 def stream_of(t: Tables, name: str, make=None):
     """Stream over a stored table."""
     df = t.stored(name, make) if make else getattr(t, name)
-    return T.read_stream(t.spark, df.inputFiles()[0].rsplit("/", 1)[0], df.schema)
+    return T.read_stream(t.spark, t.path(name), df.schema)
 
 
 def state(t: Tables, name: str, ddl: str):
@@ -38,34 +38,36 @@ STARTED_SQL = f"""
     QUALIFY row_number() OVER (PARTITION BY {KEYS} ORDER BY ts_ms, seq) = 1"""
 
 
+NEW_RUN = "NOT EXISTS (SELECT 1 FROM trig t WHERE t.pipeline_id = h.pipeline_id AND t.schedule_id = h.schedule_id AND t.exec_date = h.exec_date)"
+
+
 @query("t1_live_triggers", f"""
-    SELECT *, 'JOB_TRIGGERED' AS event_type FROM ({STARTED_SQL})
+    SELECT h.*, 'JOB_TRIGGERED' AS event_type FROM ({STARTED_SQL}) h WHERE {NEW_RUN}
     UNION ALL SELECT {KEYS}, ts_ms, seq, 'PIPELINE_EXCLUDED' FROM hits h
       WHERE NOT dry_run AND {excluded(local('h.ts', 'h.tz'), 'h')}""")
 def t1(t: Tables):
     starts = state(t, "starts", f"{T.RUN_DDL}, ts_ms BIGINT, seq BIGINT")
     events = state(t, "trigger-events", f"{T.RUN_DDL}, ts_ms BIGINT, seq BIGINT, event_type STRING")
-    T.trigger_stream(sensor_stream(t), lambda: t.configs, starts, events)
+    T.trigger_stream(sensor_stream(t), lambda: t.configs, lambda: t.triggers, starts, events)
     return events.read(t.spark)
 
 
 def _stream_hits(t: Tables):
-    return T.live_hits(sensor_stream(t), t.configs).filter(
-        ~F.col("excluded") & ~F.coalesce("cfg.dryRun", F.lit(False))).select(*RUN_KEY, "ts", "ts_ms", "seq")
+    return R.live_only(T.live_hits(sensor_stream(t), t.configs)).select(*RUN_KEY, "ts", "ts_ms", "seq")
 
 
 @query("t2_run_locks", f"SELECT {KEYS} FROM ({STARTED_SQL})")
 def t2(t: Tables):
-    path = work_dir(t.spark, "locks")
-    T.write_parquet_stream(T.locked_starts(_stream_hits(t)), path)
-    return t.spark.read.parquet(path).select(*RUN_KEY)
+    out = state(t, "locks", f"{T.RUN_DDL}, ts_ms BIGINT, seq BIGINT")
+    T.lock_stream(_stream_hits(t), out)
+    return out.read(t.spark).select(*RUN_KEY)
 
 
 @query("t3_first_arrivals", STARTED_SQL)
 def t3(t: Tables):
     out = state(t, "arrivals", f"{T.RUN_DDL}, ts_ms BIGINT, seq BIGINT")
     T.arrival_stream(_stream_hits(t), out)
-    return out.read(t.spark).groupBy(*RUN_KEY).agg(F.min(F.struct("ts_ms", "seq")).alias("f")).select(*RUN_KEY, "f.*")
+    return T.first_arrivals(out.read(t.spark))
 
 
 @query("t4_late_data", N6_SQL)
@@ -89,24 +91,31 @@ def _no_marks(sql: str) -> str:
 
 @query("t6_watchdog_ticks", f"""
     SELECT 'stale' AS check, {KEYS}, 'SFN_TIMEOUT' AS event_type FROM ({W1_SQL})
-    UNION ALL SELECT 'missed_schedule', {KEYS}, 'SCHEDULE_MISSED' FROM ({W2_ALL})
+    UNION ALL SELECT 'missed_schedule', {KEYS}, 'SCHEDULE_MISSED' FROM ({W2_ALL}), (VALUES (1), (2)) tick(n)
     UNION ALL SELECT 'missed_inclusion', {KEYS}, 'IRREGULAR_SCHEDULE_MISSED' FROM ({_no_marks(W3_SQL)})
     UNION ALL SELECT 'recovered', {KEYS}, 'TRIGGER_RECOVERED' FROM w4r
     UNION ALL SELECT 'sla_plan', {KEYS}, NULL FROM ({deadline_sql(PLAN, "now_ts", "sla_date")}) p
-      WHERE breach > now_ts AND NOT EXISTS (SELECT 1 FROM finished f WHERE f.pipeline_id = p.pipeline_id
+      WHERE breach > now_ts AND NOT EXISTS (SELECT 1 FROM staled f WHERE f.pipeline_id = p.pipeline_id
         AND f.schedule_id = p.schedule_id AND f.exec_date = p.exec_date)
     UNION ALL SELECT 'window_expired', {KEYS}, 'SENSOR_DEADLINE_EXPIRED' FROM ({W5_SQL.format(known="known")})
     UNION ALL SELECT 'post_run_missing', {KEYS}, 'POST_RUN_SENSOR_MISSING' FROM ({_no_marks(D8_SQL)})
-    UNION ALL SELECT 'relative_breach', {KEYS}, 'RELATIVE_SLA_BREACH' FROM ({_no_marks(L9_SQL)})""",
+    UNION ALL SELECT 'relative_breach', {KEYS}, 'RELATIVE_SLA_BREACH'
+      FROM ({_no_marks(L9_SQL.replace("finished", "failed_too"))})""",
        {"lf": LAST_FIRE, "w5b": W5_BASE, "w4r": W4_SQL,
-        "known": f"SELECT {KEYS} FROM trig UNION ALL SELECT {KEYS} FROM w4r"})
+        "known": f"SELECT {KEYS} FROM trig UNION ALL SELECT {KEYS} FROM w4r",
+        "staled": f"SELECT {KEYS} FROM finished UNION SELECT {KEYS} FROM ({W1_SQL})",
+        "failed_too": f"SELECT {KEYS} FROM staled UNION SELECT {KEYS} FROM ({W5_SQL.format(known='known')})"})
 def t6(t: Tables):
+    """Two ticks at one clock: the second repeats only the missed schedules."""
     out = state(t, "findings", T.FINDING_DDL)
 
-    def checks(now, marks):
-        return W.all_findings(t.configs, t.sensors, t.triggers, t.job_log, baselines(t), arrivals(t), marks, now=now)
+    def checks(now, triggers, marks):
+        return W.all_findings(t.configs, t.sensors, triggers, t.job_log, baselines(t), arrivals(t), marks, now=now)
 
-    T.watchdog_stream(sensor_stream(t).select("ts"), checks, out, now=t.now)
+    ticks = t.stored("ticks", lambda: t.sensor_log.groupBy().agg(F.max(t.now).alias("ts")).withColumn(
+        "n", F.explode(F.array(F.lit(1), F.lit(2)))).repartitionByRange(2, "n"))
+    T.watchdog_stream(T.read_stream(t.spark, t.path("ticks"), ticks.schema, files_per_batch=1), checks,
+                      lambda: t.triggers, out)
     return out.read(t.spark)
 
 
@@ -128,23 +137,22 @@ def _poll_starts(t: Tables):
           QUALIFY row_number() OVER (PARTITION BY s.pipeline_id, s.schedule_id, s.exec_date, k
             ORDER BY j.event_ms DESC, j.seq DESC) = 1) x
           ON x.pipeline_id = b.pipeline_id AND x.schedule_id = b.schedule_id AND x.exec_date = b.exec_date AND k <= b.n_polls
-        GROUP BY ALL))
-    WHERE finished_ms <= (SELECT max(event_ms) FROM jlog) - 60000""", {"base": POLL_STARTS})
+        GROUP BY ALL))""", {"base": POLL_STARTS})
 def t7(t: Tables):
-    path = work_dir(t.spark, "polls")
-    T.write_parquet_stream(
-        T.poll_stream(stream_of(t, "poll_starts", lambda: _poll_starts(t)), stream_of(t, "job_log"), t.configs), path)
-    return t.spark.read.parquet(path)
+    """Poll outcomes from the job events each micro-batch makes visible."""
+    starts = t.stored("poll_starts", lambda: _poll_starts(t))
+    out = state(t, "visible", T.EVENT_DDL)
+    T.job_event_stream(stream_of(t, "job_log"), lambda: starts, lambda: t.configs, out)
+    return J.poll_replay(starts, t.configs, out.read(t.spark)).select(*RUN_KEY, "polls", "outcome", "finished_ms")
 
 
 @query("t8_hourly_runs", """
     SELECT pipeline_id, strftime(ts, '%Y-%m-%dT%H') AS exec_date, count(*) AS n_rows, max(ts_ms) AS last_ms FROM slog
-    GROUP BY ALL HAVING max(date_trunc('hour', ts)) + INTERVAL 1 HOUR <=
-      (SELECT make_timestamp(max(ts_ms) * 1000) FROM slog) - INTERVAL 10 MINUTE""")
+    GROUP BY ALL""")
 def t8(t: Tables):
-    path = work_dir(t.spark, "hours")
-    T.write_parquet_stream(T.hourly_runs(sensor_stream(t).select("pipeline_id", "ts", "ts_ms")), path)
-    return t.spark.read.parquet(path)
+    out = state(t, "hours", T.HOUR_DDL)
+    T.hourly_stream(sensor_stream(t).select("pipeline_id", "ts", "ts_ms"), out)
+    return T.hourly_runs(out.read(t.spark))
 
 
 @query("t9_fresh_configs", f"SELECT {KEYS}, ts_ms, seq FROM hits")
@@ -155,8 +163,7 @@ def t9(t: Tables):
 
 
 @query("t10_alarm_stream", """
-    SELECT name, threshold, CAST(epoch(period_start) AS BIGINT) AS period_s, value, alarm FROM periods
-    WHERE epoch_us(period_start) // 1000 + 300000 <= (SELECT max(epoch_us(ts) // 1000) FROM events) - 300000""",
+    SELECT name, threshold, CAST(epoch(period_start) AS BIGINT) AS period_s, value, alarm FROM periods""",
        {"periods": PERIODS})
 def t10(t: Tables):
     class Stream(Tables):
@@ -164,9 +171,7 @@ def t10(t: Tables):
             df = super().table(name)
             return T.read_stream(self.spark, self.sf_dir, df.schema, name=f"{name}.parquet")
 
-    path = work_dir(t.spark, "alarms")
-    T.write_parquet_stream(T.alarm_stream(_alarm_metrics(Stream(t.spark, t.sf_dir))), path)
-    return t.spark.read.parquet(path).select(
+    out = state(t, "alarms", T.PERIOD_DDL)
+    T.alarm_stream(_alarm_metrics(Stream(t.spark, t.sf_dir)), out)
+    return E.merge_periods(out.read(t.spark)).select(
         "name", "threshold", secs(F.col("period_start")).alias("period_s"), "value", "alarm")
-
-

@@ -16,6 +16,7 @@ SQL: dict[str, str] = {}
 
 
 STORED = ("sensor_log", "sensors", "configs", "job_log", "triggers", "reruns", "rerun_requests")
+ROWS_PER_FILE = 20_000
 _paths: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
@@ -46,14 +47,16 @@ class Tables:
         if key not in _paths:
             path = work_dir(self.spark, name)
             df = make()
-            cores = self.spark.sparkContext.defaultParallelism
-            if len(df.inputFiles()) < cores:  # too few files to keep every core busy on later scans
-                df = df.repartition(cores)
-            df.write.parquet(path)
+            # Files of bounded rows, so that later scans keep every core busy, whatever the input's files were.
+            df.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
             _paths[key] = (path, df.schema)
         path, schema = _paths[key]
         return self.spark.read.schema(schema).parquet(path)
 
+    def path(self, name: str) -> str:
+        """Folder of a table that has been stored."""
+        return _paths[self.spark.sparkContext.applicationId, self.sf_dir, name][0]
+
     def store_all(self) -> None:
         for name in STORED:
             getattr(self, name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slipway.functions.ordered import DAY_MS, earliest_by, latest_by, running_before
+from slipway.functions.ordered import MINUTE_MS, earliest_by, latest_by, running_before
 from slipway.functions.values import non_null_text
 from slipway.schema import CALENDAR_DDL, CONFIG_DDL, LOCK_SECONDS, RUN_KEY
 
@@ -123,7 +123,7 @@ def apply_transitions(triggers: DataFrame, transitions: DataFrame) -> DataFrame:
     return j.filter(keep).select(*RUN_KEY, status.alias("status"), ttl.cast("bigint").alias("ttl_epoch"))
 
 
-def number_reruns(new: DataFrame, existing: DataFrame, *, bucket_ms: int = DAY_MS) -> DataFrame:
+def number_reruns(new: DataFrame, existing: DataFrame, *, bucket_ms: int = MINUTE_MS) -> DataFrame:
     """Append-ready reruns with the 0-based attempt = count of all earlier reruns of the run, any reason."""
     prior = existing.groupBy(*RUN_KEY).agg(F.count("*").alias("_prior"))
     ranked = running_before(new, RUN_KEY, "triggered_ms", ["reason", "seq"], {"_rank": F.lit(1)}, bucket_ms=bucket_ms)

@@ -3,22 +3,18 @@
 Stateless work (routing, conditions, calendars) is plain streaming DataFrame code. Decisions that must agree with
 tables other jobs write run the batch operators inside ``foreachBatch`` against versioned state tables in the
 shared folder; each micro-batch owns one sub-folder and overwrites it when replayed, so results are exactly-once.
-Keyed state is used where only the key's own past matters.
+Aggregates keep one partial row per key and micro-batch, so no row can come too late and no state outlives its batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from slipway.operators import events as E, reruns as N, rules as R, watchdog as W
-from slipway.operators.clean import run_plan
-from slipway.operators.runs import POLL_TERMINAL
+from slipway.operators import events as E, reruns as N, rules as R, runs as J, watchdog as W
 from slipway.schema import RUN_KEY
-from slipway.session import STATE_STORE, work_dir
+from slipway.session import work_dir
 from slipway.sources import control as S
 
 RUN_DDL = "pipeline_id STRING, schedule_id STRING, exec_date STRING"
@@ -36,15 +32,14 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, *, name: s
 
 
 def run_available(df: DataFrame, each: Callable[[DataFrame, int], None], *, mode: str = "append",
-                  checkpoint: str | None = None, timeout: int = 600) -> None:
-    """Process everything available through ``foreachBatch``, then stop."""
+                  checkpoint: str | None = None) -> None:
+    """Process everything available through ``foreachBatch``, however long it takes, then stop."""
     spark = df.sparkSession
     q = (
         df.writeStream.outputMode(mode).trigger(availableNow=True).foreachBatch(each)
         .option("checkpointLocation", checkpoint or work_dir(spark, "checkpoint")).start())
     try:
-        if not q.awaitTermination(timeout):
-            raise TimeoutError("streaming query still running")
+        q.awaitTermination()
     finally:
         q.stop()
 
@@ -71,18 +66,19 @@ def live_hits(sensors: DataFrame, configs: DataFrame) -> DataFrame:
     return R.excluded_hits(R.trigger_hits(sensors, R.valid_configs(configs)))
 
 
-def trigger_stream(sensors: DataFrame, read_configs: Callable[[], DataFrame], starts: StateTable, events: StateTable,
-                   **options) -> None:
+def trigger_stream(sensors: DataFrame, read_configs: Callable[[], DataFrame], read_triggers: Callable[[], DataFrame],
+                   starts: StateTable, events: StateTable, **options) -> None:
     """Sensor writes to run starts: condition, calendar, execution date, first hit per run takes the lock.
 
-    Excluded hits and started runs become event rows. Configs are read again in every micro-batch.
+    Runs that already have a row in ``triggers`` do not start again. Excluded hits and started runs become event rows.
+    Configs and triggers are read again in every micro-batch.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         hits = live_hits(batch, read_configs()).filter(~F.coalesce("cfg.dryRun", F.lit(False)))
         hits = hits.select(*RUN_KEY, "ts_ms", "seq", "excluded")
-        new = S.insert_if_absent(hits.filter(~F.col("excluded")), starts.read(spark, batch_id), RUN_KEY,
-                                 ["ts_ms", "seq"], [])
+        known = starts.read(spark, batch_id).select(*RUN_KEY).unionByName(read_triggers().select(*RUN_KEY))
+        new = S.insert_if_absent(hits.filter(~F.col("excluded")), known, RUN_KEY, ["ts_ms", "seq"], [])
         starts.write(new, batch_id)
         started = starts.read(spark).join(new.select(*RUN_KEY), RUN_KEY, "left_semi")
         excluded = hits.filter("excluded").select(*RUN_KEY, "ts_ms", "seq", F.lit("PIPELINE_EXCLUDED").alias("event_type"))
@@ -91,15 +87,26 @@ def trigger_stream(sensors: DataFrame, read_configs: Callable[[], DataFrame], st
     run_available(sensors, each, **options)
 
 
-def locked_starts(hits: DataFrame, *, lock: str = "270 minutes") -> DataFrame:
-    """Run starts by keyed state: one row per run while its lock lives, which is also how long the key is kept."""
-    return hits.withWatermark("ts", lock).dropDuplicatesWithinWatermark(RUN_KEY)
+def lock_stream(hits: DataFrame, locks: StateTable, **options) -> None:
+    """Run starts: one row per run, its first hit in the first micro-batch that has one. No hit is ever too late."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        locks.write(S.insert_if_absent(batch, locks.read(batch.sparkSession, batch_id), RUN_KEY, ["ts_ms", "seq"], []),
+                    batch_id)
+
+    run_available(hits, each, **options)
 
 
 def arrival_stream(hits: DataFrame, arrivals: StateTable, **options) -> None:
-    """First sensor arrival per run as a running minimum; the latest batch of a run holds its value."""
-    first = hits.groupBy(*RUN_KEY).agg(F.min(F.struct("ts_ms", "seq")).alias("f")).select(*RUN_KEY, "f.*")
-    run_available(first, lambda batch, i: arrivals.write(batch, i), mode="update", **options)
+    """First sensor arrival per run and micro-batch; ``first_arrivals`` has the first of all."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        first = batch.groupBy(*RUN_KEY).agg(F.min(F.struct("ts_ms", "seq")).alias("f"))
+        arrivals.write(first.select(*RUN_KEY, "f.*"), batch_id)
+
+    run_available(hits, each, **options)
+
+
+def first_arrivals(arrivals: DataFrame) -> DataFrame:
+    return arrivals.groupBy(*RUN_KEY).agg(F.min(F.struct("ts_ms", "seq")).alias("f")).select(*RUN_KEY, "f.*")
 
 
 def late_data_stream(sensors: DataFrame, read_configs: Callable[[], DataFrame], read_triggers: Callable[[], DataFrame],
@@ -142,28 +149,45 @@ FINDING_DDL = f"check STRING, {RUN_DDL}, event_type STRING"
 ONCE_PER_DATE = ["missed_inclusion", "post_run_missing", "relative_breach"]
 
 
-def watchdog_stream(ticks: DataFrame, checks_at: Callable[[Column, DataFrame], dict[str, DataFrame]],
-                    findings: StateTable, *, now: Column | None = None, **options) -> None:
-    """Run the absence checks once per micro-batch of ``ticks`` (a ``ts`` column drives the clock unless given).
+def watchdog_stream(ticks: DataFrame, checks_at: Callable[[Column, DataFrame, DataFrame], dict[str, DataFrame]],
+                    read_triggers: Callable[[], DataFrame], findings: StateTable, **options) -> None:
+    """Run the absence checks once per micro-batch of ``ticks``, whose latest ``ts`` is the clock.
 
-    ``checks_at(now, markers)`` builds the checks; earlier findings are the markers of once-per-date checks.
+    ``checks_at(now, triggers, markers)`` builds the checks. Earlier findings are the markers of once-per-date checks
+    and of planned alerts, and the changes they made to runs are applied to ``triggers`` first, so a run is reported
+    stale, recovered or expired once. A micro-batch without ticks finds nothing.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        at = now if now is not None else F.lit(batch.agg(F.max("ts")).first()[0]).cast("timestamp")
-        markers = findings.read(spark, batch_id).filter(F.col("check").isin(*ONCE_PER_DATE)).select(
-            "check", "pipeline_id", "exec_date")
-        findings.write(W.union_findings(checks_at(at, markers)), batch_id)
+        at = batch.agg(F.max("ts")).first()[0]
+        if at is None:
+            return
+        earlier = findings.read(batch.sparkSession, batch_id)
+        markers = earlier.filter(F.col("check").isin(*ONCE_PER_DATE)).select("check", "pipeline_id", "exec_date")
+        found = W.union_findings(checks_at(F.lit(at).cast("timestamp"), W.apply_findings(read_triggers(), earlier), markers))
+        planned = earlier.filter("check = 'sla_plan'").select("check", *RUN_KEY)
+        findings.write(found.join(planned, ["check", *RUN_KEY], "left_anti"), batch_id)
 
     run_available(ticks, each, **options)
 
 
-def hourly_runs(sensors: DataFrame, *, lateness: str = "10 minutes") -> DataFrame:
-    """Each (pipeline, hour) is its own run: closed hours with their row count (append mode)."""
-    w = F.window("ts", "1 hour")
-    return sensors.withWatermark("ts", lateness).groupBy("pipeline_id", w.alias("w")).agg(
-        F.count("*").alias("n_rows"), F.max("ts_ms").alias("last_ms")).select(
-        "pipeline_id", F.date_format("w.start", "yyyy-MM-dd'T'HH").alias("exec_date"), "n_rows", "last_ms")
+HOUR_DDL = "pipeline_id STRING, exec_date STRING, n_rows BIGINT, last_ms BIGINT"
+
+
+def hourly_stream(sensors: DataFrame, hours: StateTable, **options) -> None:
+    """Each (pipeline, hour) is its own run: row counts per micro-batch, which ``hourly_runs`` adds up.
+
+    Open hours are there as soon as they have rows, and a late row counts whenever it comes.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        hours.write(batch.groupBy("pipeline_id", F.date_format("ts", "yyyy-MM-dd'T'HH").alias("exec_date")).agg(
+            F.count("*").alias("n_rows"), F.max("ts_ms").alias("last_ms")), batch_id)
+
+    run_available(sensors, each, **options)
+
+
+def hourly_runs(hours: DataFrame) -> DataFrame:
+    return hours.groupBy("pipeline_id", "exec_date").agg(
+        F.sum("n_rows").alias("n_rows"), F.max("last_ms").alias("last_ms"))
 
 
 def hits_with_fresh_configs(sensors: DataFrame, read_configs: Callable[[], DataFrame], out: StateTable, **options) -> None:
@@ -175,92 +199,30 @@ def hits_with_fresh_configs(sensors: DataFrame, read_configs: Callable[[], DataF
     run_available(sensors, each, **options)
 
 
-def alarm_stream(metrics: DataFrame, *, lateness: str = "5 minutes") -> DataFrame:
-    """Closed five-minute alarm periods of a metric stream (append mode)."""
-    return E.alarm_periods(metrics.withWatermark("ts", lateness))
+PERIOD_DDL = "name STRING, stat STRING, threshold DOUBLE, period_start TIMESTAMP, value DOUBLE"
 
 
-def write_parquet_stream(df: DataFrame, path: str, *, partition_by: list[str] | None = None, timeout: int = 600) -> None:
-    """Append a stream to parquet until everything available is processed."""
-    w = df.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option(
-        "checkpointLocation", work_dir(df.sparkSession, "checkpoint")).option("path", path)
-    q = (w.partitionBy(*partition_by) if partition_by else w).start()
-    try:
-        if not q.awaitTermination(timeout):
-            raise TimeoutError("streaming query still running")
-    finally:
-        q.stop()
+def alarm_stream(metrics: DataFrame, periods: StateTable, **options) -> None:
+    """Five-minute alarm periods per micro-batch; ``E.merge_periods`` puts the parts of a period together."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        part = E.alarm_periods(batch).select(
+            "name", "stat", F.col("threshold").cast("double").alias("threshold"), "period_start",
+            F.col("value").cast("double").alias("value"))
+        periods.write(part, batch_id)
 
+    run_available(metrics, each, **options)
 
-# ---- poll loop with timers -------------------------------------------------------------------------------
-
-POLL_OUT = T.StructType([
-    T.StructField("pipeline_id", T.StringType()), T.StructField("schedule_id", T.StringType()),
-    T.StructField("exec_date", T.StringType()), T.StructField("polls", T.LongType()),
-    T.StructField("outcome", T.StringType()), T.StructField("finished_ms", T.LongType()),
-])
-
-
-class PollLoop(StatefulProcessor):
-    """State of one run: its start and the job events seen; timers only at polls that can see something new."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.run = handle.getValueState("run", "start_ms long, interval_ms long, polls long")
-        self.seen = handle.getMapState("seen", "event_ms long, seq long", "event string")
-
-    def _register(self, event_ms: int) -> None:
-        start, interval, polls = self.run.get()
-        k = max(1, -(-(event_ms - start) // interval))
-        if k <= polls:
-            self.handle.registerTimer(int(start + k * interval))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = []
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                if r.kind == "start" and not self.run.exists():
-                    self.run.update((int(r.at_ms), int(r.interval_ms), int(r.polls)))
-                    self.handle.registerTimer(int(r.at_ms + r.polls * r.interval_ms))
-                    events.extend(k[0] for k in self.seen.keys())
-                elif r.kind == "job":
-                    self.seen.updateValue((int(r.at_ms), int(r.seq)), (r.event,))
-                    events.append(int(r.at_ms))
-        if self.run.exists():
-            for ms in events:
-                self._register(ms)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.run.exists():
-            return
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        start, interval, polls = self.run.get()
-        past = [(k, v[0]) for k, v in self.seen.iterator() if k[0] <= at]
-        latest = max(past)[1] if past else None
-        k = (at - start) // interval
-        outcome = latest if latest in POLL_TERMINAL else ("timeout" if k >= polls else None)
-        if outcome is not None:
-            self.run.clear()
-            self.seen.clear()
-            yield pd.DataFrame([(*key, int(k), outcome, int(at))], columns=POLL_OUT.names)
-
-    def close(self) -> None:
-        pass
-
-
-def poll_stream(starts: DataFrame, job_log: DataFrame, configs: DataFrame, *, lateness: str = "1 minute") -> DataFrame:
-    """Poll outcome of each started run (``passed_ms``) once the watermark passes the deciding poll."""
-    starts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    plan = run_plan(configs).select(
-        "pipeline_id", (F.col("poll_interval_s") * 1000).alias("interval_ms"),
-        F.greatest(F.lit(1), F.ceil(F.col("poll_window_s") / F.col("poll_interval_s"))).cast("bigint").alias("polls"))
-    s = starts.join(plan, "pipeline_id").select(
-        *RUN_KEY, F.lit("start").alias("kind"), F.col("passed_ms").alias("at_ms"), "interval_ms", "polls",
-        F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("event"))
-    zero = F.lit(0).cast("bigint")
-    j = job_log.select(*RUN_KEY, F.lit("job").alias("kind"), F.col("event_ms").alias("at_ms"), zero.alias("interval_ms"),
-                       zero.alias("polls"), "seq", "event")
-    both = s.unionByName(j).withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", lateness)
-    return both.groupBy(*RUN_KEY).transformWithStateInPandas(
-        statefulProcessor=PollLoop(), outputStructType=POLL_OUT, outputMode="append", timeMode="eventTime")
+
+EVENT_DDL = f"{RUN_DDL}, event_ms BIGINT, seq BIGINT, event STRING"
+
+
+def job_event_stream(job_log: DataFrame, read_starts: Callable[[], DataFrame], read_configs: Callable[[], DataFrame],
+                     seen: StateTable, **options) -> None:
+    """What polling can see of each micro-batch's job events: the last event of every (run, polling slot).
+
+    The poll outcomes of all events so far are ``poll_replay`` over ``seen``.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        seen.write(J.visible_events(read_starts(), read_configs(), batch), batch_id)
+
+    run_available(job_log, each, **options)
