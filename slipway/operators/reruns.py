@@ -14,15 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from slipway.functions import values as V, zones as Z
-from slipway.functions.ordered import MINUTE_MS, as_of, earliest_by
+from slipway.functions.ordered import MINUTE_MS, as_of, earliest_by, running_before
 from slipway.operators.rules import valid_configs
 from slipway.operators.sla import latest_job_events
-from slipway.schema import RUN_KEY
+from slipway.schema import JOB_BOUNDS, RUN_KEY
 from slipway.session import staged
 
 DRIFT_REASONS = ["data-drift", "late-data"]
 RETRY_REASON = "job-fail-retry"
-MAX_RERUN_BUDGET, MAX_RETRIES = 5, 10  # bounds a valid config keeps
+MAX_RETRIES = max(JOB_BOUNDS[k][1] for k in ("maxRetries", "maxCodeRetries"))  # valid configs keep the bounds
 
 
 def sensor_update_summary(sensors: DataFrame) -> DataFrame:
@@ -109,15 +109,12 @@ def rerun_decisions(requests: DataFrame, configs: DataFrame, reruns: DataFrame,
     first = q.filter(writes).groupBy(*RUN_KEY, "job_ms").agg(F.min("at").alias("_first"))
     q = q.join(first, [*RUN_KEY, "job_ms"], "left").withColumn(
         "breaker", F.col("unchanged_success") & (F.col("at") == F.col("_first")))
-    by_class = W.partitionBy(*RUN_KEY, "class").orderBy("at")
-    top = q.filter(~F.col("breaker") & F.col("has_lock") & ~F.col("excluded") & (F.col("room") > 0)).withColumn(
-        "_rank", F.row_number().over(by_class)).filter(F.col("_rank") <= MAX_RERUN_BUDGET)
-    accepted = top.filter(F.col("_rank") <= F.col("room")).groupBy(*RUN_KEY).agg(
-        F.sort_array(F.collect_list(F.struct("at", "class"))).alias("_acc"))
-    q = q.join(accepted, RUN_KEY, "left")
-    same_class = F.filter("_acc", lambda x: x["class"] == F.col("class"))
-    used = F.coalesce(F.size(F.filter(same_class, lambda x: x["at"] < F.col("at"))), F.lit(0))
-    over = (F.col("prior") >= F.col("budget")) | F.when(F.col("has_lock"), used >= F.col("room")).otherwise(F.lit(False))
+    # Of the requests of a class that nothing else stops, the first ``room`` are accepted.
+    stands = ~F.col("breaker") & F.col("has_lock") & ~F.col("excluded") & (F.col("room") > 0)
+    q = running_before(q, [*RUN_KEY, "class"], "requested_ms", ["reason", "seq"], {"_ahead": stands}, bucket_ms=MINUTE_MS)
+    q = running_before(q, RUN_KEY, "requested_ms", ["reason", "seq"],
+                       {"_earlier": stands & (F.col("_ahead") < F.col("room"))}, bucket_ms=MINUTE_MS)
+    over = (F.col("prior") >= F.col("budget")) | (F.col("has_lock") & (F.col("_ahead") >= F.col("room")))
     decision = (
         F.when(F.col("excluded"), "excluded").when(over, "rejected").when(F.col("breaker"), "rejected")
         .when(~F.col("has_lock"), "infra_failure").otherwise("accepted"))
@@ -125,14 +122,13 @@ def rerun_decisions(requests: DataFrame, configs: DataFrame, reruns: DataFrame,
     why = (
         F.when(F.col("excluded"), "excluded by calendar").when(over, label)
         .when(F.col("breaker"), "previous run succeeded and no sensor data has changed"))
-    earlier = F.coalesce(F.size(F.filter("_acc", lambda x: x["at"] < F.col("at"))), F.lit(0))
     d = F.col("decision")
     event = (
         F.when(d == "excluded", "PIPELINE_EXCLUDED").when(d == "rejected", "RERUN_REJECTED")
         .when(d == "infra_failure", "INFRA_FAILURE").otherwise("RERUN_ACCEPTED"))
     return q.withColumns({"decision": decision, "reject_reason": why}).select(
         *RUN_KEY, "requested_ms", "seq", "reason", "budget", "decision", "reject_reason", event.alias("event_type"),
-        F.when(d == "accepted", F.col("prior_all") + earlier).alias("attempt"))
+        F.when(d == "accepted", F.col("prior_all") + F.col("_earlier")).alias("attempt"))
 
 
 def observed_rerun_decisions(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_log: DataFrame,

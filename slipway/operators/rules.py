@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from slipway.functions import values as V, zones as Z
 from slipway.functions.ordered import once
 from slipway.operators.clean import remap_periods
-from slipway.schema import RUN_KEY
+from slipway.schema import JOB_BOUNDS, RUN_KEY
 
 NUMERIC_CHECKS = ["gte", "lte", "gt", "lt"]
 
@@ -158,8 +158,8 @@ def config_errors(configs: DataFrame) -> DataFrame:
     job, schedule, sla = c["job"], c["schedule"], c["sla"]
     inc, trig = schedule["include"], schedule["trigger"]
 
-    def bound(name: str, lo: int, hi: int, zero_ok: bool = False) -> Column:
-        v = job[name]
+    def bound(name: str, zero_ok: bool = False) -> Column:
+        v, (lo, hi) = job[name], JOB_BOUNDS[name]
         bad = (v < lo) | (v > hi)
         bad = bad & (v != 0) if zero_ok else bad
         return F.when(bad, F.concat(F.lit(f"job.{name} "), v.cast("string"), F.lit(f" out of range [{lo},{hi}]")))
@@ -175,8 +175,7 @@ def config_errors(configs: DataFrame) -> DataFrame:
     dry = F.coalesce(c["dryRun"], F.lit(False))
     checks = F.concat(
         F.array(
-            bound("maxRetries", 0, 10), bound("maxDriftReruns", 0, 5), bound("maxManualReruns", 0, 5),
-            bound("maxCodeRetries", 0, 3), bound("jobPollWindowSeconds", 60, 86400, zero_ok=True),
+            *[bound(name, zero_ok=name == "jobPollWindowSeconds") for name in JOB_BOUNDS],
             F.when(V.non_null_text(schedule["cron"]) & inc.isNotNull(),
                    F.lit("schedule.cron and schedule.include are mutually exclusive")),
             F.when(inc.isNotNull() & (F.coalesce(F.size(inc["dates"]), F.lit(0)) <= 0),

@@ -35,3 +35,9 @@ TERMINAL_EVENTS = [
 FINISHED = ["COMPLETED", "FAILED_FINAL"]
 LOCK_SECONDS = 4 * 3600 + 30 * 60  # run timeout of 4 h plus 30 min
 RUN_TIMEOUT_SECONDS = 4 * 3600
+
+#: Bounds of whole-number settings of a job. Poll windows may also be 0.
+JOB_BOUNDS = {
+    "maxRetries": (0, 10), "maxDriftReruns": (0, 5), "maxManualReruns": (0, 5), "maxCodeRetries": (0, 3),
+    "jobPollWindowSeconds": (60, 86400),
+}

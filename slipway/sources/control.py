@@ -133,9 +133,13 @@ def number_reruns(new: DataFrame, existing: DataFrame, *, bucket_ms: int = MINUT
 
 # ---- append logs and retention ---------------------------------------------------------------------------
 
-def job_log_rows(events: DataFrame) -> DataFrame:
-    """Job-log rows with composite keys; empty optional columns are NULL; kept 30 days after the event."""
+def job_log_rows(events: DataFrame, *, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """Job-log rows with composite keys; empty optional columns are NULL; kept 30 days after the event.
+
+    ``keep`` names columns that go along as they are.
+    """
     return events.select(
+        *keep,
         F.concat(F.lit("PIPELINE#"), "pipeline_id").alias("pk"),
         F.concat_ws("#", F.lit("JOB"), "schedule_id", "exec_date", F.col("event_ms").cast("string")).alias("sk"),
         "event", F.nullif("error", F.lit("")).alias("error"), F.nullif("duration", F.lit(0)).alias("duration"),
