@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from slipway.operators import reruns as N
+from slipway.operators import events as E, reruns as N, rules as R, runs as J, sla as L, watchdog as W
 from slipway.plans.registry import Tables
 from slipway.schema import RUN_KEY
 from slipway.session import prepare, work_dir
@@ -48,8 +48,7 @@ def test_late_data_is_reported_once_over_batches(spark, tables):
     out = T.StateTable(spark, work_dir(spark, "late"), f"{T.RUN_DDL}, ts_ms BIGINT, seq BIGINT, late_ms BIGINT")
     stream = T.read_stream(spark, path, tables.sensor_log.schema, files_per_batch=1)
     T.late_data_stream(stream, lambda: tables.configs, lambda: tables.triggers, lambda: tables.job_log, out)
-    hits = T.live_hits(tables.sensor_log, tables.configs).filter(
-        ~F.col("excluded") & ~F.coalesce("cfg.dryRun", F.lit(False)))
+    hits = R.live_only(T.live_hits(tables.sensor_log, tables.configs))
     batch = N.late_data(hits, tables.triggers, tables.job_log).select(*RUN_KEY, "ts_ms", "seq", "late_ms")
     assert rows(out.read(spark)) == rows(batch)
 
@@ -75,3 +74,103 @@ def test_replayed_batch_overwrites_itself(spark):
     s.write(spark.range(2).withColumnRenamed("id", "x"), 0)
     s.write(spark.range(5).withColumnRenamed("id", "x"), 1)
     assert s.read(spark, 1).count() == 2 and s.read(spark).count() == 7
+
+
+@pytest.fixture(scope="module")
+def sensor_parts(spark, tables):
+    path = work_dir(spark, "sensor-parts")
+    in_order(tables.sensor_log, path, "ts_ms", 3)
+    return lambda: T.read_stream(spark, path, tables.sensor_log.schema, files_per_batch=1)
+
+
+def test_existing_runs_do_not_start_again(spark, tables, sensor_parts):
+    hits = R.live_only(T.live_hits(tables.sensor_log, tables.configs))
+    first = L.first_arrivals(hits).select(*RUN_KEY, F.col("arrival_ms").alias("ts_ms"), "seq")
+    old = first.orderBy(*RUN_KEY).limit(5)
+    triggers = old.select(*RUN_KEY, F.lit("COMPLETED").alias("status"), F.lit(0).cast("bigint").alias("ttl_epoch"))
+    ddl = f"{T.RUN_DDL}, ts_ms BIGINT, seq BIGINT"
+    starts = T.StateTable(spark, work_dir(spark, "starts"), ddl)
+    events = T.StateTable(spark, work_dir(spark, "events"), f"{ddl}, event_type STRING")
+    T.trigger_stream(sensor_parts(), lambda: tables.configs, lambda: triggers, starts, events)
+    assert rows(starts.read(spark)) == rows(first.join(old.select(*RUN_KEY), RUN_KEY, "left_anti"))
+    excluded = events.read(spark).filter("event_type = 'PIPELINE_EXCLUDED'").count()
+    assert excluded == T.live_hits(tables.sensor_log, tables.configs).filter(
+        F.col("excluded") & ~F.coalesce("cfg.dryRun", F.lit(False))).count()
+
+
+def test_locks_and_arrivals_over_batches(spark, tables, sensor_parts):
+    ddl = f"{T.RUN_DDL}, ts_ms BIGINT, seq BIGINT"
+    locks, arrivals = (T.StateTable(spark, work_dir(spark, n), ddl) for n in ("locks", "arrivals"))
+
+    def hits():
+        return R.live_only(T.live_hits(sensor_parts(), tables.configs)).select(*RUN_KEY, "ts_ms", "seq")
+
+    T.lock_stream(hits(), locks)
+    T.arrival_stream(hits(), arrivals)
+    batch = L.first_arrivals(R.live_only(T.live_hits(tables.sensor_log, tables.configs))).select(
+        *RUN_KEY, F.col("arrival_ms").alias("ts_ms"), "seq")
+    assert rows(locks.read(spark)) == rows(batch) == rows(T.first_arrivals(arrivals.read(spark)))
+
+
+def test_hours_and_alarms_over_batches(spark, tables, sensor_parts):
+    hours = T.StateTable(spark, work_dir(spark, "hours"), T.HOUR_DDL)
+    T.hourly_stream(sensor_parts().select("pipeline_id", "ts", "ts_ms"), hours)
+    batch = tables.sensor_log.groupBy("pipeline_id", F.date_format("ts", "yyyy-MM-dd'T'HH").alias("exec_date")).agg(
+        F.count("*").alias("n_rows"), F.max("ts_ms").alias("last_ms"))
+    assert rows(T.hourly_runs(hours.read(spark))) == rows(batch)
+
+    def metrics(df):
+        return df.select(F.col("sensor_key").alias("name"), F.when(F.col("seq") % 2 == 0, "max").otherwise("sum").alias("stat"),
+                         F.lit(3.0).alias("threshold"), "ts", F.lit(1.0).alias("value"))
+
+    periods = T.StateTable(spark, work_dir(spark, "periods"), T.PERIOD_DDL)
+    T.alarm_stream(metrics(sensor_parts()), periods)
+    cols = ["name", "stat", "threshold", "period_start", "value", "alarm"]
+    assert rows(E.merge_periods(periods.read(spark)).select(*cols)) == rows(E.alarm_periods(metrics(tables.sensor_log)).select(*cols))
+
+
+def test_polls_over_batches(spark, tables):
+    path = work_dir(spark, "job-log")
+    in_order(tables.job_log, path, "event_ms", 3)
+    starts = L.latest_job_events(tables.job_log).select(*RUN_KEY, (F.col("event_ms") - 1_800_000).alias("passed_ms"))
+    seen = T.StateTable(spark, work_dir(spark, "visible"), T.EVENT_DDL)
+    T.job_event_stream(T.read_stream(spark, path, tables.job_log.schema, files_per_batch=1), lambda: starts,
+                       lambda: tables.configs, seen)
+    assert rows(J.poll_replay(starts, tables.configs, seen.read(spark))) == rows(
+        J.poll_replay(starts, tables.configs, tables.job_log))
+
+
+def test_a_change_is_reported_once_over_ticks(spark, tables):
+    path = work_dir(spark, "ticks")
+    for minute in (0, 5, 10):
+        spark.range(1).select((tables.now + F.expr(f"INTERVAL {minute} MINUTES")).alias("ts")).coalesce(1).write.mode(
+            "append").parquet(path)
+    stale = tables.triggers.filter("status = 'RUNNING'").select(*RUN_KEY, "status", F.lit(1).cast("bigint").alias("ttl_epoch"))
+
+    def checks(now, triggers, markers):
+        return {"stale": W.stale_runs(triggers, tables.configs, now=now).select(F.lit("stale").alias("check"), *RUN_KEY, "event_type")}
+
+    found = T.StateTable(spark, work_dir(spark, "findings"), T.FINDING_DDL)
+    T.watchdog_stream(T.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1), checks, lambda: stale, found)
+    assert 0 < found.read(spark).count() == found.read(spark).select(*RUN_KEY).distinct().count()
+
+
+def test_stale_runs_get_no_plan(spark, tables):
+    none = tables.triggers.limit(0)
+    planned = L.plan_alerts(tables.configs, none, tables.job_log.limit(0), now=tables.now).select(*RUN_KEY).limit(3)
+    triggers = planned.select(*RUN_KEY, F.lit("RUNNING").alias("status"), F.lit(1).cast("bigint").alias("ttl_epoch"))
+    markers = spark.createDataFrame([], "check string, pipeline_id string, exec_date string")
+    arrivals = L.first_arrivals(R.live_only(T.live_hits(tables.sensor_log, tables.configs)))
+    baselines = spark.createDataFrame([], f"{T.RUN_DDL}, rule_key string, captured_ms bigint")
+    found = W.union_findings(W.all_findings(tables.configs, tables.sensors, triggers, tables.job_log.limit(0), baselines,
+                                            arrivals, markers, now=tables.now)).join(planned, RUN_KEY, "left_semi")
+    assert {r.check for r in found.collect()} - {"missed_schedule"} == {"stale"}
+
+
+def test_excluded_and_observation_only_hits_record_no_arrival(tables):
+    hits = T.live_hits(tables.sensor_log, tables.configs)
+    assert hits.filter("excluded").count() and hits.filter("cfg.dryRun").count()
+    live = R.live_only(hits)
+    assert live.filter("excluded or cfg.dryRun").count() == 0
+    apart = hits.select(*RUN_KEY).distinct().join(live.select(*RUN_KEY), RUN_KEY, "left_anti")
+    assert apart.count() and not L.first_arrivals(live).join(apart, RUN_KEY, "left_semi").count()
