@@ -83,6 +83,12 @@ def with_baseline(routed: DataFrame, baselines: DataFrame, how: str) -> DataFram
     return drift_columns(later)
 
 
+def keep_baselines(baselines: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Baselines that stay: an accepted rerun (run key, ``last``) after the capture removes its run's baseline."""
+    j = baselines.join(accepted.select(*RUN_KEY, "last"), RUN_KEY, "left")
+    return j.filter(F.col("last").isNull() | (F.col("last") <= F.col("captured_ms"))).drop("last")
+
+
 def inflight_drift(routed: DataFrame, baselines: DataFrame) -> DataFrame:
     """Informational drift of running runs that still have a baseline."""
     d = with_baseline(routed.filter(F.col("route") == "inflight"), baselines, "inner").filter("drifted")

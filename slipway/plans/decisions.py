@@ -387,7 +387,7 @@ def d5(t: Tables):
 
 
 COMPLETED = f"""
-    SELECT {KEYS}, seq, value, coalesce(abs(value - base_value) > drift_threshold, FALSE) AS drifted,
+    SELECT {KEYS}, seq, ts_ms, value, coalesce(abs(value - base_value) > drift_threshold, FALSE) AS drifted,
       {excluded("CAST(substr(exec_date, 1, 10) AS TIMESTAMP)", "postm")} AS excl, sensor_key, u
     FROM postm JOIN trig USING ({KEYS}) LEFT JOIN bl USING ({KEYS})
     WHERE NOT dry_run AND trig.status = 'COMPLETED' AND (captured_ms IS NULL OR ts_ms > captured_ms)"""
@@ -404,6 +404,41 @@ def d6(t: Tables):
     return _completed(t).select(*RUN_KEY, "seq", "drifted", "follow_up")
 
 
+FEEDBACK = {
+    "done": COMPLETED, "late": N6_SQL, "reqx": REQX.replace("FROM reqs r", "FROM every_req r"),
+    "every_req": f"""
+        SELECT {KEYS}, requested_ms, seq, reason FROM reqs
+        UNION ALL SELECT {KEYS}, ts_ms, seq, 'data-drift' FROM done WHERE drifted AND NOT excl
+        UNION ALL SELECT {KEYS}, ts_ms, seq, 'late-data' FROM late"""}
+
+
+def feedback_requests(t: Tables):
+    """All rerun requests: those that were made, and those that drift and late data ask for."""
+    drift = _completed(t).filter("follow_up = 'data-drift'").select(
+        *RUN_KEY, F.col("ts_ms").alias("requested_ms"), "seq", F.col("follow_up").alias("reason"))
+    late = N.late_data(live_hits(t), t.triggers, t.job_log).select(
+        *RUN_KEY, F.col("ts_ms").alias("requested_ms"), "seq", F.lit("late-data").alias("reason"))
+    return t.rerun_requests.select(*RUN_KEY, "requested_ms", "seq", "reason").unionByName(drift).unionByName(late)
+
+
+@query("n8_feedback_decision", N4_SQL, FEEDBACK)
+def n8(t: Tables):
+    """Decisions over requests of all origins."""
+    requests = t.stored("feedback_requests", lambda: feedback_requests(t))
+    return N.rerun_decisions(requests, t.configs, t.reruns, t.job_log, t.triggers, t.sensors).select(
+        *RUN_KEY, "requested_ms", "seq", "reason", "decision", "reject_reason", "attempt")
+
+
+@query("n8_baselines_left", f"""
+    SELECT {KEYS}, captured_ms FROM bl b WHERE NOT EXISTS (SELECT 1 FROM ({N4_SQL}) d WHERE d.pipeline_id = b.pipeline_id
+      AND d.schedule_id = b.schedule_id AND d.exec_date = b.exec_date AND d.decision = 'accepted'
+      AND d.requested_ms > b.captured_ms)""", FEEDBACK)
+def n8_baselines(t: Tables):
+    """Baselines that no accepted rerun has removed since they were captured."""
+    accepted = n8(t).filter("decision = 'accepted'").groupBy(*RUN_KEY).agg(F.max("requested_ms").alias("last"))
+    return D.keep_baselines(baselines(t), accepted).select(*RUN_KEY, "captured_ms")
+
+
 @query("d7_post_run_rules", f"""
     SELECT {KEYS}, seq, CASE WHEN u % 3 <> 1 AND EXISTS (SELECT 1 FROM sens s WHERE s.pipeline_id = d.pipeline_id
       AND s.value > 0 AND s.sensor_key IN ('purchase', 'purchase#' || d.exec_date,
