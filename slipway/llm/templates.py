@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from slipway.functions.ordered import once
 from slipway.llm.common import Scratch, bitmap, in_bitmap
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -24,14 +25,18 @@ BITS = 1 << 23
 
 def shape(line: Column) -> Column:
     """The line with single spaces and every token that has a digit as a variable field."""
-    masked = F.regexp_replace(line, rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", ANY)
-    return F.trim(F.regexp_replace(masked, SPACE + "+", " "))
+    odd = line.startswith(" ") | line.endswith(" ")
+    for gap in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | line.contains(gap)
+    spaced = F.when(odd, F.trim(F.regexp_replace(line, SPACE + "+", " "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(
+        spaced, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(spaced)
 
 
 def _leaf(masked: Column, depth: int) -> Column:
     """Key of the leaf: number of tokens and the first ``depth`` tokens."""
-    n = F.regexp_count(masked, F.lit(" ")) + 1
-    return F.xxhash64(n, F.slice(F.split(masked, " ", depth + 1), 1, depth))
+    n = F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit("")))
+    return F.xxhash64(n, F.substring_index(masked, " ", depth))
 
 
 def _clusters(table: pa.Table) -> pa.Table:
@@ -88,9 +93,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(docs.sparkSession, "templates")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn(
         "row", F.xxhash64("text"))
-    split = texts.select("id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select(
-        "id", "row", "pos", shape(F.col("line")).alias("shape")).filter("shape <> ''")
-    keyed = split.withColumn("leaf", _leaf(F.col("shape"), DEPTH))
+    split = texts.select("id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    shaped = once(split, {"shape": shape(F.col("line"))}).filter("shape <> ''").drop("line")
+    keyed = once(shaped, {"leaf": _leaf(F.col("shape"), DEPTH)})
     lines = scratch.table(keyed.select("id", "row", "pos", "leaf", F.xxhash64("shape").alias("h")))
     # A template lies in one leaf, so a leaf in too few documents holds none that recurs.
     live = scratch.table(lines.select("leaf", "id", "row").distinct().groupBy("leaf").count().filter(
