@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slipway.session import work_dir
@@ -9,6 +12,11 @@ from slipway.session import work_dir
 BITMAP_BITS = 1 << 22  # 512 KB: the fixed size of every bitmap that is sent to all tasks
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows here hold whole texts: fewer of them in an Arrow batch than Spark's 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 class Scratch:
     """Intermediate tables of one operator call, in the shared folder.
 
@@ -18,6 +26,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, work_dir(spark, name)
+        small_batches(spark)
         self.n = 0
 
     def table(self, df: DataFrame) -> DataFrame:
@@ -28,6 +37,16 @@ class Scratch:
         out._slipway_path = path
         return out
 
+    def settle(self) -> None:
+        """Let Spark delete the shuffle files of finished steps.
+
+        It does so when the driver's garbage collector finds their plans unreachable; Python lets go of JVM objects
+        about once a second.
+        """
+        gc.collect()
+        time.sleep(2)
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for t in tables:

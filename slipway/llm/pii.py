@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from slipway.llm.common import Scratch, small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
 EMAIL = re.compile(rf"[{_LOCAL}]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -230,8 +232,7 @@ def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fit(docs: DataFrame, text_col: str = "text", sample_passages: int = SAMPLE_PASSAGES) -> DataFrame:
     """Weights (i, w) trained on about ``sample_passages`` distinct passages of all documents, drawn by their hash."""
-    from slipway.llm.common import Scratch
-
+    small_batches(docs.sparkSession)
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(_passage_rows, "passage string").filter(
         F.length("passage") <= 4 * REACH).distinct()
     found = Scratch(docs.sparkSession, "pii").table(found)

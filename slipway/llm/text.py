@@ -6,13 +6,14 @@ are classified and cut at once; no Python loop runs over words or texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # texts handled at once; one longer text is a slice of its own
+SLICE_BYTES = 2 << 20  # texts handled at once; one longer text is a slice of its own
 _BLOCK = 1 << 20
 _R = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -26,6 +27,15 @@ ALNUM = ((_bytes >= 48) & (_bytes < 58)) | ((_lower >= 97) & (_lower < 123)) | (
 NONSPACE = (_bytes != 32) & ~((_bytes >= 9) & (_bytes <= 13))
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Hand freed memory back to the system: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -70,6 +80,25 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(lengths)])) if len(lengths) else [0]
     for a, b in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(a, b - a)
+        release()
+
+
+def groups(batches: Iterator[pa.RecordBatch], column: str, limit: int, rows: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of a partition's batches, together of about ``limit`` bytes of text and no more than ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    size = count = 0
+    for batch in batches:
+        for whole in slices(batch, column):
+            for k in range(0, whole.num_rows, rows):
+                part = whole.slice(k, rows)
+                if held and (size + part.nbytes > limit or count + part.num_rows > rows):
+                    yield held
+                    held, size, count = [], 0, 0
+                    release()
+                held.append(part)
+                size, count = size + part.nbytes, count + part.num_rows
+    if held:
+        yield held
 
 
 def spans(buf: np.ndarray, offsets: np.ndarray, word_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

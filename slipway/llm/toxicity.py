@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slipway.llm import text as T
+from slipway.llm.common import small_batches
 
 DIMS = 1 << 18  # bounds the model: at most DIMS weights of 12 bytes, 3 MB
 SAMPLE_ROWS = 12000  # labelled rows the model is fitted on, about; a fixed bound, whatever the corpus holds
@@ -87,6 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
     The rows are drawn by a hash of their id, over all labels. Labels other than 0 and 1, and null ids, are not used;
     of conflicting labels of one id the larger counts. Without any usable row the result is empty.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(
         F.col("toxic").isin(0, 1) & F.col("id").isNotNull())
     known = known.withColumnRenamed("id", id_col).filter(learn_from).withColumnRenamed(id_col, "id")
