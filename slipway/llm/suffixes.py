@@ -1,7 +1,7 @@
 """Exact repeated passages by a family of sorted suffix indexes of logarithmic size.
 
 Positions are sampled by content, so texts of any size fit: in every 50-byte string the position of its smallest
-18-byte hash is the string's anchor, and equal strings have equal anchors. All strings with one anchor position form a
+26-byte hash is the string's anchor, and equal strings have equal anchors. All strings with one anchor position form a
 context. The index sorts contexts instead of all suffixes; contexts that share an anchor string but are not equal are
 taken apart into their 50-byte strings, which are sorted the same way.
 
@@ -22,10 +22,11 @@ from slipway.llm import text as T
 from slipway.llm.common import Scratch, bitmap, in_bitmap
 
 LENGTH = 50
-GRAM = 18
-BATCH = 1 << 16  # entries of a batch, the smallest level
-KEY_BITS = 1 << 26  # 8 MB: the fixed size of the filter of anchors to take apart
-_BLOCK = 1 << 21
+GRAM = 26
+BATCH = 1 << 18  # entries of a batch, the smallest level
+GROUP = 24 << 20  # texts whose equal entries are joined before they are dealt out
+KEY_BITS = 1 << 28  # 32 MB: the fixed size of the filter of anchors to take apart
+_BLOCK = 1 << 20
 _U = np.uint64
 
 
@@ -35,30 +36,31 @@ class LevelIndex:
     def __init__(self):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    @staticmethod
-    def _run(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        head = np.ones(len(keys), bool)
-        head[1:] = keys[1:] != keys[:-1]
-        return keys[head], docs[head]
-
-    @staticmethod
-    def _first(level: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(level[0], keys), len(level[0]) - 1)
-        return np.where(level[0][at] == keys, level[1][at], np.iinfo(np.int64).max)
-
     def add(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Index a batch; returns the first document known to have each key, the batch's own included."""
-        run = self._run(keys, docs)
-        first = self._first(run, keys)
-        for level in self.levels:
-            first = np.minimum(first, self._first(level, keys))
+        order = np.lexsort((docs, keys))
+        head = _heads(keys[order])
+        run = keys[order][head], docs[order][head]
+        first = run[1].copy()
+        for level in self.levels:  # both sides are sorted, so this is one scan along them
+            at = np.minimum(np.searchsorted(level[0], run[0]), len(level[0]) - 1)
+            first = np.where(level[0][at] == run[0], np.minimum(first, level[1][at]), first)
         while self.levels and len(self.levels[-1][0]) <= len(run[0]):
             below = self.levels.pop()
-            run = self._run(np.concatenate([below[0], run[0]]), np.concatenate([below[1], run[1]]))
+            both = np.concatenate([below[0], run[0]]), np.concatenate([below[1], run[1]])
+            merged = np.argsort(both[0], kind="stable")  # the level below holds smaller documents and comes first
+            keep = merged[_heads(both[0][merged])]
+            run = both[0][keep], both[1][keep]
         self.levels.append(run)
-        return first
+        out = np.empty(len(keys), np.int64)
+        out[order] = first[np.cumsum(head) - 1]
+        return out
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    head = np.ones(len(x), bool)
+    head[1:] = x[1:] != x[:-1]
+    return head
 
 
 def first_documents(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -71,13 +73,15 @@ def first_documents(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def contexts(buf: np.ndarray, offsets: np.ndarray):
-    """All contexts of a flat buffer of texts: first string's start, last string's start, anchor hash, context hash.
+def contexts(buf: np.ndarray, offsets: np.ndarray, live=None):
+    """All contexts of a flat buffer of texts: first string's start, last string's start, anchor, key, text.
 
-    ``strings`` hashes the 50-byte strings of chosen contexts. Work goes in blocks, so one long text needs no more
-    memory than many short ones; a context cut by a block's end is two contexts, which changes nothing in the result.
+    The key hashes the whole context. With ``live``, a test of anchors, the contexts that pass are taken apart into
+    their 50-byte strings, each keyed by its own hash. Work goes in blocks, so one long text needs no more memory than
+    many short ones; a context cut by a block's end is two contexts, which changes nothing in the result.
     """
-    parts = []
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64),
+              np.zeros(0, np.int64))]
     for a in range(0, max(len(buf) - LENGTH + 1, 0), _BLOCK):
         b = min(a + _BLOCK, len(buf) - LENGTH + 1)
         part = buf[a:b + LENGTH - 1]
@@ -91,62 +95,75 @@ def contexts(buf: np.ndarray, offsets: np.ndarray):
             low = np.minimum(low[:-span], low[span:])
             span *= 2
         low = np.minimum(low[:b - a], low[width - span:width - span + b - a])
-        doc = np.searchsorted(offsets, np.arange(a, b), "right") - 1
+        # Positions whose string ends in the same text.
+        first = int(np.searchsorted(offsets, a, "right")) - 1
+        ends = np.minimum(np.maximum(offsets[first + 1:] - a, 0), b - a)
+        ends = ends[:int(np.searchsorted(ends, b - a)) + 1]
+        doc = first + np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         at = np.flatnonzero(np.arange(a, b) + LENGTH <= offsets[1:][doc])
         if not len(at):
             continue
         v = low[at]
-        head = np.ones(len(at), bool)
-        head[1:] = (v[1:] != v[:-1]) | (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])
+        head = _heads(v)
+        head[1:] |= (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])
         start = at[head]
         last = at[np.append(np.flatnonzero(head)[1:], len(at)) - 1]
+        v = v[head]
+        if live is not None:
+            k = live(v)
+            count = last[k] - start[k] + 1
+            v = np.repeat(v[k], count)
+            start = np.repeat(start[k] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            last = start
         end = last + LENGTH
         whole = T.mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64) * _U(3))
-        parts.append((start + a, last + a, v[head], T.mix(whole ^ v[head]), doc[start]))
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        parts.append((start + a, last + a, v, whole if live is not None else T.mix(whole ^ v), doc[start]))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def strings(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Hashes of the 50-byte strings at ``start``."""
-    out = np.zeros(len(start), np.uint64)
-    r = T.powers(LENGTH)[0]
-    for a in range(0, len(start), 1 << 15):
-        rows = buf[start[a:a + (1 << 15), None] + np.arange(LENGTH)].astype(np.uint64) + _U(1)
-        out[a:a + (1 << 15)] = T.mix(rows @ r[:LENGTH])
-    return out
-
-
 _BLOB = "bucket long, key binary, anchor binary, who binary, start binary, n binary, id binary, row binary"
-_OUT = "id long, row long, starts array<int>, ends array<int>, anchors array<long>"
+_OUT = "part long, id binary, row binary, starts binary, ends binary, anchors array<long>"
 
 
-def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, rows: np.ndarray,
-          anchors: np.ndarray) -> pa.RecordBatch:
-    """Removed intervals, joined where they touch, as one row per document; anchors to take apart in a row of none."""
+def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, rows: np.ndarray, parts: int,
+          anchors: np.ndarray) -> pa.Table:
+    """Removed intervals, joined where they touch and dealt to ``parts`` groups of documents; and anchors to take
+    apart, in a row of their own."""
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
-    head = np.ones(len(doc), bool)
-    head[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])  # intervals are of like length, sorted by start
+    head = _heads(doc)
+    head[1:] |= start[1:] > end[:-1]
     first = np.flatnonzero(head)
-    last = np.append(first[1:], len(doc)) - 1
-    doc, start = doc[first], start[first]
     end = np.maximum.reduceat(end, first) if len(first) else end
-    each, at = np.unique(doc, return_index=True)
-    cuts = pa.array(np.append(at, len(doc)), pa.int32())
-    none = pa.array(np.zeros(len(each) + 1), pa.int32())
-    lists = [pa.ListArray.from_arrays(cuts, pa.array(start, pa.int32())),
-             pa.ListArray.from_arrays(cuts, pa.array(end, pa.int32())),
-             pa.ListArray.from_arrays(none, pa.array([], pa.int64()))]
-    found = pa.record_batch([pa.array(ids[each]), pa.array(rows[each]), *lists],
-                            names=["id", "row", "starts", "ends", "anchors"])
-    if not len(anchors):
-        return found
-    more = pa.record_batch([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([[]], pa.list_(pa.int32())),
-                            pa.array([[]], pa.list_(pa.int32())), pa.array([anchors], pa.list_(pa.int64()))],
-                           names=found.schema.names)
-    return pa.Table.from_batches([found.cast(more.schema), more]).combine_chunks().to_batches()[0]
+    doc, start = doc[first], start[first]
+    part = ids[doc] % parts
+    order = np.argsort(part, kind="stable")
+    each, at = np.unique(part[order], return_index=True)
+    out = [(int(p), ids[doc[o]].tobytes(), rows[doc[o]].tobytes(), start[o].astype(np.int32).tobytes(),
+            end[o].astype(np.int32).tobytes(), None)
+           for p, o in zip(each, np.split(order, at[1:]))]
+    if len(anchors):
+        out.append((None, None, None, None, None, anchors))
+    kinds = [pa.int64()] + [pa.binary()] * 4 + [pa.list_(pa.int64())]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)],
+                    names=["part", "id", "row", "starts", "ends", "anchors"])
+
+
+def _join_runs(table: pa.Table) -> pa.Table:
+    """All intervals of a group of documents: one row per document."""
+    def column(name: str, kind: type) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
+
+    ids, rows, starts, ends = (column(n, k) for n, k in (
+        ("id", np.int64), ("row", np.int32), ("starts", np.int32), ("ends", np.int32)))
+    order = np.lexsort((starts, rows, ids))
+    ids, rows, starts, ends = ids[order], rows[order], starts[order], ends[order]
+    head = _heads(ids)
+    head[1:] |= rows[1:] != rows[:-1]
+    at = np.flatnonzero(head)
+    cuts = pa.array(np.append(at, len(ids)), pa.int32())
+    return pa.table([pa.array(ids[at]), pa.array(rows[at]), pa.ListArray.from_arrays(cuts, pa.array(starts)),
+                     pa.ListArray.from_arrays(cuts, pa.array(ends))], names=["id", "row", "starts", "ends"])
 
 
 def _short(anchor: np.ndarray) -> np.ndarray:
@@ -155,54 +172,75 @@ def _short(anchor: np.ndarray) -> np.ndarray:
 
 
 def _deal(buckets: int, taken_apart=None):
-    """Entries of every slice in one blob per bucket. Of a slice's equal entries only those of its smallest document
-    go on; the others are already known as repeats and stay in a local blob (negative bucket)."""
+    """Entries of every group of texts in one blob per bucket. Of a group's equal entries only those of its smallest
+    document go on; the others are already known as repeats and stay in a local blob (negative bucket)."""
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in T.slices(batch, "text"):
-                for k in range(0, part.num_rows, 1 << 16):
-                    yield _slice_blobs(part.slice(k, 1 << 16), buckets, taken_apart)
+        for parts in T.groups(batches, "text", GROUP, 1 << 16):
+            yield _group_blobs(parts, buckets, taken_apart)
 
     return blobs
 
 
-def _slice_blobs(part: pa.RecordBatch, buckets: int, taken_apart) -> pa.RecordBatch:
-    ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-    rows = part.column("row").to_numpy(zero_copy_only=False).astype(np.int64)
-    buf, offsets = T.flat(part.column("text"))
-    start, last, anchor, key, doc = contexts(buf, offsets)
-    if taken_apart is not None:
+def _group_blobs(parts: list[pa.RecordBatch], buckets: int, taken_apart) -> pa.RecordBatch:
+    ids, rows = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False).astype(t) for p in parts])
+                 for c, t in (("id", np.int64), ("row", np.int32)))
+
+    def live(anchor: np.ndarray) -> np.ndarray:
         slot = _short(anchor).astype(np.int64) % KEY_BITS
-        live = np.flatnonzero((taken_apart.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-        n = last[live] - start[live] + 1
-        doc = np.repeat(doc[live], n)
-        start = np.repeat(start[live] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        last, key = start, strings(buf, start)
-        anchor = key
-    n, start = (last - start + 1).astype(np.uint8), (start - offsets[doc]).astype(np.int32)
+        return np.flatnonzero((taken_apart.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+
+    found, base = [], 0
+    for part in parts:
+        buf, offsets = T.flat(part.column("text"))
+        start, last, anchor, key, doc = contexts(buf, offsets, live if taken_apart is not None else None)
+        found.append(((start - offsets[doc]).astype(np.int32), (last - start + 1).astype(np.uint8), anchor, key,
+                      (doc + base).astype(np.int32)))
+        base += part.num_rows
+    start, n, anchor, key, doc = (np.concatenate(x) for x in zip(*found))
+    del found
     order = np.lexsort((ids[doc], key))
-    key, doc, start, n, anchor = key[order], doc[order], start[order], n[order], anchor[order]
-    head = np.ones(len(key), bool)
-    head[1:] = key[1:] != key[:-1]
-    least = ids[doc][head][np.cumsum(head) - 1] if len(key) else ids[:0]
-    repeat = ids[doc] > least
-    bucket = np.where(repeat, -1 - int(ids[0] % buckets) if len(ids) else -1, (anchor % _U(buckets)).astype(np.int64))
-    order = np.lexsort((start, doc, bucket))
+    head = _heads(key[order])
+    repeat = np.empty(len(key), bool)
+    repeat[order] = ids[doc[order]] > ids[doc[order]][head][np.cumsum(head) - 1]
     out = []
-    each, at = np.unique(bucket[order], return_index=True)
-    for b, x, y in zip(each, at, np.append(at[1:], len(order))):
-        o = order[x:y]
+
+    def blob(bucket: int, o: np.ndarray, length: np.ndarray) -> None:
         who, index = np.unique(doc[o], return_inverse=True)
-        out.append((int(b), key[o].tobytes(), _short(anchor[o]).tobytes(),
-                    index.astype(np.uint16).tobytes(), start[o].tobytes(), n[o].tobytes(), ids[who].tobytes(),
-                    rows[who].tobytes()))
+        keys = b"" if bucket < 0 else key[o].tobytes()
+        anchors = b"" if bucket < 0 or taken_apart is not None else _short(anchor[o]).tobytes()
+        out.append((bucket, keys, anchors, index.astype(np.uint16).tobytes(), start[o].astype(np.int32).tobytes(),
+                    bytes(length), ids[who].tobytes(), rows[who].tobytes()))
+
+    known = np.flatnonzero(repeat)
+    if len(known):  # entries come by text and start, so what touches is joined here
+        begin = start[known].astype(np.int64)
+        stop = begin + n[known] - 1 + LENGTH
+        new = _heads(doc[known])
+        new[1:] |= begin[1:] > stop[:-1]
+        first = np.flatnonzero(new)
+        blob(-1 - int(key[known[0]] % _U(buckets)), known[first],
+             (np.maximum.reduceat(stop, first) - begin[first]).astype(np.int32))
+    go = np.flatnonzero(~repeat)
+    bucket = ((key if taken_apart is not None else anchor)[go] % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if y > x:
+            o = go[order[x:y]]
+            blob(b, o, b"" if taken_apart is not None else n[o].astype(np.uint8))
     kinds = [pa.int64()] + [pa.binary()] * 7
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)],
                            names=["bucket", "key", "anchor", "who", "start", "n", "id", "row"])
 
 
-def _search(table: pa.Table) -> pa.Table:
+def _search(buckets: int):
+    return lambda table: _search_bucket(table, buckets)
+
+
+def _search_bucket(table: pa.Table, buckets: int) -> pa.Table:
+    """Removed intervals of one bucket's entries, and the anchors whose contexts differ."""
+    local = table.column("bucket")[0].as_py() < 0
     cols: list[list[np.ndarray]] = [[] for _ in range(7)]
     base = 0
     for key, anchor, who, start, n, ids, rows in zip(*(table.column(c) for c in (
@@ -211,22 +249,22 @@ def _search(table: pa.Table) -> pa.Table:
         ids = np.frombuffer(ids.as_py(), np.int64)
         base += len(ids)
         for c, x in zip(cols, (np.frombuffer(key.as_py(), np.uint64), np.frombuffer(anchor.as_py(), np.uint32), index,
-                               np.frombuffer(start.as_py(), np.int32), np.frombuffer(n.as_py(), np.uint8), ids,
-                               np.frombuffer(rows.as_py(), np.int64))):
+                               np.frombuffer(start.as_py(), np.int32), np.frombuffer(n.as_py(), np.int32 if local else np.uint8),
+                               ids, np.frombuffer(rows.as_py(), np.int32))):
             c.append(x)
     key, anchor, who, start, n, ids, rows = (np.concatenate(c) for c in cols)
     apart = np.zeros(0, np.int64)
-    if table.column("bucket")[0].as_py() < 0:
-        gone = np.ones(len(key), bool)
-    else:
-        doc = ids[who]
-        gone = first_documents(key, doc) < doc
-        # Anchors whose contexts differ.
+    start = start.astype(np.int64)
+    if local:
+        return _runs(who, start, start + n, ids, rows, buckets, apart)
+    doc = ids[who]
+    gone = np.flatnonzero(first_documents(key, doc) < doc)
+    if len(anchor):
         order = np.lexsort((key, anchor))
         a, k = anchor[order], key[order]
         apart = np.unique(a[1:][(a[1:] == a[:-1]) & (k[1:] != k[:-1])]).astype(np.int64)
-    end = start[gone].astype(np.int64) + n[gone] - 1 + LENGTH
-    return pa.Table.from_batches([_runs(who[gone], start[gone].astype(np.int64), end, ids, rows, apart)])
+    end = start[gone] + LENGTH + (n[gone].astype(np.int64) - 1 if len(n) else 0)
+    return _runs(who[gone], start[gone], end, ids, rows, buckets, apart)
 
 
 def _anchor_filter(found: DataFrame) -> np.ndarray:
@@ -267,15 +305,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"),
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("row"),
                         F.col(text_col).alias("text"))
     named = texts.filter("id is not null")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = scratch.table(named.mapInArrow(_deal(buckets), _BLOB).groupBy("bucket").applyInArrow(_search, _OUT))
+    # Every blob names its documents, so fewer and larger buckets move less.
+    buckets = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    whole = scratch.table(named.mapInArrow(_deal(buckets), _BLOB).groupBy("bucket").applyInArrow(_search(buckets), _OUT))
+    scratch.settle()
     sent = spark.sparkContext.broadcast(_anchor_filter(whole))
-    parts = scratch.table(named.mapInArrow(_deal(buckets, sent), _BLOB).groupBy("bucket").applyInArrow(_search, _OUT))
-    spans = scratch.table(whole.unionByName(parts).filter("id is not null").groupBy("id", "row").agg(
-        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")))
+    parts = scratch.table(named.mapInArrow(_deal(buckets, sent), _BLOB).groupBy("bucket").applyInArrow(_search(buckets), _OUT))
+    scratch.settle()
+    spans = scratch.table(whole.unionByName(parts).filter("part is not null").groupBy("part").applyInArrow(
+        _join_runs, "id long, row int, starts array<int>, ends array<int>"))
     marked = F.col("id").isNotNull() & in_bitmap(bitmap(spans.select("id").distinct(), scratch), F.col("id"))
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
     some = texts.filter(marked).join(spans, ["id", "row"], "left").withColumn("c", F.arrow_udf(
