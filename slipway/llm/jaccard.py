@@ -22,9 +22,11 @@ from slipway.llm.common import Scratch, bitmap, in_bitmap, without_ids
 from slipway.llm.graph import components
 
 N_WORDS = 5
-HOT_TOKENS = 1 << 16  # the most frequent shingles that steer the choice of segments: at most 512 KB
-HOT_LEAST = 8  # a shingle is counted for it in slices where so many documents have it
-SLICE = 8 << 20
+HOT_TOKENS = 1 << 18  # the most frequent shingles, which steer the choice of segments: at most 4 MB with their counts
+HOT_LEAST = 2  # a shingle is counted for it in slices where so many documents have it
+SLICE = 8 << 20  # texts whose signatures are grouped before they are dealt out
+ROUNDS = 2  # of comparisons with one set per signature, before all sets of different components are compared
+ROWS = 8000  # and their number: an entry's number must fit 15 bits, and a text has three entries at most
 _U = np.uint64
 
 
@@ -41,7 +43,7 @@ class Scheme:
     def __init__(self, j: int, low: int, high: int):
         self.j, self.low, self.high, self.largest = j, low, high, high * 5 // 4
         self.h = (high + self.largest) // 9  # 100 * both >= 80 * either, so at most a ninth of the sizes' sum differs
-        self.m = self.h + 1 + (self.h + 1) // 12
+        self.m = self.h + 1 + (self.h + 1) // 5  # a sixth of the segments may be skipped
         self.near = self.m if self.m <= 8 else -(-self.m // 32)  # leading segments with deletion neighbourhoods
         self.salt = _U(0x5851F42D4C957F2D * (j + 1) & (1 << 64) - 1)
 
@@ -75,71 +77,79 @@ def _set_hash(g: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set's size and hash (kind 0); per slice its frequent shingles (kind 1)."""
-    for batch in batches:
-        for part in T.slices(batch, "text", SLICE):
+    for parts in T.groups(batches, "text", SLICE, ROWS):
+        tokens = []
+        for part in parts:
             g, first = shingle_sets(part.column("text"))
-            size, n = np.diff(first), part.num_rows
-            value, times = np.unique(g, return_counts=True)
-            hot = times >= HOT_LEAST
-            yield pa.record_batch([pa.array(np.zeros(n, np.int8)), part.column("id"), pa.array(size),
-                                   pa.array(_set_hash(g, first))], names=["kind", "id", "n", "cls"])
-            yield pa.record_batch([pa.array(np.ones(hot.sum(), np.int8)), pa.nulls(hot.sum(), pa.int64()),
-                                   pa.array(times[hot]), pa.array(value[hot].view(np.int64))],
+            tokens.append(g)
+            yield pa.record_batch([pa.array(np.zeros(part.num_rows, np.int8)), part.column("id"),
+                                   pa.array(np.diff(first)), pa.array(_set_hash(g, first))],
                                   names=["kind", "id", "n", "cls"])
+        value, times = np.unique(np.concatenate(tokens), return_counts=True)
+        hot = times >= HOT_LEAST
+        yield pa.record_batch([pa.array(np.ones(hot.sum(), np.int8)), pa.nulls(hot.sum(), pa.int64()),
+                               pa.array(times[hot]), pa.array(value[hot].view(np.int64))],
+                              names=["kind", "id", "n", "cls"])
 
 
-def _signatures(g: np.ndarray, owner: np.ndarray, s: Scheme, n_docs: int, hot: np.ndarray):
-    """Signatures of ``n_docs`` sets (tokens ``g`` of ``owner``) under one scheme: signature, set, looked up or not."""
+def _signatures(g: np.ndarray, owner: np.ndarray, s: Scheme, n_docs: int, hot: tuple[np.ndarray, np.ndarray]):
+    """Signatures of ``n_docs`` sets (tokens ``g`` of ``owner``) under one scheme: signature, set, looked up or not;
+    and for each set the number of whole segments that it looks up."""
     value = T.mix(g ^ s.salt)
-    seg = (value % _U(s.m)).astype(np.int64)
-    cell = owner * s.m + seg
-    total, size, rare = np.zeros(n_docs * s.m, np.uint64), np.bincount(cell, minlength=n_docs * s.m), None
+    cell = owner * s.m + (value % _U(s.m)).astype(np.int64)
+    total = np.zeros(n_docs * s.m, np.uint64)
     np.add.at(total, cell, value)
-    at = np.minimum(np.searchsorted(hot, g), max(len(hot) - 1, 0))
-    is_rare = hot[at] != g if len(hot) else np.ones(len(g), bool)
-    rare = np.bincount(cell, is_rare, n_docs * s.m) > 0
+    # A segment costs as much as its rarest token is frequent; an empty one is the most expensive.
+    often = np.zeros(len(g), np.int64)
+    if len(hot[0]):
+        at = np.minimum(np.searchsorted(hot[0], g), len(hot[0]) - 1)
+        often = np.where(hot[0][at] == g, hot[1][at], 0)
+    cost = np.full(n_docs * s.m, np.iinfo(np.int64).max)
+    np.minimum.at(cost, cell, often)
+    rare = cost == 0
     name = np.tile(T.mix(np.arange(s.m, dtype=np.uint64) * _U(31) + s.salt), n_docs)
     full = T.mix(total + name)
-    # Cost-based choice: segments with a rare token first, then one-deletion neighbourhoods of those that have them,
-    # then segments of frequent tokens, then empty ones - until the thresholds plus one reach H + 1.
+    # All segments with a rare token are looked up. Where they are too few, so are their one-deletion neighbourhoods;
+    # where these do not do either, as many of the cheapest other segments as are missing.
     near = np.tile(np.arange(s.m) < s.near, n_docs)
     per_doc = lambda x: x.reshape(n_docs, s.m).sum(1)
-    cheap, deletions = per_doc(rare), per_doc(rare & near)
-    filled = per_doc(size > 0)
-    by_near = cheap < s.h + 1
-    by_hot = cheap + deletions < s.h + 1
-    by_empty = filled + deletions < s.h + 1
-    spread = lambda x: np.repeat(x, s.m)
-    asked = rare | (spread(by_hot) & (size > 0)) | spread(by_empty)
-    document = np.repeat(np.arange(n_docs), s.m)
+    by_near = per_doc(rare) < s.h + 1
+    wanted = s.h + 1 - np.where(by_near, per_doc(rare & near), 0)
+    rank = np.empty((n_docs, s.m), np.int64)
+    np.put_along_axis(rank, np.argsort(cost.reshape(n_docs, s.m), axis=1, kind="stable"), np.arange(s.m)[None, :], axis=1)
+    asked = rare | (rank < wanted[:, None]).ravel()
     inside = np.flatnonzero(near[cell])
     without = T.mix(total[cell[inside]] - value[inside] + name[cell[inside]])
-    return (np.concatenate([full, without]), np.concatenate([document, owner[inside]]),
-            np.concatenate([asked, by_near[owner[inside]] & rare[cell[inside]]]))
-
-
-def _slice_signatures(part: pa.RecordBatch, hot: np.ndarray):
-    """All signatures of a slice's distinct sets: signature, row of the set's class in ``cls``, looked up or not."""
-    g, first = shingle_sets(part.column("text"))
-    cls, sizes = _set_hash(g, first), np.diff(first)
-    _, one = np.unique(cls, return_index=True)
-    one = one[sizes[one] > 0]
-    out = []
-    for s in schemes(int(sizes.max(initial=0))):
-        if s.h == 0:  # sets of this size link only when equal
-            continue
-        rows = one[(sizes[one] >= s.low) & (sizes[one] <= s.largest)]
-        if len(rows):
+    return (np.concatenate([full, without]), np.concatenate([np.repeat(np.arange(n_docs), s.m), owner[inside]]),
+            np.concatenate([asked, by_near[owner[inside]] & rare[cell[inside]]]), per_doc(asked))
+
+
+def _slice_signatures(parts: list[pa.RecordBatch], hot: tuple[np.ndarray, np.ndarray]):
+    """All signatures of a slice's distinct sets: signature, entry, looked up or not. An entry is a set under a scheme:
+    its class, and in one number the scheme and how many whole segments it looks up."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    entries, base, known = [(np.zeros(0, np.int64), np.zeros(0, np.uint32))], 0, np.zeros(0, np.int64)
+    for part in parts:
+        g, first = shingle_sets(part.column("text"))
+        cls, sizes = _set_hash(g, first), np.diff(first)
+        _, one = np.unique(cls, return_index=True)
+        one = one[(sizes[one] > 0) & ~np.isin(cls[one], known)]
+        known = np.concatenate([known, cls[one]])
+        for s in schemes(int(sizes.max(initial=0))):
+            rows = one[(sizes[one] >= s.low) & (sizes[one] <= s.largest)]
+            if s.h == 0 or not len(rows):  # sets of the smallest sizes link only when equal
+                continue
             owner = np.repeat(np.arange(len(rows)), sizes[rows])
             tokens = g[np.repeat(first[rows] - np.cumsum(sizes[rows]) + sizes[rows], sizes[rows]) + np.arange(len(owner))]
-            sig, doc, asked = _signatures(tokens, owner, s, len(rows), hot)
-            out.append((sig, rows[doc], asked))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), cls
-    return (*(np.concatenate(x) for x in zip(*out)), cls)
+            sig, doc, asked, lookups = _signatures(tokens, owner, s, len(rows), hot)
+            out.append((sig, doc + base, asked))
+            entries.append((cls[rows], ((s.j << 24) + np.minimum(lookups, (1 << 24) - 1)).astype(np.uint32)))
+            base += len(rows)
+    return (*(np.concatenate(x) for x in zip(*out)), *(np.concatenate(x) for x in zip(*entries)))
 
 
-_BLOB = "bucket long, sigs binary, who binary, cls binary"
+_BLOB = "bucket long, sigs binary, who binary, cls binary, info binary"
+_MET = "sig long, cls long, pivot long, asked boolean, local boolean, low int, lookups int"
 
 
 def _index(hot_sent, buckets: int):
@@ -148,54 +158,53 @@ def _index(hot_sent, buckets: int):
     """
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in T.slices(batch, "text", SLICE):
-                for k in range(0, part.num_rows, 30000):  # the row of a class must fit 15 bits
-                    sig, row, asked, cls = _slice_signatures(part.slice(k, 30000), hot_sent.value)
-                    order = np.lexsort((row, sig))
-                    sig, row, asked = sig[order], row[order], asked[order]
-                    head = np.ones(len(sig), bool)
-                    head[1:] = sig[1:] != sig[:-1]
-                    group = np.cumsum(head) - 1
-                    any_asked = np.bincount(group, asked, minlength=1) > 0 if len(sig) else asked
-                    several = np.bincount(group)[group] > 1 if len(sig) else head
-                    rows = []
-                    who = (row + 32768 * asked).astype(np.uint16)
-                    if several.any():
-                        rows.append((-1 - int(cls[0] % buckets), sig[several], who[several]))
-                    sig, who = sig[head], (row[head] + 32768 * any_asked).astype(np.uint16)
-                    bucket = (sig % _U(buckets)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
-                    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                    rows += [(b, sig[order[x:y]], who[order[x:y]])
-                             for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-                    out = [(b, x.tobytes(), y.tobytes(), cls.tobytes()) for b, x, y in rows]
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(
-                        zip(*out) if out else [[]] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                        names=["bucket", "sigs", "who", "cls"])
+        for parts in T.groups(batches, "text", SLICE, ROWS):
+            sig, row, asked, cls, info = _slice_signatures(parts, hot_sent.value)
+            order = np.lexsort((row, sig))
+            sig, row, asked = sig[order], row[order], asked[order]
+            head = np.ones(len(sig), bool)
+            head[1:] = sig[1:] != sig[:-1]
+            group = np.cumsum(head) - 1
+            any_asked = np.bincount(group, asked, minlength=1) > 0 if len(sig) else asked
+            several = np.bincount(group)[group] > 1 if len(sig) else head
+            rows = []
+            who = (row + 32768 * asked).astype(np.uint16)
+            if several.any():
+                rows.append((-1 - int(sig[0] % _U(buckets)), sig[several], who[several]))
+            sig, who = sig[head], (row[head] + 32768 * any_asked).astype(np.uint16)
+            bucket = (sig % _U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows += [(b, sig[order[x:y]], who[order[x:y]])
+                     for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+            out = [(b, x.tobytes(), y.tobytes(), cls.tobytes(), info.tobytes()) for b, x, y in rows]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(
+                zip(*out) if out else [[]] * 5, [pa.int64()] + [pa.binary()] * 4)],
+                names=["bucket", "sigs", "who", "cls", "info"])
 
     return blobs
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Sets that share a signature: sig, cls, pivot (the signature's smallest set here), asked, local."""
-    out = []
+    """Sets that share a signature, with the signature's smallest set here as pivot."""
+    out, lows = [], np.array([s.low for s in schemes(1 << 40)])
     local = table.num_rows > 0 and table.column("bucket")[0].as_py() < 0
     parts = [table.slice(k, 1) for k in range(table.num_rows)] if local else [table]
     for part in parts:  # local blobs are groups of their own slice
-        sigs, clss, asks = [], [], []
-        for s, w, c in zip(*(part.column(k) for k in ("sigs", "who", "cls"))):
+        sigs, clss, asks, infos = [], [], [], []
+        for s, w, c, i in zip(*(part.column(k) for k in ("sigs", "who", "cls", "info"))):
             who = np.frombuffer(w.as_py(), np.uint16)
             sigs.append(np.frombuffer(s.as_py(), np.uint64))
             clss.append(np.frombuffer(c.as_py(), np.int64)[who & 32767])
+            infos.append(np.frombuffer(i.as_py(), np.uint32)[who & 32767])
             asks.append(who >= 32768)
-        sig, cls, asked = (np.concatenate(x) for x in (sigs, clss, asks))
+        sig, cls, asked, info = (np.concatenate(x) for x in (sigs, clss, asks, infos))
         order = np.lexsort((cls, sig))
-        sig, cls, asked = sig[order], cls[order], asked[order]
+        sig, cls, asked, info = sig[order], cls[order], asked[order], info[order]
         head = np.ones(len(sig), bool)
         head[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
         asked = np.maximum.reduceat(asked, np.flatnonzero(head))
-        sig, cls = sig[head], cls[head]
+        sig, cls, info = sig[head], cls[head], info[head]
         head = np.ones(len(sig), bool)
         head[1:] = sig[1:] != sig[:-1]
         start, group = np.flatnonzero(head), np.cumsum(head) - 1
@@ -203,14 +212,16 @@ def _meet(table: pa.Table) -> pa.Table:
         if not local:  # nobody looks this signature up
             keep &= np.maximum.reduceat(asked, start)[group]
         out.append(pa.table([pa.array(sig[keep].view(np.int64)), pa.array(cls[keep]), pa.array(cls[start][group][keep]),
-                             pa.array(asked[keep]), pa.array(np.full(keep.sum(), local))],
-                            names=["sig", "cls", "pivot", "asked", "local"]))
+                             pa.array(asked[keep]), pa.array(np.full(keep.sum(), local)),
+                             pa.array(lows[info[keep] >> 24], pa.int32()),
+                             pa.array((info[keep] & 0xFFFFFF).astype(np.int32))],
+                            names=["sig", "cls", "pivot", "asked", "local", "low", "lookups"]))
     return pa.concat_tables(out)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in T.slices(batch, "text", SLICE):
+        for part in T.slices(batch, "text"):
             g, first = shingle_sets(part.column("text"))
             packed = [g[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
             yield pa.record_batch([part.column("id"), pa.array(_set_hash(g, first)), pa.array(packed, pa.binary())],
@@ -247,6 +258,10 @@ def _fits(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= 80 * greatest({a}, {b})"
 
 
+#: The scheme of a pair is that of its smaller set's band.
+_IN_BAND = "least({a}, {b}) between {low} and {low} * 5 div 4"
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component (the smallest id reachable by links, its own included).
 
@@ -257,46 +272,60 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     give repeated results. Null ids take part, but never name a component that has an id; a text whose every row has
     a null id has a null component. An empty table gives no rows. Other columns are not read.
 
-    Equal sets form one class and are compared once. Round one compares each class with one other that shares a
-    signature; round two compares every two classes that share a looked-up signature and are not yet in one
-    component. So a group of n near copies costs about n comparisons, and no link between components is lost.
+    Equal sets form one class and are compared once. The first rounds compare each class with one other that shares a
+    signature, another in each round; the last compares every two classes that share a looked-up signature and are
+    not yet in one component. So a group of n near copies costs about n comparisons, and no link between components
+    is lost.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = scratch.table(texts.mapInArrow(_describe, "kind byte, id long, n long, cls long"))
     hot = seen.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(HOT_TOKENS)
-    tokens = np.sort(np.array([r.cls for r in hot.select("cls").collect()], np.int64).view(np.uint64))
-    sent = spark.sparkContext.broadcast(tokens)
+    hot = hot.toArrow()
+    tokens, times = hot.column("cls").to_numpy().view(np.uint64), hot.column("n").to_numpy()
+    order = np.argsort(tokens)
+    sent = spark.sparkContext.broadcast((tokens[order], times[order]))
     members = seen.filter("kind = 0")
     classes = scratch.table(members.filter("n > 0").groupBy("cls").agg(
         F.min("id").alias("rep"), F.first("n").alias("n")).filter("rep is not null"))
 
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = scratch.table(texts.mapInArrow(_index(sent, buckets), _BLOB).groupBy("bucket").applyInArrow(
-        _meet, "sig long, cls long, pivot long, asked boolean, local boolean"))
+        _meet, _MET))
+    scratch.settle()
     # Local groups count where a set of their slice, or of another slice, looks the signature up.
     looked = scratch.table(met.filter("not local or asked").select("sig").distinct())
-    met = met.join(looked, "sig", "left_semi")
-
-    first = met.filter("cls <> pivot").groupBy(F.col("cls").alias("b")).agg(F.min("pivot").alias("a"))
-    sized = classes.select("cls", "n")
-    first = _with_sizes(first, sized)
-    pairs = scratch.table(first)
-    sets = _needed_sets(texts, classes, pairs, scratch)
-    links = _verified(pairs, sets, scratch)
-    groups = _labels(links, classes, scratch)
+    known = scratch.table(met.join(looked, "sig", "left_semi").groupBy("sig", "cls").agg(
+        F.max("asked").alias("asked"), F.first("low").alias("low"), F.max("lookups").alias("lookups")))
+    scratch.settle()
+
+    links = spark.createDataFrame([], "a long, b long")
+    groups = classes.select("cls", "n", F.col("rep").alias("component"))
+    rest = _unsettled(known, groups, scratch)
+    for _ in range(ROUNDS):
+        # The set that shares most with others is likely the one the others were copied from.
+        pivots = scratch.table(rest.groupBy("sig").agg(F.max_by(
+            F.struct("cls", "n", "component"), F.struct("central", "cls")).alias("p")))
+        star = rest.join(pivots, "sig").filter(
+            f"component <> p.component and {_fits('n', 'p.n')} and {_IN_BAND.format(a='n', b='p.n', low='low')}")
+        pairs = scratch.table(star.groupBy("cls", F.col("p.cls").alias("a")).agg(
+            F.count_if("asked").alias("shared"), F.max("lookups").alias("lookups"),
+            F.expr("first(n + p.n) div 9").alias("differ")).filter("shared >= lookups - differ").select(
+            "a", F.col("cls").alias("b")))
+        links = scratch.table(links.unionByName(_verified(pairs, _needed_sets(texts, classes, pairs, scratch), scratch)))
+        groups = _labels(links, classes, scratch)
+        rest = _unsettled(rest.select(*known.columns), groups, scratch)
+        scratch.settle()
 
-    labelled = scratch.table(met.select("sig", "cls", "asked").join(groups, "cls").groupBy("sig", "cls").agg(
-        F.max("asked").alias("asked"), F.first("component").alias("component"), F.first("n").alias("n")))
-    mixed = scratch.table(labelled.groupBy("sig").agg(
-        F.min("component").alias("c"), F.max("component").alias("d"), F.max("asked").alias("asked")).filter(
-        "c <> d and asked").select("sig"))
-    rest = scratch.table(labelled.join(mixed, "sig", "left_semi"))
     x, y = rest.alias("x"), rest.alias("y")
-    more = scratch.table(x.join(y, F.expr(
-        f"x.sig = y.sig and x.cls < y.cls and x.component <> y.component and (x.asked or y.asked) and {_fits('x.n', 'y.n')}"
-    )).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
+    meet = x.join(y, F.expr(
+        "x.sig = y.sig and x.cls < y.cls and x.component <> y.component and (x.asked or y.asked) and "
+        f"{_fits('x.n', 'y.n')} and {_IN_BAND.format(a='x.n', b='y.n', low='x.low')}"))
+    more = scratch.table(meet.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(
+        F.count_if("x.asked").alias("sx"), F.count_if("y.asked").alias("sy"), F.max("x.lookups").alias("lx"),
+        F.max("y.lookups").alias("ly"), F.expr("first(x.n + y.n) div 9").alias("differ")).filter(
+        "sx >= lx - differ and sy >= ly - differ").select("a", "b"))
     links = links.unionByName(_verified(more, _needed_sets(texts, classes, more, scratch), scratch))
     groups = _labels(links, classes, scratch)
 
@@ -305,10 +334,25 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                          F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
-def _with_sizes(pairs: DataFrame, sized: DataFrame) -> DataFrame:
-    a = sized.select(F.col("cls").alias("a"), F.col("n").alias("na"))
-    b = sized.select(F.col("cls").alias("b"), F.col("n").alias("nb"))
-    return pairs.join(a, "a").join(b, "b").filter(_fits("na", "nb")).select("a", "b")
+def _unsettled(met: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """Signatures that sets of several components share, with these sets' sizes, components and how central they are.
+
+    A looked-up segment of a set is spoilt by a differing token, so of the looked-up segments all but as many as a pair
+    may differ in must be shared. Sets that share too few with all other components together link with none of them.
+    """
+    labelled = scratch.table(met.join(groups, "cls"))
+    mixed = scratch.table(labelled.groupBy("sig").agg(
+        F.min("component").alias("c"), F.max("component").alias("d"), F.max("asked").alias("asked"),
+        F.count("*").alias("sharing")).filter("c <> d and asked").select("sig", "sharing"))
+    rest = scratch.table(labelled.join(mixed, "sig"))
+    alive = scratch.table(rest.groupBy("cls", "low").agg(
+        F.count_if("asked").alias("shared"), F.max("lookups").alias("lookups"), F.first("n").alias("n"),
+        F.sum("sharing").alias("central")).filter(
+        # The partner of a set in the band has at most 1.25 times its size; that of a larger set lies in the band.
+        "shared >= lookups - (n + if(n <= low * 5 div 4, n * 5 div 4, low * 5 div 4)) div 9").select("cls", "low", "central"))
+    out = scratch.table(rest.drop("sharing").join(alive, ["cls", "low"]))
+    scratch.drop(labelled, mixed, rest, alive)
+    return out
 
 
 def _labels(links: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
