@@ -171,6 +171,15 @@ def _short(anchor: np.ndarray) -> np.ndarray:
     return (anchor >> _U(32)).astype(np.uint32)
 
 
+def _planes(n: np.ndarray) -> np.ndarray:
+    """Counts as their lowest bytes, then their second bytes, and so on: the high ones are nearly all zero and compress."""
+    return np.ascontiguousarray(n.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _counts(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _deal(buckets: int, taken_apart=None):
     """Entries of every group of texts in one blob per bucket. Of a group's equal entries only those of its smallest
     document go on; the others are already known as repeats and stay in a local blob (negative bucket)."""
@@ -194,7 +203,7 @@ def _group_blobs(parts: list[pa.RecordBatch], buckets: int, taken_apart) -> pa.R
     for part in parts:
         buf, offsets = T.flat(part.column("text"))
         start, last, anchor, key, doc = contexts(buf, offsets, live if taken_apart is not None else None)
-        found.append(((start - offsets[doc]).astype(np.int32), (last - start + 1).astype(np.uint8), anchor, key,
+        found.append(((start - offsets[doc]).astype(np.int32), (last - start + 1).astype(np.int32), anchor, key,
                       (doc + base).astype(np.int32)))
         base += part.num_rows
     start, n, anchor, key, doc = (np.concatenate(x) for x in zip(*found))
@@ -228,7 +237,7 @@ def _group_blobs(parts: list[pa.RecordBatch], buckets: int, taken_apart) -> pa.R
     for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
         if y > x:
             o = go[order[x:y]]
-            blob(b, o, b"" if taken_apart is not None else n[o].astype(np.uint8))
+            blob(b, o, b"" if taken_apart is not None else _planes(n[o]))
     kinds = [pa.int64()] + [pa.binary()] * 7
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)],
                            names=["bucket", "key", "anchor", "who", "start", "n", "id", "row"])
@@ -249,7 +258,7 @@ def _search_bucket(table: pa.Table, buckets: int) -> pa.Table:
         ids = np.frombuffer(ids.as_py(), np.int64)
         base += len(ids)
         for c, x in zip(cols, (np.frombuffer(key.as_py(), np.uint64), np.frombuffer(anchor.as_py(), np.uint32), index,
-                               np.frombuffer(start.as_py(), np.int32), np.frombuffer(n.as_py(), np.int32 if local else np.uint8),
+                               np.frombuffer(start.as_py(), np.int32), np.frombuffer(n.as_py(), np.int32) if local else _counts(n.as_py()),
                                ids, np.frombuffer(rows.as_py(), np.int32))):
             c.append(x)
     key, anchor, who, start, n, ids, rows = (np.concatenate(c) for c in cols)

@@ -301,6 +301,18 @@ def test_suffixes_on_messy_rows(spark):
     assert listed(got) == brute.repeats(MESSY)
 
 
+def test_suffixes_of_periodic_runs(spark):
+    """A run is one context of more strings than a byte can count."""
+    runs = ["=" * 400, "lol " * 250, "| 0 | 00 " * 120, "\u2014" * 1000]
+    rows = [(10 * k + j, words(50 + k, 30) + run + words(60 + k, 30)) for k, run in enumerate(runs) for j in range(3)]
+    rows += [(100, runs[0]), (101, runs[0])]
+    for part in (rows, rows[:3], rows[-2:]):
+        got = suffixes.repeated_spans(table(spark, part)).select(
+            "id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]),
+            F.size("spans").cast("long"), F.sha2("kept", 256))
+        assert listed(got) == brute.repeats(part)
+
+
 def test_level_index_in_small_batches(monkeypatch):
     monkeypatch.setattr(suffixes, "BATCH", 7)
     rng = np.random.default_rng(4)
