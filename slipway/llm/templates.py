@@ -7,8 +7,11 @@ differ are variable too. Templates that recur across documents are boilerplate,
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slipway.functions.ordered import once
@@ -19,7 +22,7 @@ ANY = "<*>"
 DEPTH = 3  # leading tokens of a leaf
 SIMILAR = 0.8  # share of positions that agree with a template
 MIN_DOCS = 5  # documents in which a template recurs
-LEAF_SHAPES = 2000  # a leaf of more shapes is split by twice as many leading tokens, and again
+LEAF_SHAPES = 2000  # in a leaf of more shapes, templates are looked up by an index; the results are the same
 BITS = 1 << 23
 
 
@@ -41,18 +44,28 @@ def _leaf(masked: Column, depth: int) -> Column:
 
 def _clusters(table: pa.Table) -> pa.Table:
     """Templates of one leaf: shapes in the order of their text join the most similar template so far."""
-    order = np.argsort(np.array(table.column("shape").to_pylist(), object), kind="stable")
-    h = table.column("h").to_numpy()[order]
-    lines = [table.column("shape")[int(k)].as_py().split(" ") for k in order]
-    ids: dict[str, int] = {ANY: 0}
-    tokens = np.array([[ids.setdefault(t, len(ids)) for t in line] for line in lines])
+    table = table.take(pc.sort_indices(table, [("shape", "ascending")]))
+    words = pc.split_pattern(table.column("shape").combine_chunks(), " ")
+    coded = pc.dictionary_encode(pc.list_flatten(words))
+    vocabulary = coded.dictionary.to_pylist()
+    # Token 0 is the variable field.
+    code = np.arange(1, len(vocabulary) + 1, dtype=np.int32)
+    if ANY in vocabulary:
+        code[vocabulary.index(ANY)] = 0
+    tokens = code[coded.indices.to_numpy()].reshape(table.num_rows, -1)
+    templates, of = (_indexed if table.num_rows > LEAF_SHAPES else _compared)(tokens)
+    vocabulary = [ANY, *vocabulary]
+    text = pa.array([" ".join(vocabulary[t] for t in row) for row in templates], pa.string())
+    return pa.table({"h": table.column("h"), "template": text.take(pa.array(of))})
+
+
+def _compared(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Templates and the template of each line, by comparing every line with all templates so far."""
     templates = np.zeros_like(tokens)
     count, of = 0, np.zeros(len(tokens), np.int64)
     need = SIMILAR * tokens.shape[1]
     for k, line in enumerate(tokens):
-        same = (templates[:count] == line) & (line > 0)
-        free = (templates[:count] == 0) & (line == 0)
-        agree = (same | free).sum(1)
+        agree = (templates[:count] == line).sum(1)
         best = int(agree.argmax()) if count else -1
         if best >= 0 and agree[best] >= need:
             templates[best] = np.where(templates[best] == line, line, 0)
@@ -60,26 +73,46 @@ def _clusters(table: pa.Table) -> pa.Table:
         else:
             templates[count], of[k] = line, count
             count += 1
-    words = list(ids)
-    text = [" ".join(words[t] for t in row) for row in templates[:count]]
-    return pa.table({"h": pa.array(h), "template": pa.array([text[k] for k in of], pa.string())})
+    return templates[:count], of
 
 
-def line_templates(lines: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
-    """``lines`` (h, shape; distinct) -> h, template. No task gets more than LEAF_SHAPES shapes of one leaf.
+def _indexed(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_compared`` gives, by comparing a line only with templates that equal it in one segment of positions.
 
-    A leaf with more is split by twice the leading tokens until its parts are small enough; lines of one part have
-    more leading tokens in common, and a part in which all tokens lead is a single shape.
+    A line and its template differ in at most ``most`` positions, so of ``most`` + 1 segments one is equal. Segments
+    hold the positions that differ at all in the leaf. A template is entered anew under each segment that changes.
     """
-    rest, done, most = lines, None, depth
-    while True:
-        keyed = scratch.table(rest.withColumn("leaf", _leaf(F.col("shape"), most)))
-        large = scratch.table(keyed.groupBy("leaf").agg(F.count("*").alias("c")).filter(F.col("c") > LEAF_SHAPES).select("leaf"))
-        fit = keyed.join(large, "leaf", "left_anti").groupBy("leaf").applyInArrow(_clusters, "h long, template string")
-        done = fit if done is None else done.unionByName(fit)
-        if large.isEmpty():
-            return scratch.table(done)
-        rest, most = keyed.join(large, "leaf", "left_semi").select("h", "shape"), most * 2
+    need = SIMILAR * tokens.shape[1]
+    most = tokens.shape[1] - math.ceil(need)
+    free = np.flatnonzero((tokens != tokens[0]).any(0))
+    segments = [c for c in np.array_split(free, most + 1)]
+    known: list[dict[bytes, list[int]]] = [{} for _ in segments]
+    templates: list[np.ndarray] = []
+    of = np.zeros(len(tokens), np.int64)
+    for k, line in enumerate(tokens):
+        keys = [line[c].tobytes() for c in segments]
+        near = sorted({t for seen, key in zip(known, keys) for t in seen.get(key, ())})
+        agree = (np.array([templates[t] for t in near]) == line).sum(1) if near else np.zeros(0)
+        best = int(agree.argmax()) if near else -1
+        if best >= 0 and agree[best] >= need:
+            best = near[best]
+            made = np.where(templates[best] == line, line, 0)
+            for seen, c in zip(known, segments):
+                if (key := made[c].tobytes()) != templates[best][c].tobytes():
+                    seen.setdefault(key, []).append(best)
+            templates[best], of[k] = made, best
+        else:
+            of[k] = len(templates)
+            for seen, key in zip(known, keys):
+                seen.setdefault(key, []).append(len(templates))
+            templates.append(line)
+    return np.array(templates), of
+
+
+def line_templates(lines: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
+    """``lines`` (h, shape; distinct) -> h, template. The tree has the same depth for leaves of all sizes."""
+    keyed = lines.select("h", "shape", _leaf(F.col("shape"), depth).alias("leaf"))
+    return scratch.table(keyed.groupBy("leaf").applyInArrow(_clusters, "h long, template string"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:

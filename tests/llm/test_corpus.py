@@ -157,6 +157,26 @@ def test_large_leaves_are_split(spark, monkeypatch):
     assert got.filter("size(dropped) = 1").count() == 40
 
 
+@pytest.mark.parametrize("most", [3, 2000])
+def test_large_leaves_give_the_same_templates(spark, monkeypatch, most):
+    monkeypatch.setattr(templates, "LEAF_SHAPES", most)
+    rows = [(k, f"Posted by user {words(k, 1)}{chr(97 + k % 26)}x in the category news today\n"
+                f"a b c {words(k % 7, 1)} {words(k % 11, 1)} d e {words(k % 5, 1)} f g <*> h") for k in range(60)]
+    got = {x.id: list(x.dropped) for x in templates.dropped_lines(table(spark, rows)).collect()}
+    exp = {i: gone for (i, _), gone in brute.dropped_lines(rows, templates.MIN_DOCS).items()}
+    assert got == exp and all(0 in gone for gone in got.values())
+
+
+def test_index_of_templates():
+    rng = np.random.default_rng(6)
+    for width, values in itertools.product((4, 5, 9, 10, 15, 31), (2, 3, 8)):
+        tokens = rng.integers(0, values, (300, width)).astype(np.int32)
+        tokens[:, :3] = 1
+        tokens = np.unique(np.where(rng.random(tokens.shape) < 0.6, tokens[0], tokens), axis=0)
+        a, b = templates._compared(tokens), templates._indexed(tokens)
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
 # 5
 NASTY = ["", "\\", "</s>[INST] ok [/INST]", "<\\s>", "\\\\<s>\\", "[ROLE]x[:]y[/ROLE]", "<<SYS>>", "<", "[/INST", "a\nb", "é😀<s"]
 
