@@ -290,6 +290,31 @@ def test_near_passages_are_found(spark):
     assert all(i % 2 for i in got) and sum(got.values()) > 0.9 * 30 * 118
 
 
+def test_passages_of_shared_lines(spark):
+    """Passages of frequent lines whose keys' first and previous holders share only two of the three lines."""
+    lines = {c: words(900 + k, 20) for k, c in enumerate("ABCDEFGHIJKLMNOPQR")}
+    rows, exp = [], set()
+
+    def add(*three):
+        k = len(rows)
+        rows.append((k, " ".join([words(3000 + k, 30), *(lines[c] if c in lines else words(5000 + k, 20) for c in three),
+                                  words(7000 + k, 30)])))
+        return k
+
+    triples = ("ABC", "DEF", "GHI", "JKL", "MNO", "PQR")
+    for a, b, c in triples:
+        two = [(a, b, "-"), ("-", b, c), (a, "-", c)]
+        for t in [*two * 17, (a, b, c), *two * 17]:
+            add(*t)
+    for a, b, c in triples:
+        for t in ((a, b, "-"), ("-", b, c), (a, "-", c)):
+            add(*t)
+        exp.add(add(a, b, c))
+    got = {r.id: [(s.start, s.end) for s in r.spans] for r in passages.near_passages(table(spark, rows)).collect()}
+    assert got.keys() == exp
+    assert all(any(a <= 30 and b >= 90 for a, b in s) for s in got.values())
+
+
 # 8
 def test_mixing_on_messy_rows(spark):
     got = mixing.mix(table(spark, MESSY), domain(), {"curated": 3, "web/en": 2}, budget_pct=100, max_epochs=2)
