@@ -315,6 +315,23 @@ def test_passages_of_shared_lines(spark):
     assert all(any(a <= 30 and b >= 90 for a, b in s) for s in got.values())
 
 
+def test_short_passages_near_the_threshold_are_candidates():
+    """Passages of 50 to 60 words at a similarity of 0.8 to 0.84: one word in their midst is changed."""
+    pairs, texts = 1500, []
+    for k in range(pairs):
+        core = words(20000 + k, 50 + k % 11).split()
+        other = core[:25] + ["changed"] + core[26:]
+        assert passages.similar_passages(" ".join(core), " ".join(other)) == [(0, len(core))]
+        texts += [" ".join([words(40000 + k, 30), *core, words(60000 + k, 30)]),
+                  " ".join([words(80000 + k, 30), *other, words(90000 + k, 30)])]
+    key, text, _ = passages.signatures(*passages._shingles(passages.pa.array(texts)), np.zeros(0, np.uint64))
+    holders = {}
+    for k, t in zip(key.tolist(), text.tolist()):
+        holders.setdefault(k, set()).add(t)
+    met = {a // 2 for h in holders.values() for a in h if a ^ 1 in h}
+    assert len(met) >= 0.985 * pairs
+
+
 # 8
 def test_mixing_on_messy_rows(spark):
     got = mixing.mix(table(spark, MESSY), domain(), {"curated": 3, "web/en": 2}, budget_pct=100, max_epochs=2)
