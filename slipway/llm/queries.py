@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from slipway.llm import chat, decontaminate, exact, jaccard, mixing, passages, pii, suffixes, templates, toxicity
+from slipway.llm import (chat, decontaminate, exact, infill, jaccard, mixing, packing, passages, pii, spelling, suffixes,
+                         templates, toxicity)
 from slipway.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +222,52 @@ def op7_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(words, F.lit(0)).alias("n_words_repeated"),
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce(listed, F.lit("")).alias("spans"))
+
+
+@query("op11_harmonic_packing")
+def op11_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    found = packing.pieces(packing.packed(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return found.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                        "sequence_id", "offset")
+
+
+def with_typos(runs: DataFrame, one_in: int = 199) -> DataFrame:
+    """``runs`` (doc_id, run) with one code point left out of about one in ``one_in`` runs, chosen by checksum."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    at = (h % F.length("run")).cast("int")
+    return runs.select(F.when(h % one_in == 0, F.concat(F.substring("run", F.lit(1), at), F.substring(
+        "run", at + 2, F.length("run")))).otherwise(F.col("run")).alias("word"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents, some of them damaged, with the form each one likely stands for."""
+    runs = spelling.runs(load(spark, sf_dir, "documents"), keep=("doc_id",))
+    words = with_typos(runs).filter(F.length("word") >= 6)
+    return spelling.spelling_variants(spelling.vocabulary(words))
+
+
+@query("op13_fill_in_middle", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2,
+             CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+              WHEN 'spm' THEN '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a)
+              ELSE '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a) END)
+         AS output_sha256, sha256(t) AS restored_sha256
+FROM c""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for infilling, and the text rebuilt from that."""
+    f = F.col("fim")
+    return infill.fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", f["n"].alias("n"), f["form"].alias("form"), f["prefix_chars"].alias("prefix_chars"),
+        f["middle_chars"].alias("middle_chars"), F.sha2(f["output"], 256).alias("output_sha256"),
+        F.sha2(infill.restored(f["output"], f["form"]), 256).alias("restored_sha256"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import re
+import zlib
 
 
 def lower(t):
@@ -147,3 +148,47 @@ def dropped_lines(rows, min_docs, similar=0.8, depth=3):
         if len(docs[name[s]]) >= min_docs:
             out[r].append(k)
     return {r: sorted(out[r]) for r in set(rows)}
+
+
+def spelling(rows, one_in=199, least_chars=6, least_count=5, ratio=5):
+    counts = collections.Counter()
+    for i, t in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = lower(w)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if h % one_in == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            if len(w) >= least_chars:
+                counts[w] += 1
+    n = {w: k for w, k in counts.items() if k >= least_count}
+    letters = {c for w in n for c in w}
+    near = {}
+    for w in n:
+        edits = {w[:k] + w[k + 1:] for k in range(len(w))}
+        edits |= {w[:k] + c + w[k + 1:] for k in range(len(w)) for c in letters}
+        edits |= {w[:k] + c + w[k:] for k in range(len(w) + 1) for c in letters}
+        near[w] = sorted((-n[e], e) for e in edits & n.keys() - {w})
+    form = {w: v[0][1] if v and -v[0][0] >= ratio * n[w] else None for w, v in near.items()}
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n.get(form[w])))
+    return sorted(out, key=str)
+
+
+def infill(rows, seed=1):
+    out = []
+    for i, t in rows:
+        t = t or ""
+        d = hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()
+        h1, h2, h3, h4 = (int(d[k:k + 8], 16) for k in (0, 8, 16, 24))
+        a, b = sorted((h1 % (len(t) + 1), h2 % (len(t) + 1)))
+        if not t or h3 % 100 >= 90 or any(m in t for m in ("<P>", "<S>", "<M>")):
+            out.append((i, len(t), "plain", None, None, t))
+        elif h4 % 100 < 20:
+            out.append((i, len(t), "spm", a, b - a, f"<S>{t[b:]}<P>{t[:a]}<M>{t[a:b]}"))
+        else:
+            out.append((i, len(t), "psm", a, b - a, f"<P>{t[:a]}<S>{t[b:]}<M>{t[a:b]}"))
+    return sorted(out, key=str)
