@@ -9,7 +9,10 @@ takes those of ``FAN_IN`` workers, until one is left; its open bins, at most one
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,46 +25,91 @@ from slipway.llm.common import Scratch
 SMALL = 32
 SLACK = 64  # a piece may be shorter than its class's share by a 64th of it
 FAN_IN = 64
-KNOWN_WORDS = 1 << 17  # words whose ids a worker keeps from slice to slice
-_known: dict[str, dict[str, np.ndarray]] = {}
-_tokenizers: dict[str, object] = {}
+SLICE = 8 << 20  # text whose distinct words are encoded together
+KNOWN_PARTS = 1 << 19  # words and parts of words whose ids a worker keeps
 
+#: How tokenizer files of this kind prepare a text. Their words can be cut here, without the library.
+_NORMALIZER = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The split's pattern for lower-cased words of printable ASCII and the letters of Latin-1.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
 
-def word_ids(words: list[str], tokenizer: str) -> list[np.ndarray]:
-    """Ids of each of the (distinct) words by the tokenizer file at a path."""
-    from tokenizers import Tokenizer
 
-    if tokenizer not in _tokenizers:
-        _tokenizers[tokenizer] = Tokenizer.from_file(tokenizer)
-    known = _known.setdefault(tokenizer, {})
-    if len(known) + len(words) > KNOWN_WORDS:
-        known.clear()
-    new = [w for w in words if w not in known]
-    for k in range(0, len(new), 4096):
-        part = new[k:k + 4096]
-        for w, e in zip(part, _tokenizers[tokenizer].encode_batch(part, add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.uint32)
-    return [known[w] for w in words]
+class Words:
+    """Ids of single words by a tokenizer file.
+
+    Simple words are cut into parts here, which only the file's merges see, each distinct part once; all others, and all
+    words with other kinds of files, are encoded by the library as they are.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, list[int]] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [(n["type"], (n.get("pattern") or {}).get("Regex")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cut = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.plain = steps == _NORMALIZER and len(cut) == 2 and cut[0].get("pattern") == {"Regex": _SPLIT} and cut[
+            0]["behavior"] == "Removed" and cut[1]["type"] == "ByteLevel" and not cut[1]["add_prefix_space"]
+        added = [t["content"] for t in spec["added_tokens"]]
+        self.marked = not any(t.isalpha() for t in added)
+        self.special = re.compile("|".join(map(re.escape, added)) if added else "(?!)")
+        # Byte-level names: printable Latin-1 bytes stand for themselves, the others for code points from 256 on.
+        hidden = [c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or c >= 174)]
+        self.names = {c: chr(256 + k) for k, c in enumerate(hidden)}
+
+    def keep(self, part: str, ids: list[int]) -> list[int]:
+        if len(self.known) < KNOWN_PARTS:
+            self.known[part] = ids
+        return ids
+
+    def part_ids(self, part: str) -> list[int]:
+        name = part if part.isascii() else part.encode().decode("latin-1").translate(self.names)
+        return self.keep(part, [t.id for t in self.tokenizer.model.tokenize(name)])
+
+    def word_ids(self, word: str) -> list[int]:
+        simple = self.plain and (word.isascii() and word.isprintable() or _SIMPLE.fullmatch(word) is not None)
+        if simple and word.isalpha() and self.marked:
+            low = word.lower()
+            return self.keep(word, self.known.get(low) or self.part_ids(low))
+        if not simple or self.special.search(word):
+            return self.keep(word, self.tokenizer.encode(word, add_special_tokens=False).ids)
+        parts = [self.known.get(p) or self.part_ids(p) for p in _PARTS.findall(word.lower())]
+        return self.keep(word, parts[0] if len(parts) == 1 else [i for p in parts for i in p])
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        found = [self.known.get(w) or self.word_ids(w) for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+
+_words: dict[str, Words] = {}
 
 
 def token_ids(column: pa.Array, tokenizer: str, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, each with ``end`` behind it, and where each text's ids start.
+    """Ids of all texts by the tokenizer file at a path, each with ``end`` behind it, and where each text's ids start.
 
     Each distinct word between white space is encoded once. That gives the ids of the whole text with tokenizers whose
-    pieces never cross or depend on white space.
+    tokens never cross or depend on white space.
     """
+    if tokenizer not in _words:
+        _words[tokenizer] = Words(tokenizer)
     lists = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
     coded = lists.flatten().dictionary_encode()
-    ids = word_ids(coded.dictionary.to_pylist(), tokenizer)
-    size = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    distinct = coded.dictionary
+    one = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct.cast(pa.string()))
+    flat, size = _words[tokenizer].ids(pc.binary_join(one, "\n")[0].as_py().split("\n") if len(distinct) else [])
+    # ``end`` counts as one more word, which stands behind each text's last.
+    flat, size = np.append(flat, np.uint32(end)), np.append(size, 1)
     start = np.cumsum(size) - size
-    word = coded.indices.to_numpy()
-    count = size[word]
-    total = np.concatenate(([0], np.cumsum(count)))
-    at = np.repeat(start[word] - total[:-1], count) + np.arange(total[-1])
-    offsets = total[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))]
-    return np.insert(flat[at], offsets[1:], end), offsets + np.arange(len(offsets))
+    texts = np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))
+    word = np.insert(coded.indices.to_numpy(), texts, len(size) - 1)
+    total = np.cumsum(size[word])
+    at = np.arange(total[-1] if len(total) else 0) + np.repeat(start[word] - total + size[word], size[word])
+    return flat[at], np.concatenate(([0], total[texts + np.arange(len(texts))]))
 
 
 def cuts(length: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -150,7 +198,7 @@ def _fill(tokenizer: str, capacity: int, end: int):
         bins, kind = Bins(TaskContext.get().partitionId(), capacity), None
         for batch in batches:
             kind = batch.column("id").type
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", SLICE):
                 ids, first = token_ids(part.column("text"), tokenizer, end)
                 for doc, a, b in zip(part.column("id").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
                     start = 0
