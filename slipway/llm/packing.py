@@ -25,8 +25,8 @@ from slipway.llm.common import Scratch
 SMALL = 32
 SLACK = 64  # a piece may be shorter than its class's share by a 64th of it
 FAN_IN = 64
-SLICE = 8 << 20  # text whose distinct words are encoded together
-KNOWN_PARTS = 1 << 19  # words and parts of words whose ids a worker keeps
+SLICE = 4 << 20  # text whose distinct words are encoded together
+KNOWN_PARTS = 1 << 18  # words and parts of words whose ids a worker keeps
 
 #: How tokenizer files of this kind prepare a text. Their words can be cut here, without the library.
 _NORMALIZER = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
