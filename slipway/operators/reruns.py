@@ -64,7 +64,7 @@ def rerun_class(reason: Column) -> Column:
     return F.when(reason.isin(*DRIFT_REASONS), "drift").otherwise(reason)
 
 
-def _prepared(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_log: DataFrame, sensors: DataFrame, *,
+def _prepared(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_log: DataFrame, summary: DataFrame, *,
               observe: bool) -> DataFrame:
     """Requests with class, budget, prior counts, the job event as of the request, and freshness."""
     c = F.col("cfg")
@@ -80,7 +80,7 @@ def _prepared(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_lo
     q = as_of(q, job_log, RUN_KEY, probe_ms="requested_ms", fact_ms="event_ms", fact_order=["seq"],
               payload=["event", "event_ms"], out="job", bucket_ms=MINUTE_MS)
     q = q.join(prior, [*RUN_KEY, "class"], "left").join(total, RUN_KEY, "left").join(
-        sensor_update_summary(sensors), "pipeline_id", "left")
+        summary, "pipeline_id", "left")
     unchanged = (F.col("job.event") == "success") & ~_fresh(F.col("job.event_ms"))
     return q.withColumns({
         "prior": F.coalesce("prior", F.lit(0)), "prior_all": F.coalesce("prior_all", F.lit(0)),
@@ -90,13 +90,19 @@ def _prepared(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_lo
 
 def rerun_decisions(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_log: DataFrame,
                     triggers: DataFrame, sensors: DataFrame) -> DataFrame:
+    """``decide_reruns`` with the sensors' update summary taken from their whole table."""
+    return decide_reruns(requests, configs, reruns, job_log, triggers, sensor_update_summary(sensors))
+
+
+def decide_reruns(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_log: DataFrame, triggers: DataFrame,
+                  summary: DataFrame) -> DataFrame:
     """One decision per request: excluded, rejected (limit or breaker), infra_failure (no lock row) or accepted.
 
     Only valid, non-observation configs decide; others give no row. ``seq`` must be unique within a run.
     ``attempt`` numbers accepted reruns after all earlier ones. The prepared requests are written once, since three
     steps read them.
     """
-    q = _prepared(requests, configs, reruns, job_log, sensors, observe=False).join(
+    q = _prepared(requests, configs, reruns, job_log, summary, observe=False).join(
         triggers.select(*RUN_KEY, F.lit(True).alias("_lock")), RUN_KEY, "left")
     q = q.withColumns({
         "has_lock": F.coalesce("_lock", F.lit(False)),
@@ -134,7 +140,7 @@ def rerun_decisions(requests: DataFrame, configs: DataFrame, reruns: DataFrame,
 def observed_rerun_decisions(requests: DataFrame, configs: DataFrame, reruns: DataFrame, job_log: DataFrame,
                              sensors: DataFrame) -> DataFrame:
     """What observation-only pipelines would decide; nothing is written, so requests do not affect each other."""
-    q = _prepared(requests, configs, reruns, job_log, sensors, observe=True)
+    q = _prepared(requests, configs, reruns, job_log, sensor_update_summary(sensors), observe=True)
     over = F.col("prior") >= F.col("budget")
     rejected = F.col("excluded") | over | F.col("unchanged_success")
     return q.select(
@@ -155,7 +161,12 @@ def route_job_events(job_log: DataFrame) -> DataFrame:
         "event_type": F.when(e == "success", F.lit("JOB_COMPLETED"))})
 
 
-def _retry_inputs(job_log: DataFrame, configs: DataFrame, reruns: DataFrame, *, observe: bool) -> DataFrame:
+def retries_used(reruns: DataFrame) -> DataFrame:
+    """Retries per run so far: ``prior``."""
+    return reruns.filter(F.col("reason") == RETRY_REASON).groupBy(*RUN_KEY).agg(F.count("*").alias("prior"))
+
+
+def _retry_inputs(job_log: DataFrame, configs: DataFrame, prior: DataFrame, *, observe: bool) -> DataFrame:
     c = F.col("cfg")["job"]
     failures = job_log.filter(F.col("event").isin("fail", "timeout"))
     permanent = F.coalesce(F.col("category") == "PERMANENT", F.lit(False))
@@ -165,19 +176,23 @@ def _retry_inputs(job_log: DataFrame, configs: DataFrame, reruns: DataFrame, *,
         Z.excluded_date(F.col("cfg"), F.col("exec_date")).alias("excluded"),
         F.coalesce(c["maxRetries"], F.lit(0)).cast("bigint").alias("_retries"),
         F.coalesce(c["maxCodeRetries"], F.lit(1)).cast("bigint").alias("_code"), permanent.alias("_permanent"))
-    prior = reruns.filter(F.col("reason") == RETRY_REASON).groupBy(*RUN_KEY).agg(F.count("*").alias("prior"))
-    return q.join(prior, RUN_KEY, "left").withColumns({
+    return q.join(prior.select(*RUN_KEY, "prior"), RUN_KEY, "left").withColumns({
         "prior": F.coalesce("prior", F.lit(0)),
         "max_retries": F.when(F.col("_permanent"), F.col("_code")).otherwise(F.col("_retries"))})
 
 
 def retry_decisions(job_log: DataFrame, configs: DataFrame, reruns: DataFrame, triggers: DataFrame) -> DataFrame:
+    """``decide_retries`` with the retries counted in the whole table of reruns."""
+    return decide_retries(job_log, configs, retries_used(reruns), triggers)
+
+
+def decide_retries(job_log: DataFrame, configs: DataFrame, used: DataFrame, triggers: DataFrame) -> DataFrame:
     """One decision per failure: exhausted, excluded, retry, or retry_without_lock (budget used, nothing started).
 
     A run has two limits (by failure category). Until the smaller one is reached every failure is retried; after
     that only failures with the larger limit are, until it is reached too. Both lists are bounded top-k per run.
     """
-    q = _retry_inputs(job_log, configs, reruns, observe=False)
+    q = _retry_inputs(job_log, configs, used, observe=False)
     q = q.withColumns({"_low": F.least("_retries", "_code"), "_high": F.greatest("_retries", "_code"),
                        "at": F.struct("event_ms", "seq")})
     q = q.withColumn("_free", F.greatest(F.col("_low") - F.col("prior"), F.lit(0)).cast("int"))
@@ -212,7 +227,7 @@ def retry_decisions(job_log: DataFrame, configs: DataFrame, reruns: DataFrame, t
 
 def observed_retry_decisions(job_log: DataFrame, configs: DataFrame, reruns: DataFrame) -> DataFrame:
     """What observation-only pipelines would decide on each failure."""
-    q = _retry_inputs(job_log, configs, reruns, observe=True)
+    q = _retry_inputs(job_log, configs, retries_used(reruns), observe=True)
     spent = (F.col("prior") >= F.col("max_retries")) | F.col("excluded")
     return q.select(
         *RUN_KEY, "event_ms", "seq", F.col("prior").alias("retries"), "max_retries",

@@ -324,9 +324,12 @@ def n6(t: Tables):
     return N.late_data(live_hits(t), t.triggers, t.job_log).select(*RUN_KEY, "ts_ms", "seq", "late_ms")
 
 
-@query("n7_job_routing", """
+N7_SQL = """
     SELECT CASE event WHEN 'success' THEN 'completed' ELSE 'failure' END AS route,
-      CASE event WHEN 'success' THEN 'JOB_COMPLETED' END AS event_type, pipeline_id, exec_date, seq FROM jlog""")
+      CASE event WHEN 'success' THEN 'JOB_COMPLETED' END AS event_type, pipeline_id, exec_date, seq FROM jlog"""
+
+
+@query("n7_job_routing", N7_SQL)
 def n7(t: Tables):
     return N.route_job_events(t.job_log).select("route", "event_type", "pipeline_id", "exec_date", "seq")
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slipway.operators import sla as L
-from slipway.plans.decisions import KEYS, N4_SQL, N6_SQL, REQX, arrivals, baselines
+from slipway.plans.decisions import FAILX, KEYS, N4_SQL, N5_SQL, N6_SQL, N7_SQL, REQX, arrivals, baselines
 from slipway.plans.history import PERIODS, POLL_STARTS, W1_SQL, W2_ALL, W3_SQL, W4_SQL, W5_BASE, W5_SQL, _alarm_metrics
 from slipway.plans.base import LAST_FIRE
 from slipway.plans.decisions import D8_SQL, L9_SQL, PLAN, deadline_sql
 from slipway.plans.registry import Tables, query, secs
 from slipway.plans.views import excluded, local
 from slipway.operators import events as E, rules as R, runs as J, watchdog as W
-from slipway.schema import RUN_KEY
+from slipway.schema import LOCK_SECONDS, RUN_KEY
 from slipway.session import work_dir
 from slipway.sources import fixtures as X
 from slipway.streaming import jobs as T
@@ -38,17 +38,35 @@ STARTED_SQL = f"""
     QUALIFY row_number() OVER (PARTITION BY {KEYS} ORDER BY ts_ms, seq) = 1"""
 
 
-NEW_RUN = "NOT EXISTS (SELECT 1 FROM trig t WHERE t.pipeline_id = h.pipeline_id AND t.schedule_id = h.schedule_id AND t.exec_date = h.exec_date)"
+def locks_sql(free: str) -> dict[str, str]:
+    """Views of the hits that take their run's lock, one after the other, as a recursive query over the free ones."""
+    same = "{a}.pipeline_id = {b}.pipeline_id AND {a}.schedule_id = {b}.schedule_id AND {a}.exec_date = {b}.exec_date"
+    return {
+        "lk": f"""SELECT {KEYS}, ts_ms, seq, ts_ms // 1000 AS s FROM hits h
+          WHERE NOT dry_run AND NOT {excluded(local('h.ts', 'h.tz'), 'h')} AND {free}
+          QUALIFY row_number() OVER (PARTITION BY {KEYS}, ts_ms // 1000 ORDER BY ts_ms, seq) = 1""",
+        "lnext": f"""SELECT a.*, b.s AS nxt FROM lk a ASOF LEFT JOIN lk b
+          ON {same.format(a='a', b='b')} AND a.s + {LOCK_SECONDS} <= b.s""",
+        "taken": f"""WITH RECURSIVE c AS (
+          (SELECT * FROM lnext QUALIFY row_number() OVER (PARTITION BY {KEYS} ORDER BY s) = 1)
+          UNION ALL SELECT n.* FROM c JOIN lnext n ON {same.format(a='c', b='n')} AND n.s = c.nxt)
+          SELECT {KEYS}, ts_ms, seq FROM c""",
+    }
+
+
+FREE = f"""NOT EXISTS (SELECT 1 FROM trig t WHERE t.pipeline_id = h.pipeline_id AND t.schedule_id = h.schedule_id
+      AND t.exec_date = h.exec_date AND (t.ttl_epoch IS NULL OR t.ttl_epoch > h.ts_ms // 1000))"""
 
 
 @query("t1_live_triggers", f"""
-    SELECT h.*, 'JOB_TRIGGERED' AS event_type FROM ({STARTED_SQL}) h WHERE {NEW_RUN}
+    SELECT h.*, 'JOB_TRIGGERED' AS event_type FROM taken h
     UNION ALL SELECT {KEYS}, ts_ms, seq, 'PIPELINE_EXCLUDED' FROM hits h
-      WHERE NOT dry_run AND {excluded(local('h.ts', 'h.tz'), 'h')}""")
+      WHERE NOT dry_run AND {excluded(local('h.ts', 'h.tz'), 'h')}""", locks_sql(FREE))
 def t1(t: Tables):
-    starts = state(t, "starts", f"{T.RUN_DDL}, ts_ms BIGINT, seq BIGINT")
-    events = state(t, "trigger-events", f"{T.RUN_DDL}, ts_ms BIGINT, seq BIGINT, event_type STRING")
-    T.trigger_stream(sensor_stream(t), lambda: t.configs, lambda: t.triggers, starts, events)
+    starts = state(t, "starts", T.START_DDL)
+    events = state(t, "trigger-events", f"{T.START_DDL}, event_type STRING")
+    T.trigger_stream(sensor_stream(t), lambda: t.configs, lambda: t.triggers,
+                     T.lock_state(t.spark, work_dir(t.spark, "locks")), starts, events)
     return events.read(t.spark)
 
 
@@ -56,11 +74,12 @@ def _stream_hits(t: Tables):
     return R.live_only(T.live_hits(sensor_stream(t), t.configs)).select(*RUN_KEY, "ts", "ts_ms", "seq")
 
 
-@query("t2_run_locks", f"SELECT {KEYS} FROM ({STARTED_SQL})")
+@query("t2_run_locks", f"SELECT {KEYS}, ts_ms, seq FROM taken", locks_sql("TRUE"))
 def t2(t: Tables):
-    out = state(t, "locks", f"{T.RUN_DDL}, ts_ms BIGINT, seq BIGINT")
-    T.lock_stream(_stream_hits(t), out)
-    return out.read(t.spark).select(*RUN_KEY)
+    """Every hit that starts its run: the first, and the first after each lock has ended."""
+    out = state(t, "starts", T.START_DDL)
+    T.lock_stream(_stream_hits(t), T.lock_state(t.spark, work_dir(t.spark, "locks")), out)
+    return out.read(t.spark)
 
 
 @query("t3_first_arrivals", STARTED_SQL)
@@ -80,11 +99,29 @@ def t4(t: Tables):
 @query("t5_rerun_decisions", N4_SQL, {"reqx": REQX})
 def t5(t: Tables):
     out = state(t, "decisions", T.DECISION_DDL)
-    T.rerun_stream(stream_of(t, "rerun_requests"), lambda: t.configs, t.reruns, t.job_log, lambda: t.triggers,
-                   lambda: t.sensors, out)
+    runs = T.RunStates(t.spark, work_dir(t.spark, "runs"), t.job_log, t.reruns, t.triggers, t.sensors)
+    T.rerun_stream(stream_of(t, "rerun_requests"), lambda: t.configs, runs, out)
     return out.read(t.spark).select(*RUN_KEY, "requested_ms", "seq", "reason", "decision", "reject_reason", "attempt")
 
 
+def _job_stream(t: Tables):
+    routes, retries = state(t, "routes", T.ROUTE_DDL), state(t, "retries", T.RETRY_DDL)
+    runs = T.RunStates(t.spark, work_dir(t.spark, "runs"), t.job_log.limit(0), t.reruns, t.triggers)
+    T.job_stream(stream_of(t, "job_log"), lambda: t.configs, runs, routes, retries)
+    return routes.read(t.spark), retries.read(t.spark)
+
+
+@query("t5_live_retries", N5_SQL, {"failx": FAILX})
+def t5_retries(t: Tables):
+    """Retry decisions of failures as they arrive."""
+    return _job_stream(t)[1].select(*RUN_KEY, "event_ms", "seq", "max_retries", "rerun_count", "decision")
+
+
+@query("t5_live_routes", N7_SQL)
+def t5_routes(t: Tables):
+    return _job_stream(t)[0].select("route", "event_type", "pipeline_id", "exec_date", "seq")
+
+
 def _no_marks(sql: str) -> str:
     return sql.replace("SELECT pipeline_id, exec_date FROM marks", "SELECT pipeline_id, exec_date FROM marks WHERE FALSE")
 
@@ -139,11 +176,16 @@ def _poll_starts(t: Tables):
           ON x.pipeline_id = b.pipeline_id AND x.schedule_id = b.schedule_id AND x.exec_date = b.exec_date AND k <= b.n_polls
         GROUP BY ALL))""", {"base": POLL_STARTS})
 def t7(t: Tables):
-    """Poll outcomes from the job events each micro-batch makes visible."""
-    starts = t.stored("poll_starts", lambda: _poll_starts(t))
-    out = state(t, "visible", T.EVENT_DDL)
-    T.job_event_stream(stream_of(t, "job_log"), lambda: starts, lambda: t.configs, out)
-    return J.poll_replay(starts, t.configs, out.read(t.spark)).select(*RUN_KEY, "polls", "outcome", "finished_ms")
+    """Poll outcomes from the job events each micro-batch makes visible; starts and events come as one stream."""
+    def make():
+        return T.poll_changes(t.job_log, _poll_starts(t))
+
+    changes = stream_of(t, "poll_changes", make)
+    out = state(t, "visible", T.JOB_EVENT_DDL)
+    states = T.PollStates(t.spark, work_dir(t.spark, "polls"))
+    T.poll_stream(changes, lambda: t.configs, states, out)
+    return J.poll_replay(states.starts.read(t.spark), t.configs, out.read(t.spark)).select(
+        *RUN_KEY, "polls", "outcome", "finished_ms")
 
 
 @query("t8_hourly_runs", """
