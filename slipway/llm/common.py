@@ -79,14 +79,16 @@ def in_bitmap(bits: Column, value: Column, size: int = BITMAP_BITS) -> Column:
     return word.bitwiseAND(mask) != 0
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", bits: int = BITMAP_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is not in the one-column table ``ids``, with all their columns.
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, row: Column, bits: int = BITMAP_BITS) -> DataFrame:
+    """The rows of ``docs`` whose id and ``row`` are not in ``gone`` (id, row), with all their columns.
 
-    Rows that the bitmap clears pass straight from the scan; only the others are shuffled, with their text, for the
-    exact anti join. Rows with a null id stay.
+    ``row`` tells apart rows that share an id, such as a hash of the text; it is evaluated only where the id is in
+    ``gone``. Rows whose id a bitmap clears pass straight from the scan; only the others are shuffled, with their text,
+    for the exact anti join. Null ids are compared like values.
     """
     scratch = Scratch(docs.sparkSession, "without")
-    ids = ids.toDF("__drop_id").filter("__drop_id is not null").distinct()
-    marked = in_bitmap(bitmap(ids, scratch, bits), F.col(id_col), bits) & F.col(id_col).isNotNull()
-    maybe = docs.filter(marked).join(ids, F.col(id_col) == F.col("__drop_id"), "left_anti")
+    gone = scratch.table(gone.toDF("__id", "__row").distinct())
+    marked = in_bitmap(bitmap(gone.select("__id"), scratch, bits), F.col(id_col), bits)
+    maybe = docs.filter(marked).withColumn("__row_here", row).join(
+        gone, F.expr(f"`{id_col}` <=> __id and __row_here = __row"), "left_anti").drop("__row_here")
     return docs.filter(~marked).unionByName(maybe)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from slipway.llm import text as T
-from slipway.llm.common import Scratch, without_ids
+from slipway.llm.common import Scratch, without_rows
 
 WINDOW = 10
 SHINGLE = 5  # words of a shingle; a window of fewer words is one shingle
@@ -78,7 +78,7 @@ def _passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per distinct (id, text): id, n_words, n_hit, items (sorted array of item ids as strings).
+    """One row per distinct (id, text): id, row (xxhash64 of the text), n_words, n_hit, items (sorted array of item ids as strings).
 
     ``n_hit`` counts the words inside any occurrence of any window, ``items`` names the items with such windows.
 
@@ -139,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.sum("added").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     all_docs = found.select("id", "row", "n_words").distinct()
     return all_docs.alias("d").join(per_doc.alias("p"), F.expr("d.id <=> p.id and d.row = p.row"), "left").select(
-        "d.id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        "d.id", "d.row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
@@ -169,6 +169,10 @@ def _candidate_rows(part: pa.RecordBatch, sizes: tuple[int, ...], bits: np.ndarr
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents in which a benchmark window occurs; all columns stay as they are."""
-    hit = contamination(docs, benchmark, id_col, text_col).filter("n_hit > 0").select("id")
-    return without_ids(docs, hit, id_col)
+    """``docs`` without the documents in which a benchmark window occurs; all columns stay as they are.
+
+    Decided for each (id, text): a clean text stays whatever other rows share its id, and repeated rows stay or go
+    together. Null and empty texts stay, null ids are treated like others. An empty table gives no rows.
+    """
+    hit = contamination(docs, benchmark, id_col, text_col).filter("n_hit > 0").select("id", "row")
+    return without_rows(docs, hit, id_col, F.xxhash64(text_col))

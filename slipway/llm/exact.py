@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from slipway.llm.common import Scratch, bitmap, in_bitmap, without_ids
+from slipway.llm.common import Scratch, bitmap, in_bitmap, without_rows
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -64,6 +64,11 @@ def with_digests(groups: DataFrame, docs: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document per group of equal texts, all columns kept. Rows sharing the id that stays, stay."""
-    gone = exact_groups(docs, id_col, text_col).filter("not kept").select("id")
-    return without_ids(docs, gone, id_col)
+    """``docs`` with one document per group of equal normalised texts, the one with the smallest id; all columns stay.
+
+    Only the copies themselves go: another text that shares a copy's id stays. Null text is empty text. A row with a
+    null id goes if a row with an id has its text; copies that all have null ids stay. Repeated rows (same id and text)
+    stay or go together. An empty table gives no rows.
+    """
+    gone = exact_groups(docs, id_col, text_col).filter("not kept").select("id", "text_hash")
+    return without_rows(docs, gone, id_col, F.sha2(normalised(F.col(text_col)), 256))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slipway.llm import text as T
-from slipway.llm.common import Scratch, bitmap, in_bitmap, without_ids
+from slipway.llm.common import Scratch, bitmap, in_bitmap, without_rows
 from slipway.llm.graph import components
 
 N_WORDS = 5
@@ -82,14 +82,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             g, first = shingle_sets(part.column("text"))
             tokens.append(g)
-            yield pa.record_batch([pa.array(np.zeros(part.num_rows, np.int8)), part.column("id"),
+            yield pa.record_batch([pa.array(np.zeros(part.num_rows, np.int8)), part.column("id"), part.column("row"),
                                    pa.array(np.diff(first)), pa.array(_set_hash(g, first))],
-                                  names=["kind", "id", "n", "cls"])
+                                  names=["kind", "id", "row", "n", "cls"])
         value, times = np.unique(np.concatenate(tokens), return_counts=True)
         hot = times >= HOT_LEAST
-        yield pa.record_batch([pa.array(np.ones(hot.sum(), np.int8)), pa.nulls(hot.sum(), pa.int64()),
-                               pa.array(times[hot]), pa.array(value[hot].view(np.int64))],
-                              names=["kind", "id", "n", "cls"])
+        none = pa.nulls(hot.sum(), pa.int64())
+        yield pa.record_batch([pa.array(np.ones(hot.sum(), np.int8)), none, none, pa.array(times[hot]),
+                               pa.array(value[hot].view(np.int64))], names=["kind", "id", "row", "n", "cls"])
 
 
 def _signatures(g: np.ndarray, owner: np.ndarray, s: Scheme, n_docs: int, hot: tuple[np.ndarray, np.ndarray]):
@@ -263,7 +263,8 @@ _IN_BAND = "least({a}, {b}) between {low} and {low} * 5 div 4"
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component (the smallest id reachable by links, its own included).
+    """One row per document: id, row (xxhash64 of the text), n_shingles, component (the smallest id reachable by links,
+    its own included).
 
     A document's set holds its distinct 5-word shingles (lower-cased; a shorter text is one shingle). Two documents
     link when 100 * intersection >= 80 * union. Sets are compared as 64-bit shingle hashes.
@@ -279,8 +280,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = scratch.table(texts.mapInArrow(_describe, "kind byte, id long, n long, cls long"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"),
+                        F.col(text_col).alias("text"))
+    seen = scratch.table(texts.mapInArrow(_describe, "kind byte, id long, row long, n long, cls long"))
+    texts = texts.select("id", "text")
     hot = seen.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(HOT_TOKENS)
     hot = hot.toArrow()
     tokens, times = hot.column("cls").to_numpy().view(np.uint64), hot.column("n").to_numpy()
@@ -330,7 +333,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = _labels(links, classes, scratch)
 
     result = members.join(groups.select("cls", "component"), "cls", "left")
-    return result.select("id", F.col("n").alias("n_shingles"),
+    return result.select("id", "row", F.col("n").alias("n_shingles"),
                          F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
@@ -356,16 +359,21 @@ def _unsettled(met: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame
 
 
 def _labels(links: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """cls, n, component of every class; nodes are the classes' first ids."""
-    a = classes.select(F.col("cls").alias("a"), F.col("rep").alias("ra"))
-    b = classes.select(F.col("cls").alias("b"), F.col("rep").alias("rb"))
-    nodes = links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    found = components(nodes, scratch)
-    return scratch.table(classes.join(found, classes.rep == found.node, "left").select(
-        "cls", "n", F.coalesce("component", "rep").alias("component")))
+    """cls, n, component (the smallest id of the classes it can reach) of every class. Classes that share an id without a
+    link stay apart."""
+    found = components(links, scratch)
+    linked = scratch.table(classes.join(found, classes.cls == found.node).select("cls", "n", "rep", "component"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    alone = classes.join(found, classes.cls == found.node, "left_anti").select("cls", "n", F.col("rep").alias("component"))
+    return scratch.table(linked.join(least, "component").select("cls", "n", F.col("least").alias("component")).unionByName(alone))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id; all columns stay as they are."""
-    gone = jaccard_groups(docs, id_col, text_col).filter("id <> component").select("id")
-    return without_ids(docs, gone, id_col)
+    """``docs`` with one document of each group, the one with the smallest id; all columns stay as they are.
+
+    Decided for each (id, text): a text that links with nothing stays whatever other rows share its id, and repeated
+    rows stay or go together. Null and empty texts stay; a row with a null id goes if a row with an id has the same set
+    of shingles. An empty table gives no rows.
+    """
+    gone = jaccard_groups(docs, id_col, text_col).filter("id is distinct from component").select("id", "row")
+    return without_rows(docs, gone, id_col, F.xxhash64(text_col))

@@ -137,7 +137,8 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_ngram_jaccard")
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by shingle similarity of 0.8 or more."""
-    return jaccard.jaccard_groups(load(spark, sf_dir, "documents")).toDF("doc_id", "n_shingles", "component_id")
+    return jaccard.jaccard_groups(load(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
 @query("op9_suffix_dedup")

@@ -143,6 +143,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents scored 0.5 or more; the columns stay as they are."""
+    """``docs`` without the documents scored 0.5 or more; the columns stay as they are.
+
+    Each row is judged by its own text: rows sharing an id are independent, repeated rows stay or go together, null and
+    empty texts get the score of a text without features. An empty table gives no rows; without labels all rows stay.
+    """
     score = scorer(fit(docs, labels, learned(id_col), id_col, text_col))
     return docs.filter(score(F.coalesce(F.col(text_col), F.lit(""))) < 0.5)

@@ -218,11 +218,11 @@ def test_template_must_be_unambiguous():
 
 # 6
 def test_jaccard_on_a_table(spark):
-    assert listed(jaccard.jaccard_groups(spark.read.parquet(f"{SF}/documents.parquet"))) == brute.jaccard(rows_of(spark))
+    assert listed(jaccard.jaccard_groups(spark.read.parquet(f"{SF}/documents.parquet")).drop("row")) == brute.jaccard(rows_of(spark))
 
 
 def test_jaccard_on_messy_rows(spark):
-    got = jaccard.jaccard_groups(table(spark, MESSY))
+    got = jaccard.jaccard_groups(table(spark, MESSY)).drop("row")
     exp = [(i, n, i if not n else c) for i, n, c in brute.jaccard(MESSY)]
     assert listed(got) == sorted(exp, key=str)
 
@@ -240,7 +240,7 @@ def test_jaccard_near_the_threshold(spark, seed):
             rows.append((len(rows), " ".join(w)))
     hot = "the same long line that every document of this little table holds somewhere in its text"
     rows = [(i, t + (" " + hot if i % 2 else "")) for i, t in rows]
-    assert listed(jaccard.jaccard_groups(table(spark, rows))) == brute.jaccard(rows)
+    assert listed(jaccard.jaccard_groups(table(spark, rows)).drop("row")) == brute.jaccard(rows)
 
 
 def test_components(spark):
@@ -324,7 +324,7 @@ def test_short_passages_near_the_threshold_are_candidates():
         assert passages.similar_passages(" ".join(core), " ".join(other)) == [(0, len(core))]
         texts += [" ".join([words(40000 + k, 30), *core, words(60000 + k, 30)]),
                   " ".join([words(80000 + k, 30), *other, words(90000 + k, 30)])]
-    key, text, _ = passages.signatures(*passages._shingles(passages.pa.array(texts)), np.zeros(0, np.uint64))
+    key, text, _, _ = passages.signatures(*passages._shingles(passages.pa.array(texts)), np.zeros(0, np.uint64))
     holders = {}
     for k, t in zip(key.tolist(), text.tolist()):
         holders.setdefault(k, set()).add(t)
@@ -332,6 +332,41 @@ def test_short_passages_near_the_threshold_are_candidates():
     assert len(met) >= 0.985 * pairs
 
 
+def test_repeats_of_two_overlapping_partners(spark):
+    """The third text of each triple holds more of its second partner than what lies outside the first one's passage."""
+    rows = []
+    for g in range(120):
+        core = words(100_000 + g, 75).split()
+        parts = [core[:60], core[20:], core]
+        rows += [(3 * g + k, " ".join([words(200_000 + 3 * g + k, 30), *p, words(300_000 + 3 * g + k, 30)]))
+                 for k, p in enumerate(parts)]
+    got = {r.id: [(s.start, s.end) for s in r.spans] for r in passages.near_passages(table(spark, rows)).collect()}
+    assert all(got.get(3 * g + 2) == [(30, 105)] for g in range(120))
+
+
+def test_passages_query_against_brute_force(spark):
+    """Words that the query marks, of those that a comparison of every two texts marks."""
+    r, rows = random.Random(11), []
+    for g in range(60):
+        core = words(400_000 + g, r.randint(50, 60)).split()
+        other = core[:25] + ["changed"] + core[26:]
+        for part in (core, other, core[:-2] + words(g, 2).split()):
+            rows.append((len(rows), " ".join([words(500_000 + len(rows), r.randint(0, 60)), *part,
+                                              words(600_000 + len(rows), r.randint(0, 60))])))
+    rows += [(len(rows) + k, " ".join(rows[r.randrange(150)][1].split()[10:80] + rows[r.randrange(150)][1].split()[5:75]))
+             for k in range(40)]
+    shingles = [frozenset(brute.shingles(t)) for _, t in rows]
+    want, have = {}, {}
+    for k, (i, t) in enumerate(rows):
+        want[i] = {w for j in range(k) if shingles[k] & shingles[j]
+                   for a, b in passages.similar_passages(t, rows[j][1]) for w in range(a, b)}
+    for x in passages.near_passages(table(spark, rows)).collect():
+        have[x.id] = {w for s in x.spans for w in range(s.start, s.end)}
+    found = sum(len(w & have.get(i, set())) for i, w in want.items())
+    extra = sum(len(w - want[i]) for i, w in have.items())
+    assert found >= 0.97 * sum(map(len, want.values())) and extra <= 0.02 * found, (found, sum(map(len, want.values())), extra)
+
+
 # 8
 def test_mixing_on_messy_rows(spark):
     got = mixing.mix(table(spark, MESSY), domain(), {"curated": 3, "web/en": 2}, budget_pct=100, max_epochs=2)
@@ -459,7 +494,30 @@ def test_personal_data_on_messy_rows(spark):
         ("+1 (222) 555-1234", "phone"), ("someone@mail3.org", "email"), ("10.1.200.7", "ip")]
 
 
+def test_drops_spare_other_texts_of_the_same_id(spark):
+    bench = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    near = words(21, 60)
+    rows = [(1, "a copy"), (2, "a copy"), (2, "another text"), (None, "a copy"), (None, "a text of its own"), (3, near),
+            (4, near + " x"), (4, "a clean one"), (None, near + " y"), (5, P), (5, "clean too"), (1, "a copy"), (6, None), (7, "")]
+    docs = table(spark, rows)
+
+    def kept(df):
+        return sorted(((x.doc_id, x.text) for x in df.collect()), key=str)
+
+    left = sorted(set(rows) - {(2, "a copy"), (None, "a copy"), (7, "")}, key=str)
+    assert kept(exact.drop_copies(docs).distinct()) == left
+    gone = {(2, "a copy"), (None, "a copy"), (4, near + " x")}
+    assert kept(jaccard.drop_near_copies(docs)) == sorted([x for x in rows if x not in gone], key=str)
+    assert kept(decontaminate.drop_contaminated(docs, bench)) == sorted([x for x in rows if x != (5, P)], key=str)
+    assert exact.drop_copies(docs).columns == jaccard.drop_near_copies(docs).columns == COLUMNS
+
+
 # all
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    write_tables(spark, str(tmp_path), table(spark, []).filter("doc_id = 0"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_empty_tables(spark):
     docs = table(spark, []).filter("doc_id = 0")
     bench = spark.createDataFrame([], "item_id long, text string")
