@@ -124,6 +124,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     found = scratch.table(texts.mapInArrow(
         candidates, "id long, row long, n_words long, hits array<struct<h:long,pos:int,base:int,ctx:string>>"))
+    sent.destroy()
+    probe.destroy()
     met = found.select("id", "row", "n_words", F.explode("hits").alias("c")).select(
         "id", "row", "n_words", "c.h", "c.pos", "c.base", F.split("c.ctx", " ").alias("ctx"))
     start = F.col("pos") - F.col("offset")

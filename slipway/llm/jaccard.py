@@ -24,7 +24,7 @@ from slipway.llm.graph import components
 N_WORDS = 5
 HOT_TOKENS = 1 << 18  # the most frequent shingles, which steer the choice of segments: at most 4 MB with their counts
 HOT_LEAST = 2  # a shingle is counted for it in slices where so many documents have it
-SLICE = 8 << 20  # texts whose signatures are grouped before they are dealt out
+SLICE = 4 << 20  # texts whose signatures are grouped before they are dealt out
 ROUNDS = 2  # of comparisons with one set per signature, before all sets of different components are compared
 ROWS = 8000  # and their number: an entry's number must fit 15 bits, and a text has three entries at most
 _U = np.uint64
@@ -216,6 +216,7 @@ def _meet(table: pa.Table) -> pa.Table:
                              pa.array(lows[info[keep] >> 24], pa.int32()),
                              pa.array((info[keep] & 0xFFFFFF).astype(np.int32))],
                             names=["sig", "cls", "pivot", "asked", "local", "low", "lookups"]))
+    T.release()
     return pa.concat_tables(out)
 
 
@@ -296,6 +297,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = scratch.table(texts.mapInArrow(_index(sent, buckets), _BLOB).groupBy("bucket").applyInArrow(
         _meet, _MET))
+    sent.destroy()
     scratch.settle()
     # Local groups count where a set of their slice, or of another slice, looks the signature up.
     looked = scratch.table(met.filter("not local or asked").select("sig").distinct())

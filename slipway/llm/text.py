@@ -99,6 +99,8 @@ def groups(batches: Iterator[pa.RecordBatch], column: str, limit: int, rows: int
                 size, count = size + part.nbytes, count + part.num_rows
     if held:
         yield held
+        held = []
+        release()
 
 
 def spans(buf: np.ndarray, offsets: np.ndarray, word_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
