@@ -1,4 +1,9 @@
-"""Corpus pipeline: toxicity, exact copies, near copies, benchmark passages, mixture."""
+"""Corpus pipeline: toxicity, exact copies, near copies, benchmark passages, mixture.
+
+All stages but the last return the columns of their input. Null text counts as empty text, which only the exact stage
+drops (all but one of it). The three middle stages decide for each (id, text): rows that share an id with a dropped text
+stay, repeated rows stay or go together. Null ids lose against ids. Empty tables give no rows. Columns may have any name.
+"""
 
 from __future__ import annotations
 
