@@ -123,18 +123,20 @@ def finished_runs(triggers: DataFrame, job_log: DataFrame) -> DataFrame:
     return by_status.union(terminal_runs(job_log).select(*RUN_KEY)).distinct()
 
 
+def action_hint(status: Column, alert_type: Column) -> Column:
+    return (
+        F.when(status == "RUNNING", "pipeline running — may complete before breach")
+        .when((status == "not started") & (alert_type == "SLA_BREACH"), "pipeline not started — investigate trigger")
+        .otherwise("pipeline not started — check sensor data"))
+
+
 def fire_alerts(timers: DataFrame, triggers: DataFrame, job_log: DataFrame, *, now: Column) -> DataFrame:
     """Timers to publish: finished runs and warnings at or past their breach are dropped; status and hint added."""
     late_warning = (F.col("alert_type") == "SLA_WARNING") & F.coalesce(now >= F.col("breach_at"), F.lit(False))
     open_rows = timers.filter(~late_warning).join(finished_runs(triggers, job_log), RUN_KEY, "left_anti")
     j = open_rows.join(triggers.select(*RUN_KEY, F.col("status").alias("_s")), RUN_KEY, "left")
     status = F.coalesce("_s", F.lit("not started"))
-    hint = (
-        F.when(status == "RUNNING", "pipeline running — may complete before breach")
-        .when((status == "not started") & (F.col("alert_type") == "SLA_BREACH"),
-              "pipeline not started — investigate trigger")
-        .otherwise("pipeline not started — check sensor data"))
-    return j.withColumns({"status": status, "action_hint": hint, "source": F.lit("schedule")}).drop("_s")
+    return j.withColumns({"status": status, "action_hint": action_hint(status, F.col("alert_type")), "source": F.lit("schedule")}).drop("_s")
 
 
 def final_verdicts(completions: DataFrame, triggers: DataFrame, *, at: Column, recompute: bool = False) -> DataFrame:

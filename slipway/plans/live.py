@@ -8,14 +8,15 @@ from slipway.operators import sla as L
 from slipway.plans.decisions import FAILX, KEYS, N4_SQL, N5_SQL, N6_SQL, N7_SQL, REQX, arrivals, baselines
 from slipway.plans.history import PERIODS, POLL_STARTS, W1_SQL, W2_ALL, W3_SQL, W4_SQL, W5_BASE, W5_SQL, _alarm_metrics
 from slipway.plans.base import LAST_FIRE
-from slipway.plans.decisions import D8_SQL, L9_SQL, PLAN, deadline_sql
+from slipway.plans.decisions import D8_SQL, L9_SQL, PLAN, TIMERS, _daily_timers, deadline_sql, run_day
 from slipway.plans.registry import Tables, query, secs
 from slipway.plans.views import excluded, local
 from slipway.operators import events as E, rules as R, runs as J, watchdog as W
+from slipway.operators.timers import NAME_KEY
 from slipway.schema import LOCK_SECONDS, RUN_KEY
 from slipway.session import work_dir
 from slipway.sources import fixtures as X
-from slipway.streaming import jobs as T
+from slipway.streaming import jobs as T, timers as C
 
 
 def sensor_stream(t: Tables):
@@ -156,6 +157,48 @@ def t6(t: Tables):
     return out.read(t.spark)
 
 
+def _timer_changes(t: Tables):
+    """Timers planned as each day begins; a success cancels its run's; reruns open a run again; a tick per hour of the log."""
+    again = t.reruns.select(*RUN_KEY, F.col("triggered_ms").alias("event_ms"), "seq", F.lit("rerun-accepted").alias("event"))
+    hour = F.expr("ts_ms div 3600000") * 3_600_000 + 3_600_000
+    return C.timer_changes(
+        _daily_timers(t).withColumn("at_ms", F.unix_millis(run_day())),
+        t.job_log.select(*RUN_KEY, "event_ms", "seq", "event").unionByName(again),
+        arrivals(t).select(*RUN_KEY, F.col("arrival_ms").alias("at_ms"), "seq", F.lit("RUNNING").alias("status")),
+        t.job_log.filter("event = 'success'").select(*RUN_KEY, F.col("event_ms").alias("at_ms")),
+        t.sensor_log.select(hour.alias("tick_ms")).distinct())
+
+
+@query("t6_live_timers", f"""
+    SELECT f.pipeline_id, f.schedule_id, f.exec_date, name, alert_type, tick_ms AS fired_ms,
+      CASE WHEN x.event IS NOT NULL AND x.event <> 'rerun-accepted' THEN 'finished'
+        WHEN alert_type = 'SLA_WARNING' AND tick_ms >= breach_ms THEN 'late_warning' ELSE 'published' END AS outcome,
+      CASE WHEN a.arrival_ms <= tick_ms THEN 'RUNNING' ELSE 'not started' END AS status,
+      CASE WHEN a.arrival_ms <= tick_ms THEN 'pipeline running — may complete before breach'
+        WHEN alert_type = 'SLA_BREACH' THEN 'pipeline not started — investigate trigger'
+        ELSE 'pipeline not started — check sensor data' END AS action_hint
+    FROM tmfired f
+    ASOF LEFT JOIN tmevents x ON f.pipeline_id = x.pipeline_id AND f.schedule_id = x.schedule_id
+      AND f.exec_date = x.exec_date AND f.tick_ms >= x.event_ms
+    LEFT JOIN arrivals a ON a.pipeline_id = f.pipeline_id AND a.schedule_id = f.schedule_id AND a.exec_date = f.exec_date
+    WHERE NOT EXISTS (SELECT 1 FROM jlog c WHERE c.event = 'success' AND c.pipeline_id = f.pipeline_id
+      AND c.schedule_id = f.schedule_id AND c.exec_date = f.exec_date AND c.event_ms > f.plan_ms AND c.event_ms <= f.tick_ms)""",
+       {"tmplans": f"""SELECT {KEYS}, name, alert_type, epoch_ms(fire_at) AS fire_ms,
+            CASE alert_type WHEN 'SLA_WARNING' THEN epoch_ms(breach) END AS breach_ms,
+            epoch_ms(CAST(exec_date AS TIMESTAMP)) AS plan_ms FROM ({TIMERS})""",
+        "tmticks": "SELECT DISTINCT (ts_ms // 3600000 + 1) * 3600000 AS tick_ms FROM slog",
+        "tmfired": "SELECT p.*, k.tick_ms FROM tmplans p ASOF JOIN tmticks k ON greatest(p.fire_ms, p.plan_ms) <= k.tick_ms",
+        "tmevents": f"""SELECT * FROM (SELECT {KEYS}, event_ms, seq, event FROM jlog
+            UNION ALL SELECT {KEYS}, triggered_ms, seq, 'rerun-accepted' FROM reruns)
+          QUALIFY row_number() OVER (PARTITION BY {KEYS}, event_ms ORDER BY seq DESC) = 1"""})
+def t6_timers(t: Tables):
+    """Alert timers as they come due, with the outcome of each firing."""
+    changes = stream_of(t, "timer_changes", lambda: _timer_changes(t))
+    out = state(t, "alerts", C.ALERT_DDL)
+    C.timer_stream(changes, C.TimerStates(t.spark, work_dir(t.spark, "timers")), out)
+    return out.read(t.spark).select(*NAME_KEY, "alert_type", "fired_ms", "outcome", "status", "action_hint")
+
+
 def _poll_starts(t: Tables):
     return L.latest_job_events(t.job_log).select(
         *RUN_KEY, (F.col("event_ms") - 1_800_000 - F.col("seq") % 5 * 1_000_000).alias("passed_ms"))

@@ -4,6 +4,9 @@ Rows are hashed into a fixed number of buckets. Each micro-batch writes its chan
 bucket that has collected ``deltas`` of them is written anew as a whole. A manifest per micro-batch names the parts that
 make up every bucket; it is written last, so a micro-batch that fails or is replayed starts from the manifest before it.
 So a lookup reads at most ``deltas`` parts of each bucket, however many micro-batches came before.
+
+With ``slot``, a whole-number column is the bucket itself: a calendar of, say, the hours at which rows are due, of which
+``through`` reads the buckets up to one hour and ``update`` can drop those that are done.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ class KeyedState:
     """The latest row per ``key``, among rows that are looked up by ``by`` (columns of the key; a run by default)."""
 
     def __init__(self, spark: SparkSession, path: str, ddl: str, key: Sequence[str], *, by: Sequence[str] = RUN_KEY,
-                 buckets: int = 16, deltas: int = 4):
+                 buckets: int = 16, deltas: int = 4, slot: str | None = None):
         self.path, self.key, self.by, self.buckets, self.deltas = path, list(key), list(by), buckets, deltas
+        self.slot = slot
         self.columns = spark.createDataFrame([], ddl).columns
         self.ddl = f"{ddl}, _version BIGINT, _gone BOOLEAN"
         self._commit(spark, {}, -1)
@@ -31,6 +35,8 @@ class KeyedState:
         return self
 
     def _bucket(self):
+        if self.slot:
+            return F.col(self.slot).cast("int").alias("bucket")
         return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def _manifest(self, spark: SparkSession, batch_id: int) -> dict[int, list[str]]:
@@ -56,8 +62,13 @@ class KeyedState:
         parts = {b: names for b, names in self._manifest(spark, batch_id - 1).items() if b in touched}
         return self._rows(spark, parts).select(*self.columns).join(asked, self.by, "left_semi")
 
-    def update(self, rows: DataFrame, batch_id: int, gone: DataFrame | None = None) -> None:
-        """Write new or changed rows (one per key), and take out the keys of ``gone``."""
+    def through(self, spark: SparkSession, last: int, batch_id: int) -> DataFrame:
+        """Rows of the slots up to ``last``, as all micro-batches before this one left them; no other slot is read."""
+        parts = {b: names for b, names in self._manifest(spark, batch_id - 1).items() if b <= last}
+        return self._rows(spark, parts).select(*self.columns)
+
+    def update(self, rows: DataFrame, batch_id: int, gone: DataFrame | None = None, done_below: int | None = None) -> None:
+        """Write new or changed rows (one per key), and take out the keys of ``gone`` and all slots below ``done_below``."""
         spark = rows.sparkSession
         changed = rows.select(*self.columns).withColumns({"_version": F.lit(batch_id).cast("bigint"), "_gone": F.lit(False)})
         if gone is not None:
@@ -74,6 +85,8 @@ class KeyedState:
             kept = spark.read.schema(f"{self.ddl}, bucket INT").parquet(f"{self.path}/data/{batch_id}-whole")
             left = {r[0] for r in kept.select("bucket").distinct().collect()}
             parts |= {b: [f"{batch_id}-whole"] if b in left else [] for b in full}
+        if done_below is not None:
+            parts = {b: names for b, names in parts.items() if b >= done_below}
         self._commit(spark, parts, batch_id)
 
     def carry(self, spark: SparkSession, batch_id: int) -> None:
