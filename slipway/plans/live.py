@@ -16,7 +16,7 @@ from slipway.operators.timers import NAME_KEY
 from slipway.schema import LOCK_SECONDS, RUN_KEY
 from slipway.session import work_dir
 from slipway.sources import fixtures as X
-from slipway.streaming import jobs as T, timers as C
+from slipway.streaming import jobs as T, postrun as P, timers as C
 
 
 def sensor_stream(t: Tables):
@@ -199,6 +199,59 @@ def t6_timers(t: Tables):
     return out.read(t.spark).select(*NAME_KEY, "alert_type", "fired_ms", "outcome", "status", "action_hint")
 
 
+def _post_run_changes(t: Tables):
+    """The sensor log; statuses from job events and reruns; each success captures, each rerun resets."""
+    again = t.reruns.filter("reason <> 'job-fail-retry'").select(*RUN_KEY, F.col("triggered_ms").alias("at_ms"), "seq")
+    ended = F.when(F.col("event") == "success", "COMPLETED").otherwise("FAILED_FINAL")
+    events = t.job_log.select(*RUN_KEY, F.col("event_ms").alias("at_ms"), "seq", ended.alias("status"))
+    return P.post_run_changes(t.sensor_log, events.unionByName(again.withColumn("status", F.lit("RUNNING"))),
+                              events.filter("status = 'COMPLETED'"), again)
+
+
+@query("d5_live_post_run", f"""
+    SELECT {KEYS}, seq, CASE WHEN NOT drifted THEN CASE WHEN u % 3 <> 1 AND coalesce(now_value > 0, FALSE)
+          THEN 'POST_RUN_PASSED' ELSE 'POST_RUN_FAILED' END
+        WHEN run_status = 'COMPLETED' THEN 'POST_RUN_DRIFT' ELSE 'POST_RUN_DRIFT_INFLIGHT' END AS event_type,
+      CASE WHEN drifted AND run_status = 'COMPLETED' THEN CASE WHEN excl THEN 'PIPELINE_EXCLUDED' ELSE 'data-drift' END END
+        AS follow_up
+    FROM prwrites WHERE drifted OR run_status = 'COMPLETED'""", {
+    "prst": f"""SELECT * FROM (
+        SELECT {KEYS}, event_ms AS at_ms, seq, CASE event WHEN 'success' THEN 'COMPLETED' ELSE 'FAILED_FINAL' END AS status FROM jlog
+        UNION ALL SELECT {KEYS}, triggered_ms, seq, 'RUNNING' FROM reruns WHERE reason <> 'job-fail-retry')
+      QUALIFY row_number() OVER (PARTITION BY {KEYS}, at_ms ORDER BY seq DESC) = 1""",
+    "prbase": f"""SELECT l.pipeline_id, l.schedule_id, l.exec_date, l.event_ms AS captured_ms, s.value AS base_value
+      FROM (SELECT DISTINCT {KEYS}, event_ms FROM jlog WHERE event = 'success') l
+      JOIN cfg c USING (pipeline_id) JOIN slog s ON s.pipeline_id = l.pipeline_id
+        AND s.event_type = 'purchase' AND s.ts_ms <= l.event_ms AND s.sensor_key IN ('purchase',
+          'purchase#' || l.exec_date, 'purchase#' || replace(l.exec_date, '-', ''))
+      WHERE c.has_post
+      QUALIFY row_number() OVER (PARTITION BY l.pipeline_id, l.schedule_id, l.exec_date, l.event_ms ORDER BY
+        CASE WHEN s.sensor_key = 'purchase' THEN 2 WHEN contains(s.sensor_key, '-') THEN 0 ELSE 1 END,
+        s.ts_ms DESC, s.seq DESC) = 1""",
+    "prnow": """SELECT pipeline_id, sensor_key, ts_ms, value FROM slog WHERE event_type = 'purchase'
+      QUALIFY row_number() OVER (PARTITION BY pipeline_id, sensor_key, ts_ms ORDER BY seq DESC) = 1""",
+    "prreset": f"SELECT DISTINCT {KEYS}, triggered_ms AS at_ms FROM reruns WHERE reason <> 'job-fail-retry'",
+    "prwrites": f"""SELECT w.*, prst.status AS run_status, coalesce(abs(w.value - b.base_value) > w.drift_threshold
+          AND (r.at_ms IS NULL OR b.captured_ms >= r.at_ms), FALSE) AS drifted, n.value AS now_value,
+        {excluded("CAST(substr(w.exec_date, 1, 10) AS TIMESTAMP)", "w")} AS excl
+      FROM (SELECT *, CASE u % 4 WHEN 2 THEN 'purchase#' || exec_date WHEN 3 THEN 'purchase#' || replace(exec_date, '-', '')
+          ELSE 'purchase' END AS own_key FROM postm WHERE NOT dry_run) w
+      ASOF JOIN prst ON w.pipeline_id = prst.pipeline_id AND w.schedule_id = prst.schedule_id
+        AND w.exec_date = prst.exec_date AND w.ts_ms >= prst.at_ms
+      ASOF LEFT JOIN prreset r ON w.pipeline_id = r.pipeline_id AND w.schedule_id = r.schedule_id
+        AND w.exec_date = r.exec_date AND w.ts_ms >= r.at_ms
+      ASOF LEFT JOIN prbase b ON w.pipeline_id = b.pipeline_id AND w.schedule_id = b.schedule_id
+        AND w.exec_date = b.exec_date AND w.ts_ms > b.captured_ms
+      ASOF LEFT JOIN prnow n ON w.pipeline_id = n.pipeline_id AND w.own_key = n.sensor_key AND w.ts_ms >= n.ts_ms
+      WHERE prst.status IN ('RUNNING', 'COMPLETED')"""})
+def d5_live(t: Tables):
+    """Outcome of each sensor write after a run, as of the write: status, baseline version, drift or rules."""
+    changes = stream_of(t, "post_run_changes", lambda: _post_run_changes(t))
+    out = state(t, "post-run", P.OUTCOME_DDL)
+    P.post_run_stream(changes, lambda: t.configs, P.PostRunStates(t.spark, work_dir(t.spark, "post-run")), out)
+    return out.read(t.spark).select(*RUN_KEY, "seq", "event_type", "follow_up")
+
+
 def _poll_starts(t: Tables):
     return L.latest_job_events(t.job_log).select(
         *RUN_KEY, (F.col("event_ms") - 1_800_000 - F.col("seq") % 5 * 1_000_000).alias("passed_ms"))
