@@ -169,3 +169,14 @@ def epoch_ms_value(v: Column, *, scale_seconds: bool = True) -> Column:
 def non_null_text(s: Column) -> Column:
     """TRUE for a present, non-empty string."""
     return F.coalesce(s != "", F.lit(False))
+
+
+def first_bytes(text: Column, n: int) -> Column:
+    """The longest prefix of whole code points in at most ``n`` bytes of UTF-8."""
+    b = text.cast("binary")
+
+    def splits(k: int) -> Column:
+        return F.substring(b, k + 1, 1).between(F.expr("X'80'"), F.expr("X'BF'"))
+
+    cut = F.when(~splits(n), n).when(~splits(n - 1), n - 1).when(~splits(n - 2), n - 2).otherwise(n - 3)
+    return F.when(F.octet_length(text) <= n, text).otherwise(b.substr(F.lit(1), cut).cast("string"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-
+from slipway.functions import values as V
 from slipway.functions.ordered import HOUR_MS, as_of
 from slipway.operators import sla as L
 from slipway.operators.clean import run_plan
@@ -56,14 +56,14 @@ def false_successes(states: DataFrame, logs: DataFrame) -> DataFrame:
     """Turn succeeded runs of the log-checked type into failures when their logs show one.
 
     The analysis stream is decisive; else the first driver line with an ERROR or FATAL severity mark, cut to 200
-    characters. Log lines are filtered before they are grouped.
+    bytes. Log lines are filtered before they are grouped.
     """
     m, marker = F.col("message"), '"Failure Reason":"'
     rca = (F.col("stream") == "analysis") & m.contains(FAILURE_RECORD)
     driver = (F.col("stream") == "driver") & (m.contains(" ERROR ") | m.contains(" FATAL "))
     evidence = logs.filter(rca | driver).groupBy("run_id").agg(
         F.min_by(F.when(rca, m), F.when(rca, F.col("seq"))).alias("_rca"),
-        F.min_by(F.when(driver, F.substring(m, 1, 200)), F.when(driver, F.col("seq"))).alias("_drv"))
+        F.min_by(F.when(driver, V.first_bytes(m, 200)), F.when(driver, F.col("seq"))).alias("_drv"))
     reason = F.regexp_extract("_rca", f'{marker}([^"]*)"', 1)
     why = F.when(F.col("_rca").isNotNull(), F.concat(F.lit("RCA: "), F.when(reason != "", reason).otherwise("JobFailed"))) \
         .otherwise(F.concat(F.lit("driver log: "), F.col("_drv")))

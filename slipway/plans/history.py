@@ -59,10 +59,11 @@ J2_SQL = """
       FROM states s LEFT JOIN (
         SELECT doc_id, CASE WHEN bool_or(n % 211 = 11) THEN 'RCA: ' || arg_min(replace(substr(line, 1, 20), '"', ''),
             line_no) FILTER (n % 211 = 11)
-          ELSE 'driver log: ' || arg_min(substr(CASE WHEN n % 97 = 5 THEN '24/01/30 ERROR Task - '
-            ELSE '24/01/30 FATAL Main - ' END || line, 1, 200), line_no)
+          ELSE 'driver log: ' || arg_min(substr(msg, 1, list_max(list_filter(range(0, 201), lambda k: strlen(substr(msg, 1, k)) <= 200))),
+            line_no)
             FILTER (n % 211 <> 11 AND (n % 97 = 5 OR n % 89 = 7)) END AS why
-        FROM logs WHERE n % 211 = 11 OR n % 97 = 5 OR n % 89 = 7 GROUP BY doc_id) l ON l.doc_id = s.run_id) s"""
+        FROM (SELECT *, CASE WHEN n % 97 = 5 THEN '24/01/30 ERROR Task - ' ELSE '24/01/30 FATAL Main - ' END || line AS msg
+          FROM logs) WHERE n % 211 = 11 OR n % 97 = 5 OR n % 89 = 7 GROUP BY doc_id) l ON l.doc_id = s.run_id) s"""
 
 
 @query("j2_false_success", J2_SQL, {"states": STATES, "logs": LOGS})

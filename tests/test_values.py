@@ -228,3 +228,14 @@ def test_remap_prefers_the_dashed_period(spark):
     got = {(r.exec_date, r.key): r.sensor_key for r in P.remap_periods(wanted, s).collect()}
     assert got == {("2026-03-03", "k"): "k#2026-03-03", ("2026-03-04", "k"): "k", ("2026-03-03", "m"): "m",
                    ("2026-03-03", "z"): None}
+
+
+def test_first_bytes_keep_whole_code_points(spark):
+    texts = ["", "abc", "a" * 9, "\u00e9" * 9, "\u4e2d" * 5, "ab\u4e2d\u4e2d\u4e2d", "\U0001f600" * 3, "abc\U0001f600\U0001f600", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    got = [r.x for r in df.select("i", V.first_bytes(F.col("t"), 8).alias("x")).orderBy("i").collect()]
+
+    def cut(t):
+        return t and max((t[:k] for k in range(len(t) + 1) if len(t[:k].encode()) <= 8), key=len)
+
+    assert got == [cut(t) for t in texts]
