@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slipway.operators import sla as L
 from slipway.plans.decisions import FAILX, KEYS, N4_SQL, N5_SQL, N6_SQL, N7_SQL, REQX, arrivals, baselines
 from slipway.plans.history import PERIODS, POLL_STARTS, W1_SQL, W2_ALL, W3_SQL, W4_SQL, W5_BASE, W5_SQL, _alarm_metrics
-from slipway.plans.base import LAST_FIRE
+from slipway.plans.base import EVENT_SQL, LAST_FIRE, _job_events
 from slipway.plans.decisions import D8_SQL, L9_SQL, PLAN, TIMERS, _daily_timers, deadline_sql, run_day
 from slipway.plans.registry import Tables, query, secs
 from slipway.plans.views import excluded, local
@@ -16,7 +16,7 @@ from slipway.operators.timers import NAME_KEY
 from slipway.schema import LOCK_SECONDS, RUN_KEY
 from slipway.session import work_dir
 from slipway.sources import fixtures as X
-from slipway.streaming import jobs as T, postrun as P, timers as C
+from slipway.streaming import eventlog as G, jobs as T, postrun as P, timers as C
 
 
 def sensor_stream(t: Tables):
@@ -313,3 +313,21 @@ def t10(t: Tables):
     T.alarm_stream(_alarm_metrics(Stream(t.spark, t.sf_dir)), out)
     return E.merge_periods(out.read(t.spark)).select(
         "name", "threshold", secs(F.col("period_start")).alias("period_s"), "value", "alarm")
+
+
+@query("t10_live_event_log", f"""
+    SELECT 'log' AS part, sk, event_type, ts_ms, message, NULL AS reason FROM ev WHERE ts_ms % 50 NOT IN (1, 2)
+    UNION ALL SELECT 'alerts', sk, event_type, ts_ms, message, NULL FROM ev WHERE ts_ms % 50 NOT IN (1, 2)
+    UNION ALL SELECT 'rejects', NULL, CASE WHEN ts_ms % 50 = 1 THEN event_type END, ts_ms, message,
+      CASE ts_ms % 50 WHEN 1 THEN 'missing pipeline' ELSE 'missing type' END FROM ev WHERE ts_ms % 50 IN (1, 2)""", {"ev": EVENT_SQL})
+def t10_log(t: Tables):
+    """Job events into log, alerts and rejects; every fiftieth time has no pipeline, the one after it no type."""
+    n = F.col("ts_ms") % 50
+    damaged = _job_events(t).withColumns({
+        "pipeline_id": F.when(n != 1, F.col("pipeline_id")), "event_type": F.when(n != 2, F.col("event_type"))})
+    events = stream_of(t, "event_stream", lambda: damaged)
+    log = G.EventLog(t.spark, work_dir(t.spark, "event-log"))
+    G.event_log_stream(events, log, lambda: t.now)
+    cols = ["part", "sk", "event_type", "ts_ms", "message", "reason"]
+    parts = [log.read(t.spark, name).withColumn("part", F.lit(name)) for name in G.TABLES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True).select(*cols)
