@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slipway.functions.ordered import earliest_by
+from slipway.session import staged
 
 TRANSIENT_KINDS = ["timeout", "deadline_exceeded", "dns_temporary"]  # fixed values
 MAX_ATTEMPTS = 3
@@ -57,3 +60,32 @@ def replayable(rejects: DataFrame, *, limit: int = MAX_ATTEMPTS) -> tuple[DataFr
     """(to run again, given up): rejected records with fewer than ``limit`` attempts go round once more."""
     again = rejects.filter(F.col("attempts") < limit)
     return again.withColumn("attempts", F.col("attempts") + 1), rejects.filter(F.col("attempts") >= limit)
+
+
+def replay(rejects: DataFrame, transform: Callable[[DataFrame], DataFrame], *, limit: int = MAX_ATTEMPTS
+           ) -> tuple[DataFrame, DataFrame]:
+    """Run rejected records through ``transform`` again until they pass or have had ``limit`` attempts.
+
+    ``rejects`` have ``attempts`` (not null); ``transform`` sees the attempt it makes there and adds ``error_kind``, null for a
+    record that passes. Returns (recovered, given up), both with ``attempts``; records that come with ``limit``
+    attempts are given up at once. There are at most ``limit`` passes, each over what still fails, and each is
+    written before the next reads it.
+    """
+    recovered, given_up, left = [], [], rejects
+    for _ in range(limit):
+        again, done = replayable(left, limit=limit)
+        given_up.append(done)
+        out = staged(transform(again), "replay")
+        recovered.append(out.filter("error_kind is null"))
+        left = out.filter("error_kind is not null")
+        if left.isEmpty():
+            break
+    given_up.append(left)
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p, allowMissingColumns=True)
+        return out
+
+    return union(recovered), union(given_up)

@@ -631,3 +631,20 @@ def q5(t: Tables):
         "event_id", (F.col("event_id") % 5).alias("attempts"))
     again, given_up = Q.replayable(rejects)
     return again.withColumn("decision", F.lit("again")).unionByName(given_up.withColumn("decision", F.lit("given up")))
+
+
+@query("q5_replay_runs", """
+    SELECT event_id, CASE WHEN made < 3 AND greatest(made + 1, need) <= 3 THEN greatest(made + 1, need)
+        ELSE greatest(made, 3) END AS attempts,
+      CASE WHEN made < 3 AND greatest(made + 1, need) <= 3 THEN 'recovered' ELSE 'given up' END AS decision
+    FROM (SELECT event_id, event_id % 5 AS made, event_id % 7 AS need FROM outs WHERE outcome = 'dead_letter')""",
+       {"outs": OUTCOMES})
+def q5_runs(t: Tables):
+    """Rejects run again until they pass or are given up; a record passes from its (event_id % 7)th attempt on."""
+    rejects = _records(t).filter(F.col("outcome") == "dead_letter").select(
+        "event_id", (F.col("event_id") % 5).alias("attempts"))
+    ok, given_up = Q.replay(rejects, lambda again: again.withColumn("error_kind", F.when(
+        F.col("attempts") < F.col("event_id") % 7, "invalid")))
+    cols = ["event_id", "attempts", "decision"]
+    return ok.withColumn("decision", F.lit("recovered")).select(*cols).unionByName(
+        given_up.withColumn("decision", F.lit("given up")).select(*cols))
