@@ -478,10 +478,13 @@ def e3(t: Tables):
     return E.alert_text(E.alerts(_decision_events(t))).select(*RUN_KEY, "ts_ms", "severity", "text")
 
 
-@query("e4_threads", f"""
+E4_SQL = f"""
     SELECT {KEYS}, ts_ms, event_type, message, first_value(message) OVER w AS thread_message, ts_ms = min(ts_ms) OVER
       (PARTITION BY {KEYS}) AND message = first_value(message) OVER w AS opens_thread
-    FROM evts WINDOW w AS (PARTITION BY {KEYS} ORDER BY ts_ms, message)""", {"evts": EVENTS})
+    FROM evts WINDOW w AS (PARTITION BY {KEYS} ORDER BY ts_ms, message)"""
+
+
+@query("e4_threads", E4_SQL, {"evts": EVENTS})
 def e4(t: Tables):
     a = E.alerts(_decision_events(t))
     out = E.threads(a.withColumn("event_id", F.struct("ts_ms", "message")), order=["event_id"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slipway.operators import sla as L
 from slipway.plans.decisions import FAILX, KEYS, N4_SQL, N5_SQL, N6_SQL, N7_SQL, REQX, arrivals, baselines
-from slipway.plans.history import PERIODS, POLL_STARTS, W1_SQL, W2_ALL, W3_SQL, W4_SQL, W5_BASE, W5_SQL, _alarm_metrics
+from slipway.plans.history import E4_SQL, EVENTS, PERIODS, POLL_STARTS, W1_SQL, W2_ALL, W3_SQL, W4_SQL, W5_BASE, W5_SQL, _alarm_metrics, _decision_events
 from slipway.plans.base import EVENT_SQL, LAST_FIRE, _job_events
 from slipway.plans.decisions import D8_SQL, L9_SQL, PLAN, TIMERS, _daily_timers, deadline_sql, run_day
 from slipway.plans.registry import Tables, query, secs
@@ -331,3 +331,13 @@ def t10_log(t: Tables):
     cols = ["part", "sk", "event_type", "ts_ms", "message", "reason"]
     parts = [log.read(t.spark, name).withColumn("part", F.lit(name)) for name in G.TABLES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True).select(*cols)
+
+
+@query("e4_live_threads", E4_SQL, {"evts": EVENTS})
+def e4_live(t: Tables):
+    """Alerts with their run's thread as they come."""
+    alerts = stream_of(t, "alert_stream", lambda: E.alerts(_decision_events(t)).select(
+        *RUN_KEY, "ts_ms", "event_type", "message"))
+    out = state(t, "threaded", G.THREADED_DDL)
+    G.thread_stream(alerts, G.thread_state(t.spark, work_dir(t.spark, "threads")), out)
+    return out.read(t.spark).drop("thread_ms")

@@ -1,4 +1,4 @@
-"""Live event log: each micro-batch goes to the log, the alerts and the rejects, and counts once for all three."""
+"""Live event log and alert threads: each micro-batch goes to the log, the alerts and the rejects, and counts once for all."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slipway.operators.events import ALERT_TYPES
+from slipway.schema import RUN_KEY
 from slipway.sources.control import event_rows
 from slipway.session import staged
-from slipway.streaming.jobs import RUN_DDL, run_available
+from slipway.streaming.jobs import RUN_DDL, StateTable, run_available
+from slipway.streaming.state import KeyedState
 
 COMMIT_DDL = "batch_id BIGINT, total BIGINT, logged BIGINT, alerted BIGINT, rejected BIGINT"
 _LOG = (
@@ -74,3 +76,31 @@ class EventLog:
 def event_log_stream(events: DataFrame, log: EventLog, now: Callable[[], Column], **options) -> None:
     """Append a stream of events (run key, event_type, message, ts_ms); ``now`` is asked once per micro-batch."""
     run_available(events, lambda batch, batch_id: log.write(batch, batch_id, now=now()), **options)
+
+
+THREAD_DDL = f"{RUN_DDL}, thread_ms BIGINT, thread_message STRING"
+THREADED_DDL = f"{EVENT_DDL}, thread_ms BIGINT, thread_message STRING, opens_thread BOOLEAN"
+
+
+def thread_state(spark: SparkSession, path: str, **options) -> KeyedState:
+    """The alert that opened each run's thread."""
+    return KeyedState(spark, path, THREAD_DDL, RUN_KEY, **options)
+
+
+def thread_stream(alerts: DataFrame, threads: KeyedState, out: StateTable, **options) -> None:
+    """Each alert with its run's thread: the first writer opens it, and later micro-batches only look it up.
+
+    Within a micro-batch the first alert by time and message opens the thread. An alert that comes late, in a later
+    micro-batch, joins the thread that is there, as a message already sent cannot move.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        known = threads.lookup(batch, batch_id)
+        first = batch.groupBy(*RUN_KEY).agg(F.min(F.struct("ts_ms", "message")).alias("_f"))
+        new = first.join(known.select(*RUN_KEY), RUN_KEY, "left_anti").select(
+            *RUN_KEY, F.col("_f.ts_ms").alias("thread_ms"), F.col("_f.message").alias("thread_message"))
+        opens = (F.col("ts_ms") == F.col("thread_ms")) & F.col("message").eqNullSafe(F.col("thread_message"))
+        out.write(batch.join(known.unionByName(new), RUN_KEY).select(
+            *RUN_KEY, "ts_ms", "event_type", "message", "thread_ms", "thread_message", opens.alias("opens_thread")), batch_id)
+        threads.update(new, batch_id)
+
+    run_available(alerts, each, **options)

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from slipway.operators.events import threads
+from slipway.schema import RUN_KEY
 from slipway.session import work_dir
 from slipway.sources.control import event_rows
 from slipway.streaming import eventlog as G, jobs as T
@@ -69,3 +71,21 @@ def test_empty_batches(spark):
     log.write(only_bad, 1, now=now())
     assert log.read(spark, "log").count() == 0 and log.read(spark, "alerts").count() == 0
     assert [r.reason for r in log.read(spark, "rejects").collect()] == ["missing pipeline"]
+
+
+def test_threads_over_batches(spark):
+    path = work_dir(spark, "alerts")
+    every = events(spark, 90).withColumn("exec_date", F.concat(F.lit("d"), (F.col("ts_ms") % 5).cast("string")))
+    every = every.filter("event_type is not null").withColumn("ts_ms", F.expr("ts_ms - ts_ms % 7200000"))  # ties
+    cuts = [0, 1_706_000_000_000 + 30 * 3_600_000, 1_706_000_000_000 + 60 * 3_600_000, 1 << 50]
+    for lo, hi in zip(cuts, cuts[1:]):
+        every.filter(f"ts_ms >= {lo - lo % 7_200_000} and ts_ms < {hi - hi % 7_200_000}").coalesce(1).write.mode("append").parquet(path)
+    out = T.StateTable(spark, work_dir(spark, "threaded"), G.THREADED_DDL)
+    state = G.thread_state(spark, work_dir(spark, "threads"), buckets=3, deltas=2)
+    G.thread_stream(T.read_stream(spark, path, every.schema, files_per_batch=1), state, out)
+    batch = threads(every.withColumn("at", F.struct("ts_ms", "message")), order=["at"]).select(
+        *RUN_KEY, "ts_ms", "message", F.col("thread_id.message").alias("thread_message"), "opens_thread")
+    got = out.read(spark).select(*batch.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
+    runs = every.select(*RUN_KEY).distinct().count()
+    assert state.read(spark).count() == runs == got.filter("opens_thread").count()
