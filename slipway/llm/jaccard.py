@@ -28,6 +28,7 @@ SLICE = 4 << 20  # texts whose signatures are grouped before they are dealt out
 ROUNDS = 2  # of comparisons with one set per signature, before all sets of different components are compared
 ROWS = 8000  # and their number: an entry's number must fit 15 bits, and a text has three entries at most
 _U = np.uint64
+SKETCH = _U(0x2545F4914F6CDD1D)  # salt of the sketches
 
 
 def _bands() -> Iterator[tuple[int, int]]:
@@ -75,21 +76,38 @@ def _set_hash(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return T.mix(total[first[1:]] - total[first[:-1]] + size * _U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def _sketches(g: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Per set a bitmap of four to eight bits a token: a bit says whether an odd number of tokens fall on it.
+
+    Two sets' bitmaps differ in no more bits than the sets differ in tokens. The number of bits is a power of two, so a
+    bitmap folds to half its width by xor of its halves.
+    """
+    size = np.diff(first)
+    words = 1 << np.ceil(np.log2(np.maximum(4 * size, 256))).astype(np.int64) - 6
+    start = np.concatenate(([0], np.cumsum(words)))
+    owner = np.repeat(np.arange(len(size)), size)
+    bit = T.mix(g ^ SKETCH) & (words[owner] * 64 - 1).astype(np.uint64)
+    out = np.zeros(start[-1], np.uint64)
+    np.bitwise_xor.at(out, start[owner] + (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
+    return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(out.view(np.int64)))
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its set's size and hash (kind 0); per slice its frequent shingles (kind 1)."""
+    """Per document its set's size, hash and sketch (kind 0); per slice its frequent shingles (kind 1)."""
     for parts in T.groups(batches, "text", SLICE, ROWS):
         tokens = []
         for part in parts:
             g, first = shingle_sets(part.column("text"))
             tokens.append(g)
             yield pa.record_batch([pa.array(np.zeros(part.num_rows, np.int8)), part.column("id"), part.column("row"),
-                                   pa.array(np.diff(first)), pa.array(_set_hash(g, first))],
-                                  names=["kind", "id", "row", "n", "cls"])
+                                   pa.array(np.diff(first)), pa.array(_set_hash(g, first)), _sketches(g, first)],
+                                  names=["kind", "id", "row", "n", "cls", "sketch"])
         value, times = np.unique(np.concatenate(tokens), return_counts=True)
         hot = times >= HOT_LEAST
         none = pa.nulls(hot.sum(), pa.int64())
         yield pa.record_batch([pa.array(np.ones(hot.sum(), np.int8)), none, none, pa.array(times[hot]),
-                               pa.array(value[hot].view(np.int64))], names=["kind", "id", "row", "n", "cls"])
+                               pa.array(value[hot].view(np.int64)), pa.nulls(hot.sum(), pa.list_(pa.int64()))],
+                              names=["kind", "id", "row", "n", "cls", "sketch"])
 
 
 def _signatures(g: np.ndarray, owner: np.ndarray, s: Scheme, n_docs: int, hot: tuple[np.ndarray, np.ndarray]):
@@ -255,6 +273,26 @@ def _needed_sets(texts: DataFrame, classes: DataFrame, pairs: DataFrame, scratch
                          .dropDuplicates(["cls"]).select("cls", "tokens"))
 
 
+def _may_link(a: str, b: str, n: str) -> str:
+    """Whether sketches ``a`` and ``b`` of sets of ``n`` tokens together leave a link possible: linked sets differ in at
+    most a ninth of their tokens."""
+    k = f"least(size({a}), size({b}))"
+    fit = lambda s: f"if(size({s}) > {k}, {_fold(s, k)}, {s})"
+    return f"aggregate(zip_with({fit(a)}, {fit(b)}, (p, q) -> bit_count(p ^ q)), 0, (t, v) -> t + v) <= ({n}) div 9"
+
+
+def _fold(s: str, k: str) -> str:
+    """Sketch ``s`` of twice ``k`` words at half its width."""
+    return f"zip_with(slice({s}, 1, {k}), slice({s}, {k} + 1, {k}), (p, q) -> p ^ q)"
+
+
+def _promising(pairs: DataFrame, sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sketches leave a link possible."""
+    side = lambda k: sketches.select(F.col("cls").alias(k), F.struct("sketch", "n").alias(f"s{k}"))
+    return scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").filter(
+        F.expr(_may_link("sa.sketch", "sb.sketch", "sa.n + sb.n"))).select("a", "b"))
+
+
 def _fits(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= 80 * greatest({a}, {b})"
 
@@ -275,15 +313,16 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a null id has a null component. An empty table gives no rows. Other columns are not read.
 
     Equal sets form one class and are compared once. The first rounds compare each class with one other that shares a
-    signature, another in each round; the last compares every two classes that share a looked-up signature and are
-    not yet in one component. So a group of n near copies costs about n comparisons, and no link between components
-    is lost.
+    signature, another in each round; the last compares every two classes that share a looked-up signature, are not yet
+    in one component, and whose sketches (``_sketches``) differ in no more bits than linked sets may differ in tokens.
+    So a group of n near copies costs about n comparisons, a family of texts that resemble but do not link is told
+    apart in the join, and no link between components is lost.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"),
                         F.col(text_col).alias("text"))
-    seen = scratch.table(texts.mapInArrow(_describe, "kind byte, id long, row long, n long, cls long"))
+    seen = scratch.table(texts.mapInArrow(_describe, "kind byte, id long, row long, n long, cls long, sketch array<long>"))
     texts = texts.select("id", "text")
     hot = seen.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(HOT_TOKENS)
     hot = hot.toArrow()
@@ -293,6 +332,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = seen.filter("kind = 0")
     classes = scratch.table(members.filter("n > 0").groupBy("cls").agg(
         F.min("id").alias("rep"), F.first("n").alias("n")).filter("rep is not null"))
+    sketches = scratch.table(members.join(classes.select("cls", F.col("rep").alias("id")), ["cls", "id"], "left_semi")
+                             .select("cls", "n", "sketch").dropDuplicates(["cls"]))
 
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = scratch.table(texts.mapInArrow(_index(sent, buckets), _BLOB).groupBy("bucket").applyInArrow(
@@ -303,34 +344,46 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     looked = scratch.table(met.filter("not local or asked").select("sig").distinct())
     known = scratch.table(met.join(looked, "sig", "left_semi").groupBy("sig", "cls").agg(
         F.max("asked").alias("asked"), F.first("low").alias("low"), F.max("lookups").alias("lookups")))
+    scratch.drop(met, looked)
     scratch.settle()
 
     links = spark.createDataFrame([], "a long, b long")
     groups = classes.select("cls", "n", F.col("rep").alias("component"))
     rest = _unsettled(known, groups, scratch)
+    scratch.drop(known)
+    used = spark.createDataFrame([], "cls long, used boolean")
     for _ in range(ROUNDS):
-        # The set that shares most with others is likely the one the others were copied from.
-        pivots = scratch.table(rest.groupBy("sig").agg(F.max_by(
-            F.struct("cls", "n", "component"), F.struct("central", "cls")).alias("p")))
+        # The set that shares most with others is likely the one the others were copied from; each round takes new ones.
+        pivots = scratch.table(rest.join(used, "cls", "left").groupBy("sig").agg(F.max_by(
+            F.struct("cls", "n", "component"), F.struct(F.col("used").isNull(), "central", "cls")).alias("p")))
+        used = scratch.table(used.unionByName(pivots.select("p.cls", F.lit(True).alias("used"))).distinct())
         star = rest.join(pivots, "sig").filter(
             f"component <> p.component and {_fits('n', 'p.n')} and {_IN_BAND.format(a='n', b='p.n', low='low')}")
         pairs = scratch.table(star.groupBy("cls", F.col("p.cls").alias("a")).agg(
             F.count_if("asked").alias("shared"), F.max("lookups").alias("lookups"),
             F.expr("first(n + p.n) div 9").alias("differ")).filter("shared >= lookups - differ").select(
             "a", F.col("cls").alias("b")))
+        pairs = _promising(pairs, sketches, scratch)
         links = scratch.table(links.unionByName(_verified(pairs, _needed_sets(texts, classes, pairs, scratch), scratch)))
         groups = _labels(links, classes, scratch)
-        rest = _unsettled(rest.select(*known.columns), groups, scratch)
+        before, rest = rest, _unsettled(rest.select(*known.columns), groups, scratch)
+        scratch.drop(before, pivots)
         scratch.settle()
 
+    # The join carries sketches at a quarter of their width; the pairs that it leaves are tested at the whole width.
+    narrow = sketches.withColumn("sketch", F.expr(_fold("sketch", "cast(size(sketch) / 2 as int)"))).withColumn(
+        "sketch", F.expr(_fold("sketch", "cast(size(sketch) / 2 as int)")))
+    rest = scratch.table(rest.drop("central").join(narrow.select("cls", "sketch"), "cls"))
     x, y = rest.alias("x"), rest.alias("y")
     meet = x.join(y, F.expr(
         "x.sig = y.sig and x.cls < y.cls and x.component <> y.component and (x.asked or y.asked) and "
-        f"{_fits('x.n', 'y.n')} and {_IN_BAND.format(a='x.n', b='y.n', low='x.low')}"))
+        f"{_fits('x.n', 'y.n')} and {_IN_BAND.format(a='x.n', b='y.n', low='x.low')} and "
+        f"{_may_link('x.sketch', 'y.sketch', 'x.n + y.n')}"))
     more = scratch.table(meet.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(
         F.count_if("x.asked").alias("sx"), F.count_if("y.asked").alias("sy"), F.max("x.lookups").alias("lx"),
         F.max("y.lookups").alias("ly"), F.expr("first(x.n + y.n) div 9").alias("differ")).filter(
         "sx >= lx - differ and sy >= ly - differ").select("a", "b"))
+    more = _promising(more, sketches, scratch)
     links = links.unionByName(_verified(more, _needed_sets(texts, classes, more, scratch), scratch))
     groups = _labels(links, classes, scratch)
 

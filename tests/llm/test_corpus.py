@@ -243,6 +243,32 @@ def test_jaccard_near_the_threshold(spark, seed):
     assert listed(jaccard.jaccard_groups(table(spark, rows)).drop("row")) == brute.jaccard(rows)
 
 
+@pytest.mark.parametrize("family", ["changed", "passage"])
+def test_jaccard_families_that_do_not_link_are_told_apart(spark, monkeypatch, family):
+    """Texts that resemble each other but mostly do not link: few of their pairs are compared token by token."""
+    compared = []
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest, old=jaccard._verified: (
+        compared.append(pairs.count()), old(pairs, *rest))[1])
+
+    def texts(n):
+        rng = random.Random(n)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        out = []
+        for k in range(n):
+            if family == "changed":
+                words = list(base)
+                for at in rng.sample(range(200), rng.randint(1, 8)):
+                    words[at] = f"v{rng.randrange(10**6)}"
+            else:
+                words = base[:60] + [f"v{rng.randrange(10**6)}" for _ in range(140)]
+            out.append((k, " ".join(words)))
+        return out
+
+    rows = texts(400)
+    assert listed(jaccard.jaccard_groups(table(spark, rows)).drop("row")) == brute.jaccard(rows)
+    assert sum(compared) <= 0.01 * 400 * 399 / 2, compared
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 99), (7, 7), (None, 1), (60, 61), (61, 62), (60, 62), (62, 70)]
     got = components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"))
