@@ -254,10 +254,11 @@ def p2(t: Tables):
       UNION ALL SELECT 'sensor', NULL, NULL, NULL FROM slog UNION ALL SELECT 'config', NULL, NULL, NULL FROM cfg)
     GROUP BY kind""")
 def p3(t: Tables):
+    # Some five million epoch milliseconds add up to more than a BIGINT holds.
     return P.split_keys(t.control).groupBy("kind").agg(
         F.count("*").alias("n"), F.count("schedule_id").alias("n_schedule"), F.count("exec_date").alias("n_date"),
-        F.min("exec_date").alias("lo"), F.max("exec_date").alias("hi"), F.sum("event_ms").alias("ms"),
-        F.count("key_error").alias("n_bad"))
+        F.min("exec_date").alias("lo"), F.max("exec_date").alias("hi"),
+        F.sum(F.col("event_ms").cast("decimal(28,0)")).alias("ms"), F.count("key_error").alias("n_bad"))
 
 
 @query("p4_execution_date", f"""

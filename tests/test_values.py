@@ -239,3 +239,14 @@ def test_first_bytes_keep_whole_code_points(spark):
         return t and max((t[:k] for k in range(len(t) + 1) if len(t[:k].encode()) <= 8), key=len)
 
     assert got == [cut(t) for t in texts]
+
+
+def test_sum_of_event_times_is_wider_than_a_bigint(spark):
+    from types import SimpleNamespace
+
+    from slipway.plans.base import p3
+
+    ms = 9_000_000_000_000_000_000
+    control = spark.createDataFrame([("job", "PIPELINE#p1", f"JOB#cron#2024-01-05#{ms}")] * 2, "kind string, pk string, sk string")
+    row = p3(SimpleNamespace(control=control)).first()
+    assert (row.n, row.ms, row.n_bad) == (2, 2 * ms, 0)
