@@ -10,6 +10,7 @@ from slipway.operators import sla as L
 from slipway.operators.clean import run_plan
 from slipway.operators.rules import evaluate
 from slipway.schema import RUN_KEY
+from slipway.session import staged
 
 # Provider state -> (run state, failure category).
 STATE_TABLE = {
@@ -108,16 +109,24 @@ def completion_transitions(outcomes: DataFrame, *, outcome: str = "outcome") ->
         F.when(F.col(outcome) == "success", "COMPLETED").otherwise("FAILED_FINAL").alias("status"))
 
 
-def evaluate_ticks(ticks: DataFrame, configs: DataFrame, sensor_log: DataFrame, *, bucket_ms: int = HOUR_MS
-                   ) -> DataFrame:
-    """Rule verdict of each (run, tick_ms) on the sensor history up to that moment: adds ``passed``, ``n_passed``.
+def _rules(configs: DataFrame) -> DataFrame:
+    return configs.select("pipeline_id", F.col("cfg.validation.trigger").alias("_mode"),
+                          F.col("cfg.validation.rules").alias("_rules"))
+
+
+def _passes(n_passed: Column) -> Column:
+    """The verdict from a count of passed rules, their mode ``_mode`` and number ``_n``."""
+    any_mode = F.upper(F.coalesce("_mode", F.lit(""))) == "ANY"
+    return F.when(any_mode, n_passed > 0).otherwise(n_passed == F.col("_n"))
+
+
+def _tick_counts(ticks: DataFrame, rules: DataFrame, sensor_log: DataFrame, bucket_ms: int) -> DataFrame:
+    """``n_passed`` of each (run, tick_ms) for which any rule's sensor was there.
 
     Each rule asks for the three spellings of its key that exist at all; the as-of lookup is one linear union,
-    and only (position, priority, verdict) leave it.
+    and only (position, priority, verdict) leave it. Verdicts are dealt out by (run, tick) once, which serves both steps
+    of the count.
     """
-    rules = configs.select("pipeline_id", F.col("cfg.validation.trigger").alias("_mode"),
-                           F.col("cfg.validation.rules").alias("_rules"))
-    sized = ticks.join(rules.select("pipeline_id", "_mode", F.size("_rules").alias("_n")), "pipeline_id")
     compact = F.replace("exec_date", F.lit("-"), F.lit(""))
     key = F.col("rule.key")
     asked = ticks.select(*RUN_KEY, "tick_ms").join(rules.select("pipeline_id", F.posexplode("_rules").alias("pos", "rule")),
@@ -129,28 +138,48 @@ def evaluate_ticks(ticks: DataFrame, configs: DataFrame, sensor_log: DataFrame,
     hit = as_of(asked, sensor_log, ["pipeline_id", "sensor_key"], probe_ms="tick_ms", fact_ms="ts_ms",
                 fact_order=["seq"], payload=["data"], out="_s", bucket_ms=bucket_ms)
     found = hit.filter(F.col("_s").isNotNull()).withColumn("data", F.col("_s.data")).drop("_s")
-    verdicts = evaluate(found, now=F.timestamp_millis("tick_ms"))
-    best = verdicts.groupBy(*RUN_KEY, "tick_ms", "pos").agg(F.min_by("passed", "_p").alias("passed"))
-    counts = best.groupBy(*RUN_KEY, "tick_ms").agg(F.count_if("passed").alias("n_passed"))
+    verdicts = evaluate(found, now=F.timestamp_millis("tick_ms")).select(*RUN_KEY, "tick_ms", "pos", "_p", "passed")
+    best = verdicts.repartition(*RUN_KEY, "tick_ms").groupBy(*RUN_KEY, "tick_ms", "pos").agg(
+        F.min_by("passed", "_p").alias("passed"))
+    return best.groupBy(*RUN_KEY, "tick_ms").agg(F.count_if("passed").alias("n_passed"))
+
+
+def evaluate_ticks(ticks: DataFrame, configs: DataFrame, sensor_log: DataFrame, *, bucket_ms: int = HOUR_MS
+                   ) -> DataFrame:
+    """Rule verdict of each (run, tick_ms) on the sensor history up to that moment: adds ``passed``, ``n_passed``."""
+    rules = _rules(configs)
+    sized = ticks.join(rules.select("pipeline_id", "_mode", F.size("_rules").alias("_n")), "pipeline_id")
+    counts = _tick_counts(ticks, rules, sensor_log, bucket_ms)
     out = sized.join(counts, [*RUN_KEY, "tick_ms"], "left").withColumn("n_passed", F.coalesce("n_passed", F.lit(0)))
-    any_mode = F.upper(F.coalesce("_mode", F.lit(""))) == "ANY"
-    return out.withColumn("passed", F.when(any_mode, F.col("n_passed") > 0).otherwise(
-        F.col("n_passed") == F.col("_n"))).withColumnRenamed("_n", "n_rules").drop("_mode")
+    return out.withColumn("passed", _passes(F.col("n_passed"))).withColumnRenamed("_n", "n_rules").drop("_mode")
 
 
 def readiness_replay(runs: DataFrame, configs: DataFrame, sensor_log: DataFrame, *, start_ms: str = "start_ms",
                      bucket_ms: int = HOUR_MS) -> DataFrame:
-    """Evaluate each run at its start and every interval inside the window; first passing tick or exhausted."""
+    """Evaluate each run at its start and every interval inside the window; first passing tick or exhausted.
+
+    Only the ticks that pass come back to their run. A tick without any sensor passes where there are no rules and
+    not one of them has to pass; then the first one does.
+    """
     plan = run_plan(configs).select("pipeline_id", "eval_interval_s", "eval_window_s")
     n = F.greatest(F.lit(1), F.ceil(F.col("eval_window_s") / F.col("eval_interval_s"))).cast("bigint")
-    ticks = runs.select(*RUN_KEY, F.col(start_ms).alias("start_ms")).join(plan, "pipeline_id").withColumn("n_ticks", n)
-    ticks = ticks.select(*RUN_KEY, "start_ms", "n_ticks", "eval_interval_s",
-                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_ticks") - 1)).alias("tick"))
-    ticks = ticks.withColumn("tick_ms", F.col("start_ms") + F.col("tick") * F.col("eval_interval_s") * 1000)
-    done = evaluate_ticks(ticks, configs, sensor_log, bucket_ms=bucket_ms)
+    planned = runs.select(*RUN_KEY, F.col(start_ms).alias("start_ms")).join(plan, "pipeline_id").select(
+        *RUN_KEY, "start_ms", n.alias("n_ticks"), (F.col("eval_interval_s") * 1000).alias("_step"))
+    ticks = planned.select(*RUN_KEY, "start_ms", "_step", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.col("n_ticks") - 1)).alias("tick"))
+    ticks = ticks.withColumn("tick_ms", F.col("start_ms") + F.col("tick") * F.col("_step"))
+    rules = _rules(configs)
+    sizes = rules.select("pipeline_id", "_mode", F.size("_rules").alias("_n"))
+    passing = _tick_counts(ticks, rules, sensor_log, bucket_ms).join(sizes, "pipeline_id").filter(
+        _passes(F.col("n_passed"))).select(*RUN_KEY, "tick_ms")
+    unruled = sizes.filter(_passes(F.lit(0))).select("pipeline_id", F.lit(0).cast("bigint").alias("_free")).distinct()
+    past = F.col("tick_ms") - F.col("start_ms")
+    at = F.when((past >= 0) & (past % F.col("_step") == 0) & (past < F.col("n_ticks") * F.col("_step")),
+                F.floor(past / F.col("_step")))
+    done = planned.join(passing, RUN_KEY, "left").join(unruled, "pipeline_id", "left").withColumn(
+        "tick", F.coalesce("_free", at))
     first = done.groupBy(*RUN_KEY, "start_ms", "n_ticks").agg(
-        F.min(F.when(F.col("passed"), F.col("tick"))).alias("tick"),
-        F.min(F.when(F.col("passed"), F.col("tick_ms"))).alias("passed_ms"))
+        F.min("tick").alias("tick"), F.min(F.col("start_ms") + F.col("tick") * F.col("_step")).alias("passed_ms"))
     ok = F.col("tick").isNotNull()
     return first.withColumns({
         "status": F.when(ok, "passed").otherwise("exhausted"),
@@ -220,7 +249,8 @@ def run_outcomes(runs: DataFrame, configs: DataFrame, sensor_log: DataFrame, job
     A run whose validation is exhausted keeps its RUNNING row until it goes stale. The verdict compares the end of
     the run with the deadline planned at its start.
     """
-    ready = readiness_replay(runs, configs, sensor_log, start_ms=start_ms)
+    # One narrow row per run, read twice below: stored once instead of being replayed twice.
+    ready = staged(readiness_replay(runs, configs, sensor_log, start_ms=start_ms), "readiness")
     polled = poll_replay(ready.filter(F.col("status") == "passed"), configs, job_log)
     j = ready.select(*RUN_KEY, "start_ms", "passed_ms", F.col("status").alias("validation")).join(
         polled.select(*RUN_KEY, "outcome", "poll_exhausted", "polls", "finished_ms"), RUN_KEY, "left")

@@ -14,7 +14,7 @@ from slipway.plans.base import LAST_FIRE
 from slipway.plans.registry import Tables, cents, query, secs
 from slipway.plans.views import NOW, excluded, local, utc
 from slipway.schema import RUN_KEY
-from slipway.session import work_dir
+from slipway.session import staged, work_dir
 from slipway.sources import control as S
 
 # ---- run states and logs ---------------------------------------------------------------------------------
@@ -204,7 +204,7 @@ J9_BASE = f"""
     UNION ALL SELECT {KEYS}, 'infra-trigger-exhausted', 'RETRY_EXHAUSTED', event_ms, TRUE FROM jlog
       WHERE error LIKE '%status 503'""", {**REPLAY_VIEWS, "polls": RUN_POLL})
 def j6(t: Tables):
-    ready = J.readiness_replay(starts(t), t.configs, t.sensor_log)
+    ready = staged(J.readiness_replay(starts(t), t.configs, t.sensor_log), "readiness")
     polled = J.poll_replay(ready.filter(F.col("status") == "passed"), t.configs, t.job_log)
     failed = t.job_log.filter(F.col("error").endswith("status 503")).withColumnRenamed("event_ms", "at_ms")
     return J.exhaustion_rows(ready, polled, failed).select(*RUN_KEY, "event", "event_type", "event_ms", "release_lock")

@@ -147,3 +147,30 @@ def test_failing_check_does_not_stop_the_others(spark, tmp_path):
     row = status.first()
     assert findings.count() == 1 and row.healthy is False and row.event_type == "WATCHDOG_DEGRADED"
     assert row.checks["good"] == "ok"
+
+
+def test_run_outcomes_replay_readiness_once(spark):
+    """The first passing tick of each run, without rules as well; the outcome reads the stored replay and no sensor."""
+    from slipway.operators import runs as J
+
+    def cfg(p, mode, rules):
+        return (p, f'{{"pipeline": {{"id": "{p}"}}, "schedule": {{"evaluation": {{"window": "10m", "interval": "5m"}}}}, '
+                   f'"validation": {{"trigger": "{mode}", "rules": [{rules}]}}, "job": {{"type": "command"}}}}')
+
+    rule = '{"key": "rows", "check": "gte", "field": "count", "value": 10}'
+    conf = spark.createDataFrame([cfg("p1", "ALL", rule), cfg("p2", "ALL", ""), cfg("p3", "ANY", ""), cfg("p4", "ALL", rule)],
+                                 "pipeline_id string, text string").select(
+        "pipeline_id", F.from_json("text", CONFIG_STRUCT).alias("cfg"))
+    runs = spark.createDataFrame([(f"p{n}", "stream", "2024-01-05", 1_000_000) for n in (1, 2, 3, 4)] + [("p1", "stream", None, 1_000_000)],
+                                 "pipeline_id string, schedule_id string, exec_date string, start_ms long")
+    sensors = spark.createDataFrame([("p1", "rows", 1_200_000, 1, '{"count": 12}')],
+                                    "pipeline_id string, sensor_key string, ts_ms long, seq long, j string").withColumn(
+        "data", F.from_json("j", "map<string,variant>")).drop("j")
+    ready = J.readiness_replay(runs, conf, sensors).select("pipeline_id", "exec_date", "tick", "passed_ms", "evaluations")
+    day = "2024-01-05"
+    assert sorted(ready.collect(), key=str) == sorted([
+        ("p1", day, 1, 1_300_000, 2), ("p1", None, None, None, 2), ("p2", day, 0, 1_000_000, 1), ("p3", day, None, None, 2),
+        ("p4", day, None, None, 2)], key=str)
+    log = spark.createDataFrame([], "pipeline_id string, schedule_id string, exec_date string, event_ms long, seq long, event string")
+    out = J.run_outcomes(runs, conf, sensors, log)
+    assert "Window [" not in out._jdf.queryExecution().analyzed().toString()
