@@ -39,10 +39,15 @@ def capture_baselines(completions: DataFrame, configs: DataFrame, sensor_log: Da
                        F.col("s.seq").alias("sensor_seq"), F.col("s.data").alias("baseline"))
 
 
+def drift_field(field: Column) -> Column:
+    """The name of the value that drifts."""
+    return F.coalesce(F.nullif(field, F.lit("")), F.lit(DEFAULT_FIELD))
+
+
 def drift_columns(df: DataFrame, *, previous: str = "baseline", current: str = "data", field: str = "drift_field",
                   threshold: str = "drift_threshold") -> DataFrame:
     """Add previous and current values, ``delta`` and ``drifted`` (absolute change above the threshold)."""
-    name = F.coalesce(F.nullif(F.col(field), F.lit("")), F.lit(DEFAULT_FIELD))
+    name = drift_field(F.col(field))
     out = once(df, {"previous_count": V.number(V.field(F.col(previous), name)),
                     "current_count": V.number(V.field(F.col(current), name))})
     out = out.withColumn("delta", F.col("current_count") - F.col("previous_count"))

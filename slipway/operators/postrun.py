@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from slipway.functions import zones as Z
 from slipway.functions.ordered import as_of
-from slipway.operators.drift import drift_columns
+from slipway.operators.drift import drift_columns, drift_field
 from slipway.operators.runs import evaluate_ticks
 from slipway.schema import RUN_KEY
+from slipway.session import staged
 
 
 def check_writes(matched: DataFrame, statuses: DataFrame, baselines: DataFrame, resets: DataFrame, sensor_log: DataFrame,
@@ -22,14 +23,21 @@ def check_writes(matched: DataFrame, statuses: DataFrame, baselines: DataFrame,
     and any other is judged by all post-run rules on the sensors as they were at that moment, this write included.
     Writes of runs without a status, or with any other one, give no row.
     """
-    w = as_of(matched, statuses, RUN_KEY, probe_ms="ts_ms", fact_ms="at_ms", fact_order=["seq"], payload=["status"], out="_s")
+    # Of the configs and the data only what is read below travels along.
+    exclude = F.struct(F.col("cfg.schedule.exclude").alias("exclude"))
+    field = drift_field(F.col("drift_field"))
+    w = matched.select(*RUN_KEY, "ts_ms", "seq", "rule_key", "drift_field", "drift_threshold", F.struct(
+        exclude.alias("schedule")).alias("cfg"), F.map_filter("data", lambda k, _: k == field).alias("data"))
+    w = as_of(w, statuses, RUN_KEY, probe_ms="ts_ms", fact_ms="at_ms", fact_order=["seq"], payload=["status"], out="_s")
     w = w.withColumn("_status", F.col("_s.status")).filter(F.col("_status").isin("RUNNING", "COMPLETED")).drop("_s")
     w = w.withColumn("_before", F.col("ts_ms") - 1)
     w = as_of(w, resets, RUN_KEY, probe_ms="ts_ms", fact_ms="at_ms", fact_order=[], payload=["at_ms"], out="_reset")
     w = as_of(w, baselines, [*RUN_KEY, "rule_key"], probe_ms="_before", fact_ms="captured_ms", fact_order=[],
               payload=["captured_ms", "baseline"], out="_b")
     valid = F.col("_reset").isNull() | (F.col("_b.captured_ms") >= F.col("_reset.at_ms"))
-    w = drift_columns(w.withColumn("baseline", F.when(valid, F.col("_b.baseline"))))
+    # The writes with their status and drift are read three times below: stored once, without sensor data.
+    w = staged(drift_columns(w.withColumn("baseline", F.when(valid, F.col("_b.baseline")))).select(
+        *RUN_KEY, "ts_ms", "seq", "rule_key", "previous_count", "current_count", "drifted", "_status", "cfg"), "checked-writes")
     completed = F.col("_status") == "COMPLETED"
 
     judged = w.filter(completed & ~F.col("drifted"))

@@ -41,10 +41,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate result once and read it back: cuts the lineage and survives lost executors."""
+def staged(df: DataFrame, name: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Write an intermediate result once and read it back: cuts the lineage and survives lost executors.
+
+    ``by`` names columns whose values get folders of their own, which filters on them prune.
+    """
     path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -82,7 +82,8 @@ def post_run_stream(changes: DataFrame, read_configs: Callable[[], DataFrame], s
     outcomes then equal ``post_run_batch``. A rerun is a reset: it hides the baselines captured before it.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        writes, statuses, completions, resets = _split(batch)
+        # A micro-batch is read many times and cannot be pruned itself: kinds and columns of the stored copy can.
+        writes, statuses, completions, resets = _split(staged(batch, "post-run-changes", ["kind"]))
         configs = read_configs()
         asked = writes.select("pipeline_id").unionByName(completions.select("pipeline_id"))
         known = states.sensors.lookup(asked, batch_id)

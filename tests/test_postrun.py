@@ -133,3 +133,9 @@ def test_post_run_without_rows(spark):
     assert P.post_run_batch(frame(spark, []), configs(spark)).count() == 0
     writes = [c for c in some_changes(1) if c[0] == "sensor"]
     assert P.post_run_batch(frame(spark, writes), configs(spark)).count() == 0  # no run has a status
+
+
+def test_checked_writes_are_worked_out_once(spark):
+    """Only the as-of lookup of the rules' sensors is left behind the stored writes; its windows are a bucket's and a key's."""
+    plan = P.post_run_batch(spark.createDataFrame([], P.CHANGE_DDL), configs(spark))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Window [") == 2
