@@ -3,7 +3,8 @@
 Positions are sampled by content, so texts of any size fit: in every 50-byte string the position of its smallest
 26-byte hash is the string's anchor, and equal strings have equal anchors. All strings with one anchor position form a
 context. The index sorts contexts instead of all suffixes; contexts that share an anchor string but are not equal are
-taken apart into their 50-byte strings, which are sorted the same way.
+taken apart into their 50-byte strings, which are sorted the same way. They travel as bytes, once, to the bucket of their
+anchor and are taken apart there; those of an anchor with very many contexts are dealt out string by string.
 
 Spark deals anchors out by hash. Each bucket is an index family of its own: documents come in batches of rising id, a
 batch is sorted, scanned against the levels below, and added as a level; levels of like size merge, so there are never
@@ -26,6 +27,8 @@ GRAM = 26
 BATCH = 1 << 18  # entries of a batch, the smallest level
 GROUP = 24 << 20  # texts whose equal entries are joined before they are dealt out
 KEY_BITS = 1 << 28  # 32 MB: the fixed size of the filter of anchors to take apart
+HOT_CONTEXTS = 1 << 14  # contexts of an anchor from which its strings are spread over all buckets
+HOT_BITS = 1 << 23  # 1 MB: the fixed size of the filter of such anchors
 _BLOCK = 1 << 20
 _U = np.uint64
 
@@ -73,6 +76,42 @@ def first_documents(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sums(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a polynomial over bytes, and the inverse powers that move a stretch of it to the front."""
+    r, inv = T.powers(len(part) + 1)
+    total = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum((part.astype(np.uint64) + _U(1)) * r[:len(part)], out=total[1:])
+    return total, inv
+
+
+def _hash(total: np.ndarray, inv: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return T.mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64) * _U(3))
+
+
+def strings(data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Keys of all 50-byte strings of pieces that lie one behind another, each with the bytes of its ``n`` strings.
+
+    The keys are those that ``contexts`` gives to strings. Work goes in blocks of pieces.
+    """
+    size = n.astype(np.int64) + LENGTH - 1
+    to = np.cumsum(size)
+    out, a = [np.zeros(0, np.uint64)], 0
+    while a < len(n):
+        low = int(to[a] - size[a])
+        b = max(a + 1, int(np.searchsorted(to, low + _BLOCK, "right")))
+        total, inv = _sums(data[low:int(to[b - 1])])
+        start = _ranges(to[a:b] - size[a:b] - low, n[a:b])
+        out.append(_hash(total, inv, start, start + LENGTH))
+        a = b
+    return np.concatenate(out)
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (``n`` of them) for each start."""
+    n = n.astype(np.int64)
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def contexts(buf: np.ndarray, offsets: np.ndarray, live=None):
     """All contexts of a flat buffer of texts: first string's start, last string's start, anchor, key, text.
 
@@ -85,9 +124,7 @@ def contexts(buf: np.ndarray, offsets: np.ndarray, live=None):
     for a in range(0, max(len(buf) - LENGTH + 1, 0), _BLOCK):
         b = min(a + _BLOCK, len(buf) - LENGTH + 1)
         part = buf[a:b + LENGTH - 1]
-        r, inv = T.powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + _U(1)) * r[:len(part)], out=total[1:])
+        total, inv = _sums(part)
         n = len(part) - GRAM + 1
         low = T.mix((total[GRAM:] - total[:-GRAM]) * inv[:n])
         width, span = LENGTH - GRAM + 1, 1
@@ -113,22 +150,23 @@ def contexts(buf: np.ndarray, offsets: np.ndarray, live=None):
             k = live(v)
             count = last[k] - start[k] + 1
             v = np.repeat(v[k], count)
-            start = np.repeat(start[k] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            start = _ranges(start[k], count)
             last = start
         end = last + LENGTH
-        whole = T.mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64) * _U(3))
+        whole = _hash(total, inv, start, end)
         parts.append((start + a, last + a, v, whole if live is not None else T.mix(whole ^ v), doc[start]))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-_BLOB = "bucket long, key binary, anchor binary, who binary, start binary, n binary, id binary, row binary"
-_OUT = "part long, id binary, row binary, starts binary, ends binary, anchors array<long>"
+_BLOB = ("bucket long, key binary, anchor binary, who binary, start binary, n binary, text binary, id binary, "
+         "row binary")
+_OUT = "part long, id binary, row binary, starts binary, ends binary, anchors array<long>, hot array<long>"
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, rows: np.ndarray, parts: int,
-          anchors: np.ndarray) -> pa.Table:
+          anchors: np.ndarray, hot: np.ndarray) -> pa.Table:
     """Removed intervals, joined where they touch and dealt to ``parts`` groups of documents; and anchors to take
-    apart, in a row of their own."""
+    apart, with those that have very many contexts, in a row of their own."""
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
     head = _heads(doc)
@@ -140,13 +178,13 @@ def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray,
     order = np.argsort(part, kind="stable")
     each, at = np.unique(part[order], return_index=True)
     out = [(int(p), ids[doc[o]].tobytes(), rows[doc[o]].tobytes(), start[o].astype(np.int32).tobytes(),
-            end[o].astype(np.int32).tobytes(), None)
+            end[o].astype(np.int32).tobytes(), None, None)
            for p, o in zip(each, np.split(order, at[1:]))]
     if len(anchors):
-        out.append((None, None, None, None, None, anchors))
-    kinds = [pa.int64()] + [pa.binary()] * 4 + [pa.list_(pa.int64())]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)],
-                    names=["part", "id", "row", "starts", "ends", "anchors"])
+        out.append((None, None, None, None, None, anchors, hot))
+    kinds = [pa.int64()] + [pa.binary()] * 4 + [pa.list_(pa.int64())] * 2
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)],
+                    names=["part", "id", "row", "starts", "ends", "anchors", "hot"])
 
 
 def _join_runs(table: pa.Table) -> pa.Table:
@@ -180,9 +218,17 @@ def _counts(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+def _in_filter(words: np.ndarray, anchor: np.ndarray, bits: int) -> np.ndarray:
+    slot = _short(anchor).astype(np.int64) % bits
+    return (words[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
 def _deal(buckets: int, taken_apart=None):
     """Entries of every group of texts in one blob per bucket. Of a group's equal entries only those of its smallest
-    document go on; the others are already known as repeats and stay in a local blob (negative bucket)."""
+    document go on; the others are already known as repeats and stay in a local blob (negative bucket).
+
+    ``taken_apart`` holds the filters of anchors to take apart and, of these, of those with very many contexts.
+    """
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in T.groups(batches, "text", GROUP, 1 << 16):
@@ -196,8 +242,7 @@ def _group_blobs(parts: list[pa.RecordBatch], buckets: int, taken_apart) -> pa.R
                  for c, t in (("id", np.int64), ("row", np.int32)))
 
     def live(anchor: np.ndarray) -> np.ndarray:
-        slot = _short(anchor).astype(np.int64) % KEY_BITS
-        return np.flatnonzero((taken_apart.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+        return np.flatnonzero(_in_filter(taken_apart.value[0], anchor, KEY_BITS))
 
     found, base = [], 0
     for part in parts:
@@ -214,12 +259,17 @@ def _group_blobs(parts: list[pa.RecordBatch], buckets: int, taken_apart) -> pa.R
     repeat[order] = ids[doc[order]] > ids[doc[order]][head][np.cumsum(head) - 1]
     out = []
 
-    def blob(bucket: int, o: np.ndarray, length: np.ndarray) -> None:
-        who, index = np.unique(doc[o], return_inverse=True)
-        keys = b"" if bucket < 0 else key[o].tobytes()
-        anchors = b"" if bucket < 0 or taken_apart is not None else _short(anchor[o]).tobytes()
-        out.append((bucket, keys, anchors, index.astype(np.uint16).tobytes(), start[o].astype(np.int32).tobytes(),
-                    bytes(length), ids[who].tobytes(), rows[who].tobytes()))
+    def blob(bucket: int, o: np.ndarray, length: np.ndarray | bytes, keys: bytes = b"", anchors: bytes = b"",
+             text: bytes = b"") -> None:
+        who, count = np.unique(doc[o], return_counts=True)  # entries come by text
+        out.append((bucket, keys, anchors, bytes(_planes(count)), bytes(_planes(np.diff(start[o], prepend=0))),
+                    bytes(length), text, ids[who].tobytes(), rows[who].tobytes()))
+
+    def dealt(o: np.ndarray, by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        bucket = (by % _U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        return ((b, o[order[x:y]]) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x)
 
     known = np.flatnonzero(repeat)
     if len(known):  # entries come by text and start, so what touches is joined here
@@ -229,59 +279,77 @@ def _group_blobs(parts: list[pa.RecordBatch], buckets: int, taken_apart) -> pa.R
         new[1:] |= begin[1:] > stop[:-1]
         first = np.flatnonzero(new)
         blob(-1 - int(key[known[0]] % _U(buckets)), known[first],
-             (np.maximum.reduceat(stop, first) - begin[first]).astype(np.int32))
+             _planes(np.maximum.reduceat(stop, first) - begin[first]))
     go = np.flatnonzero(~repeat)
-    bucket = ((key if taken_apart is not None else anchor)[go] % _U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
-        if y > x:
-            o = go[order[x:y]]
-            blob(b, o, b"" if taken_apart is not None else _planes(n[o]))
-    kinds = [pa.int64()] + [pa.binary()] * 7
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)],
-                           names=["bucket", "key", "anchor", "who", "start", "n", "id", "row"])
-
-
-def _search(buckets: int):
-    return lambda table: _search_bucket(table, buckets)
-
-
-def _search_bucket(table: pa.Table, buckets: int) -> pa.Table:
-    """Removed intervals of one bucket's entries, and the anchors whose contexts differ."""
+    if taken_apart is None:
+        for b, o in dealt(go, anchor[go]):
+            blob(b, o, _planes(n[o]), key[o].tobytes(), _short(anchor[o]).tobytes())
+    else:
+        hot = _in_filter(taken_apart.value[1], anchor[go], HOT_BITS)
+        for b, o in dealt(go[hot], key[go[hot]]):
+            blob(b, o, b"", key[o].tobytes())
+        go = go[~hot]
+        new = _heads(anchor[go])
+        new[1:] |= (doc[go[1:]] != doc[go[:-1]]) | (start[go[1:]] != start[go[:-1]] + 1)
+        new[1:] |= start[go[1:]] % _BLOCK == 0
+        first = np.flatnonzero(new)
+        length = np.zeros(len(key), np.int32)
+        length[go[first]] = np.diff(first, append=len(go))
+        flat = [T.flat(part.column("text")) for part in parts]
+        buf = np.concatenate([buf for buf, _ in flat])
+        origin = np.cumsum([0, *(int(offsets[-1]) for _, offsets in flat[:-1])])
+        origin = np.concatenate([offsets[:-1] + at for (_, offsets), at in zip(flat, origin)])
+        for b, o in dealt(go[first], anchor[go[first]]):
+            text = buf[_ranges(origin[doc[o]] + start[o], length[o] + (LENGTH - 1))]
+            blob(b, o, _planes(length[o]), text=text.tobytes())
+    kinds = [pa.int64()] + [pa.binary()] * 8
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, kinds)],
+                           names=["bucket", "key", "anchor", "who", "start", "n", "text", "id", "row"])
+
+
+def _search(buckets: int, hot: int):
+    return lambda table: _search_bucket(table, buckets, hot)
+
+
+def _search_bucket(table: pa.Table, buckets: int, many: int) -> pa.Table:
+    """Removed intervals of one bucket's entries, the anchors whose contexts differ, and those of them that have
+    ``many`` contexts or more."""
     local = table.column("bucket")[0].as_py() < 0
     cols: list[list[np.ndarray]] = [[] for _ in range(7)]
     base = 0
-    for key, anchor, who, start, n, ids, rows in zip(*(table.column(c) for c in (
-            "key", "anchor", "who", "start", "n", "id", "row"))):
-        index = np.frombuffer(who.as_py(), np.uint16).astype(np.int64) + base
-        ids = np.frombuffer(ids.as_py(), np.int64)
-        base += len(ids)
-        for c, x in zip(cols, (np.frombuffer(key.as_py(), np.uint64), np.frombuffer(anchor.as_py(), np.uint32), index,
-                               np.frombuffer(start.as_py(), np.int32), np.frombuffer(n.as_py(), np.int32) if local else _counts(n.as_py()),
-                               ids, np.frombuffer(rows.as_py(), np.int32))):
+    for key, anchor, who, start, n, text, ids, rows in zip(*(table.column(c) for c in (
+            "key", "anchor", "who", "start", "n", "text", "id", "row"))):
+        count = _counts(who.as_py())
+        index = np.repeat(np.arange(base, base + len(count), dtype=np.int32), count)
+        base += len(count)
+        key, n = np.frombuffer(key.as_py(), np.uint64), _counts(n.as_py())
+        start = np.cumsum(_counts(start.as_py()), dtype=np.int32)
+        if len(text := np.frombuffer(text.as_py(), np.uint8)):
+            key, index, start, n = strings(text, n), np.repeat(index, n), _ranges(start, n).astype(np.int32), n[:0]
+        for c, x in zip(cols, (key, np.frombuffer(anchor.as_py(), np.uint32), index, start, n,
+                               np.frombuffer(ids.as_py(), np.int64), np.frombuffer(rows.as_py(), np.int32))):
             c.append(x)
-    key, anchor, who, start, n, ids, rows = (np.concatenate(c) for c in cols)
-    apart = np.zeros(0, np.int64)
-    start = start.astype(np.int64)
+    key, anchor, who, start, n, ids, rows = (np.concatenate(cols.pop(0)) for _ in range(7))
+    apart = hot = np.zeros(0, np.int64)
     if local:
-        return _runs(who, start, start + n, ids, rows, buckets, apart)
+        return _runs(who, start, start + n, ids, rows, buckets, apart, hot)
     doc = ids[who]
     gone = np.flatnonzero(first_documents(key, doc) < doc)
     if len(anchor):
         order = np.lexsort((key, anchor))
         a, k = anchor[order], key[order]
         apart = np.unique(a[1:][(a[1:] == a[:-1]) & (k[1:] != k[:-1])]).astype(np.int64)
+        hot = apart[np.searchsorted(a, apart, "right") - np.searchsorted(a, apart) >= many]
     end = start[gone] + LENGTH + (n[gone].astype(np.int64) - 1 if len(n) else 0)
-    return _runs(who[gone], start[gone], end, ids, rows, buckets, apart)
+    return _runs(who[gone], start[gone], end, ids, rows, buckets, apart, hot)
 
 
-def _anchor_filter(found: DataFrame) -> np.ndarray:
-    """Anchors to take apart as a bitmap of KEY_BITS bits, merged from 64-bit words."""
-    slots = found.select(F.explode("anchors").alias("a")).select(F.pmod("a", F.lit(KEY_BITS)).alias("s"))
+def _anchor_filter(found: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Anchors of a column as a bitmap, merged from 64-bit words."""
+    slots = found.select(F.explode(column).alias("a")).select(F.pmod("a", F.lit(bits)).alias("s"))
     words = slots.groupBy(F.expr("shiftright(s, 6)").alias("w")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b")).toArrow()  # at most KEY_BITS / 64 rows
-    out = np.zeros(KEY_BITS // 64, np.int64)
+        F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b")).toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.int64)
     out[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return out.view(np.uint8)
 
@@ -317,12 +385,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("row"),
                         F.col(text_col).alias("text"))
     named = texts.filter("id is not null")
-    # Every blob names its documents, so fewer and larger buckets move less.
-    buckets = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    whole = scratch.table(named.mapInArrow(_deal(buckets), _BLOB).groupBy("bucket").applyInArrow(_search(buckets), _OUT))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    search = _search(buckets, HOT_CONTEXTS)
+    whole = scratch.table(named.mapInArrow(_deal(buckets), _BLOB).groupBy("bucket").applyInArrow(search, _OUT))
     scratch.settle()
-    sent = spark.sparkContext.broadcast(_anchor_filter(whole))
-    parts = scratch.table(named.mapInArrow(_deal(buckets, sent), _BLOB).groupBy("bucket").applyInArrow(_search(buckets), _OUT))
+    sent = spark.sparkContext.broadcast((_anchor_filter(whole, "anchors", KEY_BITS), _anchor_filter(whole, "hot", HOT_BITS)))
+    parts = scratch.table(named.mapInArrow(_deal(buckets, sent), _BLOB).groupBy("bucket").applyInArrow(search, _OUT))
     scratch.settle()
     spans = scratch.table(whole.unionByName(parts).filter("part is not null").groupBy("part").applyInArrow(
         _join_runs, "id long, row int, starts array<int>, ends array<int>"))

@@ -7,8 +7,10 @@ import math
 import os
 import random
 import sys
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -436,6 +438,48 @@ def test_suffixes_of_periodic_runs(spark):
         assert listed(got) == brute.repeats(part)
 
 
+def prose(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    return " ".join(r.choice(["abandon", "be", "charlie", "delta", "it", "of", "under", "yesterday"]) for _ in range(n))
+
+
+@pytest.mark.parametrize("many", [1, 3, 1 << 14])
+def test_suffixes_of_shared_phrases(spark, monkeypatch, many):
+    """Few words, so anchors have many contexts; both ways of taking them apart give what brute force gives."""
+    monkeypatch.setattr(suffixes, "HOT_CONTEXTS", many)
+    line = prose(0, 11)
+    rows = [(k, prose(k, 9) + " " + line + " " + prose(100 + k, 9 + k)) for k in range(1, 30)]
+    rows += [(90 + k, prose(k // 2, 300)) for k in range(6)] + [(99, "0 " * 900 + line), (99, line * 3), (None, line * 3)]
+    got = suffixes.repeated_spans(table(spark, rows).repartition(3)).select(
+        "id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]),
+        F.size("spans").cast("long"), F.sha2("kept", 256))
+    assert listed(got) == brute.repeats(rows)
+
+
+def test_strings_of_pieces_have_their_keys(monkeypatch):
+    text = np.frombuffer(prose(5, 60).encode(), np.uint8)
+    places = [(0, 3), (20, 1), (21, 60), (90, 7)]
+    want = np.concatenate([suffixes.strings(text[p:p + 50], np.array([1])) for a, n in places for p in range(a, a + n)])
+    pieces, n = np.concatenate([text[a:a + n + 49] for a, n in places]), np.array([n for _, n in places], np.int32)
+    assert (suffixes.strings(pieces, n) == want).all()
+    monkeypatch.setattr(suffixes, "_BLOCK", 64)
+    assert (suffixes.strings(pieces, n) == want).all()
+    start, _, _, key, _ = suffixes.contexts(text, np.array([0, len(text)]), lambda v: np.arange(len(v)))
+    assert dict(zip(start.tolist(), key.tolist())).items() >= dict(
+        zip([p for a, n in places for p in range(a, a + n)], want.tolist())).items()
+
+
+def test_contexts_taken_apart_are_sent_as_bytes():
+    """Each string took 14 bytes before, for its hash, place and text number."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdefghijklmnop") for _ in range(2000)) for _ in range(20)]
+    part = pa.record_batch({"id": list(range(20)), "row": [0] * 20, "text": texts})
+    every = SimpleNamespace(value=(np.full(suffixes.KEY_BITS // 8, 255, np.uint8), np.zeros(suffixes.HOT_BITS // 8, np.uint8)))
+    blobs = suffixes._group_blobs([part], 4, every).to_pylist()
+    assert all(b["bucket"] >= 0 for b in blobs)
+    assert sum(len(x) for b in blobs for x in b.values() if isinstance(x, bytes)) < 7 * 20 * 2000
+
+
 def test_level_index_in_small_batches(monkeypatch):
     monkeypatch.setattr(suffixes, "BATCH", 7)
     rng = np.random.default_rng(4)
