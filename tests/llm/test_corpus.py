@@ -7,6 +7,7 @@ import math
 import os
 import random
 import sys
+import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
@@ -305,6 +306,33 @@ def test_passages_on_messy_rows(spark):
             (spans[7][0], 30000), (spans[8][0], 30000), (spans[10][0], 70), (spans[11][0], 70))))
 
 
+def test_passage_keys_are_dealt_in_little_memory():
+    """A slice of 2 MB took 36 bytes for a byte of text at its peak."""
+    base = words(7, 1500)
+    texts = [base[k:] + base[:k] for k in range(0, len(base), 50)] + [words(400 + k, 400) for k in range(300)]
+    part = pa.record_batch({"id": list(range(len(texts))), "row": [0] * len(texts), "text": texts})
+    hot = np.zeros(1, np.uint64)
+    passages._slice_blobs([part.slice(0, 2)], 3, hot)  # tables that stay
+    tracemalloc.start()
+    try:
+        passages._slice_blobs([part], 3, hot)
+        assert tracemalloc.get_traced_memory()[1] < 18 * sum(map(len, texts))
+    finally:
+        tracemalloc.stop()
+
+
+def test_passages_of_a_batch_are_those_of_each_pair(monkeypatch):
+    texts = [words(k, 70) for k in range(4)] + ["", "short", None]
+    x = [a + " " + b if a and b else a for a in texts for b in texts[::-1]]
+    y = [b for a in texts for b in texts]
+    want = [[tuple(p) for p in passages.similar_passages(a or "", b or "")] for a, b in zip(x, y)]
+    assert any(want)
+    for size in (1 << 19, 500):
+        monkeypatch.setattr(passages, "SLICE", size)
+        got = passages._compare(pa.array(x), pa.array(y)).to_pylist()
+        assert [[(p["start"], p["end"]) for p in found] for found in got] == want
+
+
 def test_near_passages_are_found(spark):
     rows = []
     for g in range(30):
