@@ -321,6 +321,34 @@ def test_passage_keys_are_dealt_in_little_memory():
         tracemalloc.stop()
 
 
+def test_passage_keys_are_few():
+    """Two keys for every word were four times the input's size on disk."""
+    texts = [words(900_000 + k, 400) for k in range(200)]
+    part = pa.record_batch({"id": list(range(len(texts))), "row": [0] * len(texts), "text": texts})
+    blobs = passages._slice_blobs([part], 3, np.zeros(0, np.uint64))
+    assert blobs.nbytes < 1.2 * sum(map(len, texts))
+    entries = sum(len(k.as_py()) for k in blobs.column("key")) // 8
+    assert 0.2 * 400 * len(texts) < entries < 0.4 * 400 * len(texts)
+
+
+def test_windows_of_texts_that_are_all_short():
+    h = np.random.default_rng(1).integers(0, 1 << 62, 200).astype(np.uint64)
+    assert not any(len(x) for x in passages.windows(h, np.arange(0, 201, 10)))
+    assert [len(x) for x in passages.windows(h, np.array([0, 100, 200]), 41, 40)][0]
+
+
+def test_windows_followed_a_little_way():
+    """Nodes are those of the whole windows, whose ends within reach are the same."""
+    r = np.random.default_rng(2)
+    h, first = r.integers(0, 300, 3000).astype(np.uint64), np.array([0, 500, 510, 551, 3000])
+    whole, near = passages.windows(h, first, 41), passages.windows(h, first, 41, 40)
+    assert len(whole[0]) and (whole[0] == near[0]).all() and (whole[3] == near[3]).all()
+    for x, y in ((whole[0] - whole[1], near[0] - near[1]), (whole[2] - whole[0], near[2] - near[0])):
+        assert (np.minimum(x, 40) == np.minimum(y, 40)).all()
+    nodes = {a + int(h[a:a + 41].argmin()) for i, j in zip(first[:-1], first[1:]) for a in range(i, j - 40)}
+    assert set(whole[0].tolist()) == nodes
+
+
 def test_passages_of_a_batch_are_those_of_each_pair(monkeypatch):
     texts = [words(k, 70) for k in range(4)] + ["", "short", None]
     x = [a + " " + b if a and b else a for a in texts for b in texts[::-1]]
